@@ -22,10 +22,13 @@ def high_water_mark(df: DataFrame, date_col: str = "occ_date") -> Column:
 def past_mark(
     existing: DataFrame, incoming: DataFrame, as_of: date | str, date_col: str = "occ_date"
 ) -> DataFrame:
-    """Incoming rows after the latest stored day and before today, both exclusive."""
+    """Incoming rows after the latest stored day and before today, both exclusive.
+
+    With nothing stored yet, all rows before today.
+    """
     day = F.col(date_col)
     mark = high_water_mark(existing, date_col)
-    return incoming.where((day > mark) & (day < F.lit(as_of).cast("date")))
+    return incoming.where((mark.isNull() | (day > mark)) & (day < F.lit(as_of).cast("date")))
 
 
 def append_past_mark(
@@ -52,14 +55,18 @@ def new_rows(
     """
     keys = list(keys)
     fresh = keep_first(incoming, keys, order)
-    known = existing.select(*keys).join(incoming.select(*keys), _same(existing, incoming, keys), "left_semi")
-    return fresh.join(known, _same(fresh, known, keys), "left_anti")
+    known = existing.select(*keys).join(_renamed(incoming, keys), _same(keys), "left_semi")
+    return fresh.join(_renamed(known, keys), _same(keys), "left_anti")
+
+
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _same(keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
+        condition = condition & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
     return condition
 
 
