@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_rankings",)
+MODULES = ("q_rankings", "q_windows", "q_relational", "q_text")
 
 
 def load_all() -> None:

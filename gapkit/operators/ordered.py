@@ -9,6 +9,9 @@ joined back. Results equal those of one window over ``keys``.
 The edge table reads every column of its input although it needs few. That keeps both branches of the plan
 equal up to the last shuffle, so Spark runs that part once and reuses its exchange.
 
+Where the leading order column is no integer sequence, number the rows first with
+:func:`gapkit.operators.sequence.global_sequence` by ``keys + order`` and use that number as order and bucket.
+
 Rules for callers: keys are not null, and the order columns are ascending and end in a unique key. Pass
 ``bucket=None`` only where the group is known to be small.
 """

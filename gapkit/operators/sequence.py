@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gapkit.operators.ordered import row_ordinal, seq_bucket
+from gapkit.operators.ordered import row_ordinal, seq_bucket, whole_group
 from gapkit.session import ensure_checkpoint_dir
 from gapkit.spec import SEQ_BUCKET
 
 _ID = "__row"
 _PART = "__part"
 _LOCAL = "__local"
+_TIE = "__tie"
 
 
 def date_sequence(
@@ -36,15 +37,18 @@ def global_sequence(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Number all rows 1..n by ``order`` without gathering them in one task.
 
     Range-partition and sort by the order, number rows inside each partition, then add the row counts of
-    the earlier partitions. ``order`` must end in a unique key. Rows and their partition numbers are cut from
-    the lineage by a reliable checkpoint, as range bounds are sampled and could differ between two runs of
-    the same plan.
+    the earlier partitions. ``order`` should end in a unique key; equal rows are told apart by where they came
+    from, so that copies spread over several partitions too. Rows and their partition numbers are cut from the
+    lineage by a reliable checkpoint, as range bounds are sampled and could differ between two runs of the same
+    plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
     mid = F.monotonically_increasing_id()
     numbered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.withColumn(_TIE, mid)
+        .repartitionByRange(*order, _TIE)
+        .sortWithinPartitions(*order, _TIE)
+        .drop(_TIE)
         .withColumn(_ID, mid)
         .withColumns({
             # partition number in the upper bits, row number within it in the lower 33
@@ -70,3 +74,14 @@ def sequence_within(
 ) -> DataFrame:
     """1-based position within ``keys`` by an integer sequence column."""
     return row_ordinal(df, keys, [seq_col], out, seq_bucket(seq_col, width))
+
+
+def ordinal_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1-based position within ``keys`` for any order and any skew, copies included.
+
+    All rows are numbered by ``keys + order``; the position is the distance to the key's lowest number. No task
+    sees a whole key.
+    """
+    numbered = global_sequence(df, [*keys, *order], "__seq")
+    started = whole_group(numbered, keys, __start=F.min("__seq"))
+    return started.withColumn(out, F.col("__seq") - F.col("__start") + 1).select(*df.columns, out)

@@ -64,6 +64,7 @@ def build_calendar(
 
     ``partition`` picks one performer out of a shared list. Only the next future occasion is kept.
     """
+    order = [c for c in order if c in occasions.columns]
     tie = [c for c in order if c != "occ_date"]
     chosen = past_and_next(occasions, as_of, tie)
     if partition is not None:
@@ -71,7 +72,7 @@ def build_calendar(
     result = {
         "occasions": global_sequence(
             chosen.select(*[c for c in keep if c in chosen.columns]),
-            [c for c in order if c in chosen.columns], "occ_seq",
+            order, "occ_seq",
         ),
     }
     venue_columns = [c for c in venue_columns if c in chosen.columns]

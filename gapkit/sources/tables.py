@@ -70,9 +70,10 @@ def _occasions_from_plays(plays: DataFrame) -> dict[str, DataFrame]:
     return {PLAYS: cleaned, OCCASIONS: days.withColumn("occasion_id", F.col("occ_date"))}
 
 
-def read_envelope(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
-    """Rows of landed JSON documents ``{"data": [{...}, ...]}``."""
-    documents = spark.read.schema(f"data array<struct<{row_schema}>>").option("multiLine", True).json(path)
+def read_envelope(spark: SparkSession, path: str, row_schema: str, multi_line: bool = True) -> DataFrame:
+    """Rows of landed JSON documents ``{"data": [{...}, ...]}``; one document per file, or per line."""
+    reader = spark.read.schema(f"data array<struct<{row_schema}>>").option("multiLine", multi_line)
+    documents = reader.json(path)
     return documents.select(F.inline("data"))
 
 
