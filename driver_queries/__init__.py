@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_rankings", "q_windows", "q_relational", "q_text")
+MODULES = ("q_rankings", "q_windows", "q_relational", "q_text", "q_incremental")
 
 
 def load_all() -> None:

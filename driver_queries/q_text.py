@@ -358,7 +358,7 @@ def header_row(spark, sf_dir):
 LINE_SQL = """l AS (SELECT doc_id AS occasion_id, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 s AS (SELECT occasion_id, line_no, CASE line_no % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'E' END AS set_label,
-  string_split(replace(replace(replace(' ' || line, 'ï', 'i'), '. ', ' > '), '>', ',>'), ',') AS a FROM l WHERE line_no % 4 < 3),
+  string_split(replace(replace(replace(' ' || replace(line, 'ß', 'ss'), 'ï', 'i'), '. ', ' > '), '>', ',>'), ',') AS a FROM l WHERE line_no % 4 < 3),
 k AS (SELECT occasion_id, line_no, set_label, list_filter(a, lambda p: NOT regexp_matches(p, 'leaux|Rattle')) AS a FROM s),
 x AS (SELECT occasion_id, line_no, set_label, a, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM k),
 n AS (SELECT *, row_number() OVER (PARTITION BY occasion_id ORDER BY line_no, i) AS position,
@@ -374,7 +374,9 @@ def _set_lines(spark, sf_dir):
     case = F.col("line_no") % 4
     prefix = F.when(case == 0, "1: ").when(case == 1, "2: ").when(case == 2, "E: ").otherwise("Notes ")
     return lines.select("occasion_id", "line_no", F.concat(
-        prefix, F.lit(" "), F.replace("line", F.lit(". "), F.lit(" > "))).alias("text"))
+        # DuckDB has its own capital of the sharp s
+        prefix, F.lit(" "), F.replace(F.replace("line", F.lit("ß"), F.lit("ss")), F.lit(". "), F.lit(" > "))
+    ).alias("text"))
 
 
 @query("c13_setlist_text", f"""WITH {LINE_SQL}
