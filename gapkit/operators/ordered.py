@@ -7,7 +7,8 @@ is carried by an *edge table* with one row per ``(keys, bucket)``, built with ma
 joined back. Results equal those of one window over ``keys``.
 
 The edge table reads every column of its input although it needs few. That keeps both branches of the plan
-equal up to the last shuffle, so Spark runs that part once and reuses its exchange.
+equal up to the last shuffle, so Spark runs that part once and reuses its exchange. It does so when the keys are
+filtered to be non-null beforehand; otherwise the join adds that filter to one branch only.
 
 Where the leading order column is no integer sequence, number the rows first with
 :func:`gapkit.operators.sequence.global_sequence` by ``keys + order`` and use that number as order and bucket.

@@ -26,7 +26,10 @@ def counted_occasions(bundle: Bundle, spec: GapSpec) -> DataFrame:
 
 def clean_plays(bundle: Bundle, spec: GapSpec) -> DataFrame:
     """Plays with a key, title-cased where asked, without blacklisted items."""
-    plays = bundle.plays.dropna(subset=["item_id"])
+    plays = bundle.plays
+    # plain null checks: they reach the scan, and Spark knows the keys as non-null from here on
+    for key in (*spec.group, "item_id"):
+        plays = plays.where(F.col(key).isNotNull())
     if spec.title_case:
         plays = plays.withColumn("item_id", py_title(F.col("item_id")))
     if spec.history_blacklist:

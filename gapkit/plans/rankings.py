@@ -91,7 +91,9 @@ def _with_stat_keys(rows: DataFrame, bundle: Bundle, spec: GapSpec) -> tuple[Dat
     group = [c for c in spec.group if c in bundle.items.columns]
     named = rows.join(bundle.items.select(*group, *catalog), [*group, "item_id"])
     # plays without a name or a flag belong to no item
-    return named.dropna(subset=keys), keys
+    for key in keys:
+        named = named.where(F.col(key).isNotNull())
+    return named, keys
 
 
 def _attach_current_gap(stats: DataFrame, bundle: Bundle, spec: GapSpec, as_of: date) -> DataFrame:

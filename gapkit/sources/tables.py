@@ -65,7 +65,7 @@ def _occasions_from_plays(plays: DataFrame) -> dict[str, DataFrame]:
     """Days on which anything was played are the occasions; they are numbered densely."""
     cleaned = plays.withColumns({
         "item_id": strip(F.col("item_id")), "occasion_id": parse_iso(F.col("occasion_id")),
-    }).dropna(subset=["item_id"])
+    }).where(F.col("item_id").isNotNull())
     days = date_sequence(cleaned.select(F.col("occasion_id").alias("occ_date")), "occ_date", "occ_seq")
     return {PLAYS: cleaned, OCCASIONS: days.withColumn("occasion_id", F.col("occ_date"))}
 
