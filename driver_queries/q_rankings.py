@@ -78,7 +78,6 @@ FLAGGED_CTE = f"{PLAYS}, {NUMBERED}, {ITEMS}, {FLAGGED}"
 EXCLUDED_CTE = f"{PLAY_FLAGGED}, {NUMBERED}, {ITEMS}, {EXCLUDED}"
 TITLED_CTE = f"{NAMED_PLAYS}, {NUMBERED}, {TITLED}"
 MAX_SEQ = "SELECT max(occ_seq) FROM occ"
-MAX_PLAYED = "SELECT max(occ_seq) FROM p"
 
 
 def _exclusions_bundle(spark, sf_dir) -> Bundle:
@@ -89,14 +88,14 @@ def _exclusions_bundle(spark, sf_dir) -> Bundle:
         F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("is_original"),
     )
     base = bind.numbered_bundle(spark, sf_dir)
-    return Bundle(flagged, base.occasions, base.items, base.venues)
+    return Bundle(flagged, base.occasions, base.items)
 
 
 def _link_bundle(spark, sf_dir) -> Bundle:
     return Bundle(bind.named_plays(spark, sf_dir), bind.numbered_occasions(spark, sf_dir))
 
 
-@query("c2_overdue_by_date", overdue_sql(DATED_CTE, "item", MAX_PLAYED, f"n_plays > 30 AND {ACTIVE}"))
+@query("c2_overdue_by_date", overdue_sql(DATED_CTE, "item", MAX_SEQ, f"n_plays > 30 AND {ACTIVE}"))
 def overdue_by_date(spark, sf_dir):
     return rankings.overdue(bind.dated_bundle(spark, sf_dir), BY_DATE, AS_OF)
 
@@ -121,7 +120,7 @@ def overdue_by_link(spark, sf_dir):
     return rankings.overdue(_link_bundle(spark, sf_dir), BY_LINK, AS_OF)
 
 
-@query("c3_rotation_by_date", rotation_sql(DATED_CTE, "item", MAX_PLAYED, 366, "current_gap > 3"))
+@query("c3_rotation_by_date", rotation_sql(DATED_CTE, "item", MAX_SEQ, 366, "current_gap > 3"))
 def rotation_by_date(spark, sf_dir):
     return rankings.rotation(bind.dated_bundle(spark, sf_dir), BY_DATE, AS_OF)
 
@@ -220,7 +219,7 @@ def last_sequence(spark, sf_dir):
 
 
 C_CTE = f"""WITH {DATED_CTE}, s AS ({stats_sql("item")}),
-c AS (SELECT *, ({MAX_PLAYED}) - last_played_seq AS current_gap FROM s)"""
+c AS (SELECT *, ({MAX_SEQ}) - last_played_seq AS current_gap FROM s)"""
 
 
 @query("c4_current_gap", f"{C_CTE} SELECT item, current_gap FROM c WHERE n_plays > 10 AND {ACTIVE}")
@@ -259,7 +258,7 @@ def top_overdue(spark, sf_dir):
     return reports.overdue_report(scores, headings=reports.OVERDUE_HEADINGS)
 
 
-@query("c7_top_rotation", f"""WITH o AS ({rotation_sql(DATED_CTE, "item", MAX_PLAYED, 366, "current_gap > 3")}),
+@query("c7_top_rotation", f"""WITH o AS ({rotation_sql(DATED_CTE, "item", MAX_SEQ, 366, "current_gap > 3")}),
 r AS (SELECT *, row_number() OVER (ORDER BY times_played_recent DESC, item) AS rank FROM o)
 SELECT rank, item, times_played_recent, ltp_date, current_gap, avg_gap, med_gap FROM r WHERE rank <= 50""")
 def top_rotation(spark, sf_dir):
@@ -344,7 +343,7 @@ def _group_inputs(spark, sf_dir):
         F.when(F.col("n_regionkey") > 0, 1825).alias("active_days"),
         (F.lit(366) * (F.lit(1) + F.col("n_regionkey") % 2)).alias("window_days"), F.lit(3).alias("min_current_gap"),
     )
-    spec = BY_DATE.with_options(name="groups", group=("source",), last_seq="max")
+    spec = BY_DATE.with_options(name="groups", group=("source",))
     return Bundle(plays, days.withColumn("occ_date", F.col("occasion_id"))), spec, policies
 
 

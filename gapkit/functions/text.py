@@ -16,7 +16,10 @@ def strip(text: Column) -> Column:
 def py_title(text: Column) -> Column:
     """Capitalise each run of letters, also after an apostrophe or a digit."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(_WORD_OR_REST), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    # texts of plain letters and blanks need no splitting
+    return F.when(text.rlike("^[A-Za-z ]*$"), F.initcap(text)).otherwise(
+        F.array_join(F.transform(runs, F.initcap), "")
+    )
 
 
 def capitalize_first(text: Column) -> Column:

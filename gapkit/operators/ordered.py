@@ -6,9 +6,11 @@ a day, a year). Each bucket then holds a bounded slice, however hot its key is.
 is carried by an *edge table* with one row per ``(keys, bucket)``, built with map-side aggregation, and
 joined back. Results equal those of one window over ``keys``.
 
-The edge table reads every column of its input although it needs few. That keeps both branches of the plan
-equal up to the last shuffle, so Spark runs that part once and reuses its exchange. It does so when the keys are
-filtered to be non-null beforehand; otherwise the join adds that filter to one branch only.
+With ``share=True`` the rows are first distributed by ``keys + bucket``, which the window needs anyway, and the
+edge table reads that same exchange; so whatever lies below it (joins, aggregates, parsing) runs once. For this the
+edge table must read every column. Spark reuses the exchange when the keys are filtered to be non-null beforehand;
+otherwise the join adds that filter to one branch only. Leave it off over plain scans, where reading a few columns
+twice is cheaper.
 
 Where the leading order column is no integer sequence, number the rows first with
 :func:`gapkit.operators.sequence.global_sequence` by ``keys + order`` and use that number as order and bucket.
@@ -39,9 +41,16 @@ def _order_value(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def _edges(tagged: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+def _tag(df: DataFrame, keys: Sequence[str], bucket: Column, share: bool) -> DataFrame:
+    tagged = df.withColumn(_B, bucket)
+    return tagged.repartition(*keys, _B) if share else tagged
+
+
+def _edges(tagged: DataFrame, keys: Sequence[str], share: bool, *aggs: Column) -> DataFrame:
+    if not share:
+        return tagged.groupBy(*keys, _B).agg(*aggs)
     touched = F.max(F.hash(*[c for c in tagged.columns if c != _B]))
-    return tagged.groupBy(*keys, _B).agg(*aggs, touched.alias("__touch")).where("__touch IS NOT NULL")
+    return tagged.groupBy(*keys, _B).agg(*aggs, touched.alias("__touch")).where("__touch IS NOT NULL").drop("__touch")
 
 
 def _edge_window(keys: Sequence[str]):
@@ -51,7 +60,7 @@ def _edge_window(keys: Sequence[str]):
 
 def _neighbour(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None, default, ahead: bool,
+    bucket: Column | None, default, ahead: bool, share: bool,
 ) -> DataFrame:
     shift = F.lead if ahead else F.lag
     fill = None if default is None else F.lit(default)
@@ -63,11 +72,11 @@ def _neighbour(
         edge_value = (F.min if ahead else F.max)(value)
     else:
         edge_value = (F.min_by if ahead else F.max_by)(value, _order_value(order))
-    tagged = df.withColumn(_B, bucket)
+    tagged = _tag(df, keys, bucket, share)
     w = Window.partitionBy(*keys, _B).orderBy(*order)
     at_edge = (F.lead(F.lit(1)) if ahead else F.lag(F.lit(1))).over(w).isNull()
     inner = tagged.withColumns({out: shift(value).over(w), _FIRST: at_edge})
-    edges = _edges(tagged, keys, edge_value.alias(_EDGE))
+    edges = _edges(tagged, keys, share, edge_value.alias(_EDGE))
     edges = edges.withColumn("__present", F.lit(1))
     ew = _edge_window(keys)
     carried = edges.select(
@@ -83,31 +92,31 @@ def _neighbour(
 
 def lag_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None = None, default=None,
+    bucket: Column | None = None, default=None, share: bool = False,
 ) -> DataFrame:
     """Value of the previous row of the key."""
-    return _neighbour(df, keys, order, value, out, bucket, default, ahead=False)
+    return _neighbour(df, keys, order, value, out, bucket, default, ahead=False, share=share)
 
 
 def lead_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None = None, default=None,
+    bucket: Column | None = None, default=None, share: bool = False,
 ) -> DataFrame:
     """Value of the next row of the key."""
-    return _neighbour(df, keys, order, value, out, bucket, default, ahead=True)
+    return _neighbour(df, keys, order, value, out, bucket, default, ahead=True, share=share)
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column,
+    bucket: Column, share: bool = False,
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key to this one."""
-    tagged = df.withColumn(_B, bucket)
+    tagged = _tag(df, keys, bucket, share)
     upto = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inner = tagged.withColumn(out, F.sum(value).over(upto))
-    edges = _edges(tagged, keys, F.sum(value).alias(_EDGE))
+    edges = _edges(tagged, keys, share, F.sum(value).alias(_EDGE))
     before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = edges.select(*keys, _B, F.sum(_EDGE).over(before).alias(_EDGE)).where(F.col(_EDGE) != 0)
     joined = inner.join(offsets, [*keys, _B], "left")
@@ -115,14 +124,14 @@ def running_sum(
 
 
 def row_ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column, share: bool = False
 ) -> DataFrame:
     """1-based position of the row within the key."""
-    tagged = df.withColumn(_B, bucket)
+    tagged = _tag(df, keys, bucket, share)
     inner = tagged.withColumn(
         out, F.row_number().over(Window.partitionBy(*keys, _B).orderBy(*order)).cast("long")
     )
-    edges = _edges(tagged, keys, F.count(F.lit(1)).alias(_EDGE))
+    edges = _edges(tagged, keys, share, F.count(F.lit(1)).alias(_EDGE))
     before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = edges.select(*keys, _B, F.sum(_EDGE).over(before).alias(_EDGE)).where(F.col(_EDGE) > 0)
     joined = inner.join(offsets, [*keys, _B], "left")
@@ -130,16 +139,17 @@ def row_ordinal(
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, bucket: Column,
+    share: bool = False,
 ) -> DataFrame:
     """Latest non-null ``value`` at or before this row."""
-    tagged = df.withColumn(_B, bucket)
+    tagged = _tag(df, keys, bucket, share)
     upto = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inner = tagged.withColumn(out, F.last(value, ignorenulls=True).over(upto))
     filled = F.when(F.col(value).isNotNull(), _order_value(order))
-    edges = _edges(tagged, keys, F.max_by(value, filled).alias(_EDGE))
+    edges = _edges(tagged, keys, share, F.max_by(value, filled).alias(_EDGE))
     before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys, _B, F.last(_EDGE, ignorenulls=True).over(before).alias(_EDGE)

@@ -92,7 +92,7 @@ def play_points(bundle: Bundle, spec: GapSpec, since: Column | None = None) -> D
         F.min("__rank").alias("__rank"),
     ).withColumn("leads", (F.col("__rank") % 2 == 0).cast("int")).drop("__point")
     order = ["occ_seq", "__rank"] if spec.repeat_policy == "flag_after" else ["occ_seq"]
-    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", _point_bucket(spec))
+    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", _point_bucket(spec), share=True)
     return lagged.where("n_plays > 0").drop("__rank")
 
 
@@ -108,14 +108,14 @@ def play_history(bundle: Bundle, spec: GapSpec) -> DataFrame:
         plays = first_play(plays, spec)
         bucket = None if _fits_one_window(spec) else F.coalesce(seq_bucket("occ_seq"), F.lit(-1))
         seated = plays.where(F.col("occ_seq").isNotNull())
-        lagged = lag_value(seated, keys, ["occ_seq"], "occ_seq", "prev_seq", bucket)
+        lagged = lag_value(seated, keys, ["occ_seq"], "occ_seq", "prev_seq", bucket, share=True)
         unseated = plays.where(F.col("occ_seq").isNull()).withColumn("prev_seq", F.lit(None).cast("int"))
         history = lagged.unionByName(unseated)
         return history.withColumn("gap", F.col("occ_seq") - F.col("prev_seq")).drop("prev_seq")
 
     tie = _tie_break(plays, spec)
     points = plays.where(F.col("occ_seq").isNotNull()).groupBy(*keys, "occ_seq").agg(F.min(tie).alias("__lead"))
-    points = lag_value(points, keys, ["occ_seq"], "occ_seq", "prev_seq", _point_bucket(spec))
+    points = lag_value(points, keys, ["occ_seq"], "occ_seq", "prev_seq", _point_bucket(spec), share=True)
     joined = plays.join(points, [*keys, "occ_seq"], "left")
     first = F.col("__lead").eqNullSafe(tie)
     gap = F.when(first, F.col("occ_seq") - F.col("prev_seq")).when(

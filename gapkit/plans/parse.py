@@ -96,7 +96,8 @@ def parse_setlist(
         .withColumn("__n", F.size("__pieces"))
     )
     order, bucket = ["line_no"], seq_bucket("line_no")
-    counted = running_sum(sets, ["occasion_id"], order, "__n", "__upto", bucket)
+    # split each text once: both sums start from the same exchange
+    counted = running_sum(sets, ["occasion_id"], order, "__n", "__upto", bucket, share=True)
     counted = running_sum(counted, ["occasion_id", "set_label"], order, "__n", "__set_upto", bucket)
 
     following = F.try_element_at(F.col("__pieces"), F.col("__pos") + 2)
@@ -173,7 +174,7 @@ def schedule_occasions(
     Several occasions of one day get the letters a, b, ... in ``order``; ``bucket`` rises with its first column.
     """
     keyed = entries.withColumn("day_key", date_key(F.col("day_text")))
-    lettered = row_ordinal(keyed, ["day_key"], list(order), "__n", bucket)
+    lettered = row_ordinal(keyed, ["day_key"], list(order), "__n", bucket, share=True)
     venue, city, state = split_place(F.col("venue_full"))
     dated = lettered.withColumns({
         "occasion_id": F.concat(

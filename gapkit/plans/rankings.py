@@ -140,8 +140,7 @@ def overdue(
 ) -> DataFrame:
     """Items with many plays, the most overdue against their own history first."""
     scores = overdue_scores(bundle, spec, as_of, policies)
-    ranked = scores.orderBy(*spec.group, F.desc_nulls_last("gap_zscore"), "item")
-    return ranked.drop("gap_zscore")
+    return _sorted(scores, spec, F.desc_nulls_last("gap_zscore")).drop("gap_zscore")
 
 
 def rotation(
@@ -166,7 +165,15 @@ def rotation(
          if spec.rotation_date_format else F.col("ltp_date")),
         "current_gap", "avg_gap", "med_gap",
     )
-    return shown.orderBy(*spec.group, F.desc("times_played_recent"), "item")
+    return _sorted(shown, spec, F.desc("times_played_recent"))
+
+
+def _sorted(ranking: DataFrame, spec: GapSpec, order: Column) -> DataFrame:
+    """Order the few ranked rows.
+
+    A global sort samples its input first. The exchange before it keeps that from running the statistics twice.
+    """
+    return ranking.repartition(*spec.group, "item").orderBy(*spec.group, order, "item")
 
 
 def rank_groups(

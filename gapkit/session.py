@@ -13,7 +13,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # sorted input, as a window leaves it, is aggregated in a stream instead of in a hash table
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 

@@ -108,7 +108,8 @@ PRESETS: dict[str, GapSpec] = {
         name="keyed_with_exclusions", repeat_policy="flag_after", last_seq="max_minus_one",
         flag_source="play", by_item_name=True, originals_only=True, exclude_flagged=True,
     ),
-    "named_by_date": GapSpec(name="named_by_date", last_seq="max_played", seq_span=SEQ_BUCKET),
+    # its occasions are the days with plays, so the last of them is the last played one
+    "named_by_date": GapSpec(name="named_by_date", seq_span=SEQ_BUCKET),
     "named_by_link": GapSpec(
         name="named_by_link", title_case=True, history_blacklist=("Jam",),
         result_blacklist=("Drums",), window_days=732, rotation_date_format="MM/dd/yy",
