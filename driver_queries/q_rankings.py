@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driver_queries import bind
@@ -9,7 +11,9 @@ from driver_queries.bind import AS_OF, table
 from driver_queries.registry import DATED, ITEMS, NAMED_PLAYS, NUMBERED, PLAYS, VENUES, query, r2
 from gapkit.operators.lookups import point_lookup
 from gapkit.plans import calendar as cal, history, rankings, reports
-from gapkit.sources.tables import next_occasion_document
+from gapkit.session import ensure_checkpoint_dir
+from gapkit.sources.layouts import FILES, ITEMS as ITEM_TABLE, OCCASIONS as OCCASION_TABLE, PLAYS as PLAY_TABLE
+from gapkit.sources.tables import load_tables, next_occasion_document, write_table
 from gapkit.spec import PRESETS, Bundle
 
 TIE = "l_shipdate, l_extendedprice, l_quantity, l_suppkey"
@@ -371,6 +375,34 @@ def rotation_of_groups(spark, sf_dir):
     return rankings.rank_groups(bundle, spec, policies, AS_OF)[1]
 
 
+@query("s4_tables_from_files", overdue_sql(
+    FLAGGED_CTE, "item, is_original", MAX_SEQ.replace("max(occ_seq)", "max(occ_seq) - 1"),
+    "n_plays > 10 AND is_original = 1"))
+def tables_from_files(spark, sf_dir):
+    """The driver tables written as files of a known layout, loaded and ranked."""
+    folder = f"{ensure_checkpoint_dir(spark)}/layout-{uuid.uuid4().hex}"
+    base = bind.numbered_bundle(spark, sf_dir)
+    null = F.lit(None).cast("string")
+    files = {
+        ITEM_TABLE: base.items.select(
+            F.col("item_id").alias("song_id"), F.col("item").alias("song"), "is_original", null.alias("original_artist"),
+            null.alias("debut_date"), null.alias("last_played"), null.alias("times_played"), null.alias("avg_show_gap")),
+        OCCASION_TABLE: base.occasions.select(
+            F.col("occ_seq").alias("show_number"), F.col("occasion_id").alias("show_id"),
+            F.date_format("occ_date", "yyyy-MM-dd").alias("show_date"), "venue_id", null.alias("tour_id"),
+            F.lit(1).alias("show_order")),
+        PLAY_TABLE: base.plays.select(
+            F.lit(0).alias("uniqueid"), F.col("occasion_id").alias("show_id"), F.col("item_id").alias("song_id"),
+            F.lit("1").alias("setnumber"), "position", null.alias("tracktime"), F.lit(1).alias("transition_id"),
+            F.col("is_repeat").alias("isreprise"), F.lit(0).alias("isjam"), F.lit('a "note", x').alias("footnote"),
+            F.lit(0).alias("isjamchart"), null.alias("jamchart_notes"), null.alias("soundcheck"),
+            F.lit(1).alias("isverified"), F.lit(0).alias("isrecommended")),
+    }
+    for name, table_ in files.items():
+        write_table(table_, f"{folder}/{FILES[name]}", "csv")
+    return rankings.overdue(load_tables(spark, folder, "keyed_with_repeats"), REPEATS, AS_OF)
+
+
 @query("f17_point_lookup", f"""WITH {VENUES} SELECT o_orderkey AS occasion_id, o_custkey AS venue_id, venue, state
 FROM orders LEFT JOIN venues ON o_custkey = venue_id""")
 def venue_of_occasion(spark, sf_dir):

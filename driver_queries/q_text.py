@@ -310,6 +310,16 @@ def json_envelope(spark, sf_dir):
     return read_envelope(spark, path, "venue_id: bigint, venue: string, balance: double", multi_line=False)
 
 
+@query("s6_json_metadata", """SELECT c_name AS source, CASE WHEN c_custkey % 3 = 0 THEN 'Unknown' ELSE 'day ' || c_nationkey END
+  AS last_updated FROM customer""")
+def json_metadata(spark, sf_dir):
+    path = f"{_scratch(spark)}/stamps"
+    stamp = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("day "), "c_nationkey"))
+    table(spark, sf_dir, "customer").select(F.col("c_name").alias("source"), stamp.alias("last_updated")).write.json(path)
+    stored = spark.read.schema("source string, last_updated string").json(path)
+    return stored.select("source", F.coalesce("last_updated", F.lit("Unknown")).alias("last_updated"))
+
+
 @query("s11_partitioned_table", "SELECT doc_id, n_chars, lang FROM documents WHERE lang = 'de'")
 def partitioned_table(spark, sf_dir):
     path = f"{_scratch(spark)}/documents"
@@ -409,6 +419,29 @@ def numbered_notes(spark, sf_dir):
     return parse.numbered_notes(texts)
 
 
+@query("j12_page_plays", """WITH b AS (SELECT conv_id, turn // 3 AS par, turn, CASE WHEN turn % 3 = 0 THEN 'Set ' || (turn // 3 + 1) END AS label,
+  regexp_replace(role || ',', '[,>]$', '') || turn AS item FROM conversations),
+f AS (SELECT conv_id, turn, string_agg(coalesce(t, ''), ' ' ORDER BY pos) AS footnote FROM (
+  SELECT b.conv_id, b.turn, pos, d.t FROM (SELECT conv_id, turn, unnest([turn + 2, turn]) AS ref, unnest([0, 1]) AS pos FROM b) b
+  LEFT JOIN (SELECT conv_id, turn, role || '-' || turn AS t FROM conversations) d ON d.conv_id = b.conv_id AND d.turn = b.ref)
+  GROUP BY 1, 2)
+SELECT conv_id AS occasion_id, par AS paragraph_no, turn AS box_no, CASE WHEN set_label IN ('Set 1', 'Set 2', 'Set 3') THEN set_label[5:]
+  ELSE set_label END AS set_label, item, item_before, item_after, trim(footnote) AS footnote FROM (SELECT *,
+  last_value(label IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS set_label,
+  lag(item, 1, '***') OVER (PARTITION BY conv_id, par ORDER BY turn) AS item_before,
+  lead(item, 1, '***') OVER (PARTITION BY conv_id, par ORDER BY turn) AS item_after FROM b) JOIN f USING (conv_id, turn)""")
+def page_plays(spark, sf_dir):
+    turn = F.col("turn")
+    turns = table(spark, sf_dir, "conversations")
+    boxes = turns.select(
+        F.col("conv_id").alias("occasion_id"), F.floor(turn / 3).alias("paragraph_no"), turn.alias("box_no"),
+        F.when(turn % 3 == 0, F.concat(F.lit("Set "), F.floor(turn / 3) + 1)).alias("label"),
+        F.concat("role", turn, F.lit(",")).alias("item"), F.array(turn + 2, turn).alias("refs"))
+    details = turns.select(
+        F.col("conv_id").alias("occasion_id"), turn.alias("ref"), F.concat_ws("-", "role", "turn").alias("detail"))
+    return parse.page_plays(boxes, details)
+
+
 SCHEDULE = """e AS (SELECT o_orderkey, 0 AS entry_no, CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%m/00/%y')
     ELSE strftime(o_orderdate, '%m/%d/%y') END AS day_text, c_name || ', Hall, ' || c_mktsegment || ', N' || c_nationkey AS venue_full
   FROM orders JOIN customer ON o_custkey = c_custkey
@@ -448,3 +481,21 @@ def schedule_occasions(spark, sf_dir):
         entries, ["o_orderkey", "entry_no"], seq_bucket("o_orderkey"), link_prefix="u/", link_suffix=".asp")
     return occasions.select("o_orderkey", "entry_no", "occasion_id", "occ_date", "year", "month", "day", "weekday",
                             "day_label", "venue", "city", "state")
+
+
+@query("c16_linked_calendar", f"""WITH {SCHEDULE},
+k AS (SELECT *, CASE WHEN day_text[7:7] IN ('8', '9') THEN '19' ELSE '20' END || day_text[7:8] || day_text[:2] || day_text[4:5] AS key,
+  string_split(venue_full, ', ') AS a FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o_orderkey, entry_no) AS r,
+  upper(CASE WHEN len(a) > 2 THEN array_to_string(a[:len(a) - 2], ', ') ELSE a[1] END) AS venue,
+  row_number() OVER (ORDER BY o_orderkey, entry_no) AS occ_seq,
+  row_number() OVER (PARTITION BY o_orderkey ORDER BY entry_no) AS seq_in_year,
+  CASE WHEN day_text[4:5] <> '00' THEN CAST(strptime(day_text, '%m/%d/%y') AS DATE) END AS d FROM k),
+v AS (SELECT *, CASE WHEN lag(venue) OVER (ORDER BY occ_seq) = venue THEN 0 ELSE 1 END AS brk FROM n),
+g AS (SELECT *, sum(brk) OVER (ORDER BY occ_seq) AS run_index FROM v)
+SELECT key || chr(CAST(96 + r AS INTEGER)) AS occasion_id, strftime(d, '%Y-%m-%d') AS occ_date, venue, occ_seq, seq_in_year, run_index
+FROM g WHERE d <= (SELECT min(d) FROM g WHERE d >= DATE '2000-06-15')""")
+def linked_calendar(spark, sf_dir):
+    from gapkit.plans.calendar import linked_calendar as build
+    schedules = _schedules(spark, sf_dir).withColumnRenamed("o_orderkey", "list_year")
+    return build(schedules, "2000-06-15").select("occasion_id", "occ_date", "venue", "occ_seq", "seq_in_year", "run_index")

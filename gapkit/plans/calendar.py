@@ -7,8 +7,12 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapkit.operators.sequence import global_sequence
+from gapkit.operators.lookups import correct_venue_and_city
+from gapkit.operators.ordered import seq_bucket
+from gapkit.operators.runs import run_index
+from gapkit.operators.sequence import global_sequence, sequence_within
 from gapkit.operators.sets import dimension, top_n
+from gapkit.plans.parse import parse_schedule, schedule_occasions
 
 
 def _day(as_of: date | str) -> Column:
@@ -35,17 +39,18 @@ def past_and_next(
 
 
 def up_to_first_future(
-    df: DataFrame, as_of: date | str, date_col: str = "occ_date", undated: str = "as_reference"
+    df: DataFrame, as_of: date | str, date_col: str = "occ_date", undated: str = "if_last",
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """All occasions up to the day of the next one.
 
-    Undated occasions: ``as_reference`` keeps them only if nothing lies in the future, ``keep`` and ``drop``
-    say so outright.
+    Undated occasions: ``if_last`` keeps them only if nothing lies in the future, ``keep`` and ``drop``
+    say so outright. ``calendar`` is where the next date is looked up, when that is cheaper than in ``df``.
     """
-    if undated not in ("as_reference", "keep", "drop"):
+    if undated not in ("if_last", "keep", "drop"):
         raise ValueError(f"unknown choice for undated occasions: {undated!r}")
     col = F.col(date_col)
-    first = df.agg(F.min(F.when(col >= _day(as_of), col))).scalar()
+    first = (df if calendar is None else calendar).agg(F.min(F.when(col >= _day(as_of), col))).scalar()
     if undated == "drop":
         return df.where(col.isNotNull() & F.coalesce(col <= first, F.lit(True)))
     if undated == "keep":
@@ -84,6 +89,24 @@ def build_calendar(
     return result
 
 
+def linked_calendar(
+    schedules: DataFrame, as_of: date | str, link_prefix: str = "", link_suffix: str = ""
+) -> DataFrame:
+    """Occasions out of yearly schedule texts ``(list_year, text)``.
+
+    Numbered over all years and within each, with runs at one venue and corrected places. Runs follow the venue as
+    printed. Occasions after the next one are left out.
+    """
+    entries = parse_schedule(schedules)
+    occasions = schedule_occasions(
+        entries, ["list_year", "entry_no"], F.struct("list_year", seq_bucket("entry_no")), link_prefix, link_suffix
+    )
+    numbered = global_sequence(occasions, ["list_year", "entry_no"], "occ_seq")
+    numbered = sequence_within(numbered, ["list_year"], "occ_seq", "seq_in_year")
+    runs = run_index(numbered, "venue", ["occ_seq"])
+    return up_to_first_future(correct_venue_and_city(runs), as_of, calendar=numbered)
+
+
 def next_occasion(
     occasions: DataFrame, as_of: date | str, venues: DataFrame | None = None,
     tie: Sequence[str] = ("occasion_id",), include_today: bool = True,

@@ -11,11 +11,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapkit.functions import (
-    capitalize_first, count_of, date_key, even_elements, odd_elements, ordinal_letter, parse_mdy2,
-    partial_date_label, split_place, strip, weekday_name,
+    capitalize_first, count_of, date_key, even_elements, front_article, odd_elements, ordinal_letter, parse_mdy2,
+    partial_date_label, split_place, strip, trim_trailing_the, weekday_name,
 )
 from gapkit.operators.lookups import map_or_self
-from gapkit.operators.ordered import row_ordinal, running_sum, seq_bucket
+from gapkit.operators.notes import resolve_references
+from gapkit.operators.ordered import carry_forward, lag_value, lead_value, row_ordinal, running_sum, seq_bucket
 
 # Markers and name repairs of set-list text. Fixed values.
 SET_PREFIXES = ("0:", "1:", "2:", "3:", "4:", "E:", "E1", "E2", "E3", "E4")
@@ -46,6 +47,7 @@ VENUE_TEXT_REPAIRS = {
     "Ram's Head Live, Baltimore, MD": "Ram's Head Live!, Baltimore, MD",
     "Virginia Credit Union Live, Richmond, VA": "Virginia Credit Union Live!, Richmond, VA",
 }
+VENUE_ADDRESS_MARKS = (("&", "amp"), ("'", "039"), ("!", ""))
 
 
 def line_class(text: Column) -> Column:
@@ -191,3 +193,48 @@ def schedule_occasions(
         "weekday": weekday_name(F.col("occ_date")),
         "day_label": partial_date_label(F.col("occ_date"), F.col("year"), F.col("month"), F.col("day")),
     }).drop("__n", "day_key")
+
+
+def item_text(text: Column) -> Column:
+    """Item name as printed in a set list, without a trailing comma or segue mark."""
+    return strip(F.regexp_replace(strip(text), "[,>]$", ""))
+
+
+def venue_key_text(venue: Column) -> Column:
+    """Venue name as used in page addresses."""
+    fronted = front_article(venue)
+    for old, new in VENUE_ADDRESS_MARKS:
+        fronted = F.replace(fronted, F.lit(old), F.lit(new))
+    return fronted
+
+
+def repair_venue_text(venue: Column) -> Column:
+    """Venue name back from its address form, with known repairs."""
+    text = F.replace(F.regexp_replace(venue, r"\bamp\b", "&"), F.lit("039"), F.lit("'"))
+    return trim_trailing_the(map_or_self(text, VENUE_TEXT_REPAIRS))
+
+
+def page_plays(boxes: DataFrame, notes: DataFrame) -> DataFrame:
+    """Plays out of the item boxes of set-list pages.
+
+    boxes  occasion_id, paragraph_no, box_no, label, item, refs; the label is there where a set begins
+    notes  occasion_id, ref, detail
+
+    The set label holds until the next one. Neighbours are those of the same paragraph, ``***`` at its ends.
+    """
+    place = F.struct("paragraph_no", "box_no")
+    bucket = F.col("paragraph_no")
+    labelled = carry_forward(
+        boxes.withColumn("__place", place), ["occasion_id"], ["__place"], "label", "set_label", bucket, share=True
+    ).drop("__place")
+    named = labelled.withColumn("item", item_text(F.col("item")))
+    keys, by_box = ["occasion_id", "paragraph_no"], seq_bucket("box_no")
+    chained = lag_value(named, keys, ["box_no"], "item", "item_before", by_box, NO_NEIGHBOUR)
+    chained = lead_value(chained, keys, ["box_no"], "item", "item_after", by_box, NO_NEIGHBOUR)
+    noted = resolve_references(
+        chained, ["occasion_id", "paragraph_no", "box_no"], "refs", notes, ["occasion_id"], "ref", "detail", "footnote"
+    )
+    return noted.select(
+        "occasion_id", "paragraph_no", "box_no", short_set_name(strip(F.coalesce("set_label", F.lit("")))).alias("set_label"),
+        "item", "item_before", "item_after", "footnote",
+    )

@@ -14,6 +14,8 @@ from gapkit.sources.layouts import FILES, ITEMS, LAYOUTS, OCCASIONS, PLAYS, TOUR
 from gapkit.spec import Bundle
 
 STAMP_SCHEMA = "last_updated string"
+# Column names of published rankings. Fixed values.
+PUBLIC_COLUMNS = {"item": "song", "times_played_recent": "times_played_in_last_year"}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -109,6 +111,12 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
     return sorted(tables)
 
 
+def publish(folder: str, overdue: DataFrame, rotation: DataFrame, fmt: str = "csv") -> list[str]:
+    """Write both rankings under their public column names, in ranking order."""
+    tables = {"overdue": overdue, "rotation": rotation}
+    return write_tables({n: t.withColumnsRenamed(PUBLIC_COLUMNS) for n, t in tables.items()}, folder, fmt)
+
+
 def next_occasion_document(
     occasions: DataFrame, as_of: date | str, venues: DataFrame | None = None, include_today: bool = True
 ) -> DataFrame:

@@ -120,3 +120,15 @@ def test_missing_plays_and_freshness(spark):
     stamps = spark.createDataFrame([("a", "2024-01-01T00:00:00")], "source string, last_updated string")
     assert {r.source: r.last_updated for r in reports.freshness(stamps, names).collect()} == {
         "a": "2024-01-01T00:00:00", "b": "Unknown"}
+
+
+def test_linked_calendar(spark):
+    schedules = spark.createDataFrame(
+        [(1999, "12/30/99 Adams Center, Missoula, MT 12/31/99 Adams Center, Missoula, MT ??/??/99 X, A, GA"),
+         (2024, "01/05/24 X, A, GA 07/01/24 Y, B, GA 07/01/24 Y, B, GA 08/01/24 Z, C, GA")],
+        "list_year int, text string")
+    got = cal.linked_calendar(schedules, AS_OF).orderBy("occ_seq").collect()
+    assert [(r.occasion_id, r.occ_seq, r.seq_in_year, r.run_index, r.venue) for r in got] == [
+        ("19991230a", 1, 1, 1, "ADAMS FIELDHOUSE, UNIVERSITY OF MONTANA"),
+        ("19991231a", 2, 2, 1, "ADAMS FIELDHOUSE, UNIVERSITY OF MONTANA"),
+        ("20240105a", 4, 1, 2, "X"), ("20240701a", 5, 2, 3, "Y"), ("20240701b", 6, 3, 3, "Y")]

@@ -83,3 +83,23 @@ def test_pages(spark):
     assert [(r.Venue, r.Date, r.Footnote) for r in named] == [("A & B", "2024-01-01", None), (None, "2024-01-02", None)]
     assert [r.target for r in html.links(pages, r'href="/song/([^"]+)"').collect()] == ["a-b"]
     assert {r.page_id: r.title for r in html.quoted_title(pages).collect()} == {1: "Some Song", 2: "Unknown Title"}
+
+
+def test_page_plays(spark):
+    boxes = spark.createDataFrame(
+        [("o", 0, 0, "Set 1:", "A,", ["1"]), ("o", 0, 1, None, "B >", []), ("o", 1, 0, None, "C", ["2", "1"]),
+         ("o", 2, 0, "Encore:", "D", ["9"]), ("p", 0, 0, None, "E", [])],
+        "occasion_id string, paragraph_no int, box_no int, label string, item string, refs array<string>")
+    details = spark.createDataFrame([("o", "1", "one"), ("o", "2", "two")], "occasion_id string, ref string, detail string")
+    got = parse.page_plays(boxes, details).orderBy("occasion_id", "paragraph_no", "box_no").collect()
+    assert [(r.set_label, r.item, r.item_before, r.item_after, r.footnote) for r in got] == [
+        ("1", "A", "***", "B", "one"), ("1", "B", "A", "***", ""), ("1", "C", "***", "***", "two one"),
+        ("e", "D", "***", "***", ""), ("", "E", "***", "***", "")]
+
+
+def test_venue_texts(spark):
+    df = spark.createDataFrame([("Ram's Head! & Co, The",), ("Plain",)], "v string")
+    assert [r[0] for r in df.select(parse.venue_key_text(F.col("v"))).collect()] == ["The Ram039s Head amp Co", "Plain"]
+    df = spark.createDataFrame([("Ram039s Head Live, Baltimore, MD",), ("A amp B, X",), ("Camp, the",)], "v string")
+    assert [r[0] for r in df.select(parse.repair_venue_text(F.col("v"))).collect()] == [
+        "Ram's Head Live!, Baltimore, MD", "A & B, X", "Camp,"]

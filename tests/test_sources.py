@@ -116,3 +116,12 @@ def test_registry():
         registry.add(PRESETS["named_by_date"], "not callable")
     register(PRESETS["named_by_date"], lambda: None)
     assert "named_by_date" in registered()
+
+
+def test_publish_keeps_order_and_names(spark, tmp_path):
+    over = spark.createDataFrame([("b", 3), ("a", 9)], "item string, times_played_total int").orderBy("times_played_total")
+    rot = spark.createDataFrame([("c", 5)], "item string, times_played_recent int")
+    tables.publish(str(tmp_path), over, rot)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "overdue").glob("part-*.csv")))
+    assert [ln for ln in text.splitlines() if not ln.startswith("song,")] == ["b,3", "a,9"]
+    assert "song,times_played_in_last_year" in next((tmp_path / "rotation").glob("part-*.csv")).read_text()
