@@ -420,7 +420,7 @@ def difference_of_keys(spark, sf_dir):
 
 
 @query("c11_enriched_occasions", """WITH v AS (SELECT o_orderkey AS occasion_id, CAST(o_orderdate AS DATE) AS d,
-  upper(c_name || ' ' || (c_acctbal / 100)::INTEGER || '.' || c_nationkey % 10 || CASE WHEN c_nationkey > 12 THEN 'FM' ELSE '' END
+  upper(c_name || ' ' || CAST(floor(c_acctbal / 100) AS INTEGER) || '.' || c_nationkey % 10 || CASE WHEN c_nationkey > 12 THEN 'FM' ELSE '' END
     || CASE WHEN c_mktsegment = 'BUILDING' THEN ' studio' ELSE ' HALL' END) AS venue_full
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0),
 n AS (SELECT conv_id, text AS t FROM conversations WHERE turn = 0)
@@ -437,7 +437,7 @@ def enriched_occasions(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(
         F.col("c_custkey").alias("venue_id"),
         F.upper(F.concat(
-            "c_name", F.lit(" "), F.round(F.col("c_acctbal") / 100).cast("int").cast("string"), F.lit("."),
+            "c_name", F.lit(" "), F.floor(F.col("c_acctbal") / 100).cast("int").cast("string"), F.lit("."),
             (F.col("c_nationkey") % 10).cast("string"), F.when(F.col("c_nationkey") > 12, "FM").otherwise(""),
             F.when(F.col("c_mktsegment") == "BUILDING", " studio").otherwise(" HALL"),
         )).alias("venue_full"))

@@ -51,8 +51,9 @@ def slug(*parts: Column) -> Column:
 
 
 def ordinal_letter(n: Column) -> Column:
-    """1 -> a, 2 -> b, ..."""
-    return F.char(n + F.lit(96))
+    """1 -> a, 2 -> b, ...; past z the code points go on, so that letters stay distinct."""
+    code = F.lpad(F.hex(n + F.lit(96)), 8, "0")
+    return F.decode(F.unhex(code), "UTF-32")
 
 
 def split_place(text: Column) -> tuple[Column, Column, Column]:

@@ -99,3 +99,8 @@ def test_alternate_elements_and_letters(spark):
 
 def test_invalid_iso_dates_are_null(spark):
     assert one(spark, ["2001-02-31", "2001-02-03", "x"], G.parse_iso) == [None, date(2001, 2, 3), None]
+
+
+def test_letters_stay_distinct(spark):
+    values = [1, 26, 27, 31, 32, 159, 160, 161, 1000]
+    assert one(spark, values, G.ordinal_letter, "long") == [chr(ord("a") + n - 1) for n in values]
