@@ -29,8 +29,13 @@ def date_sequence(
 
 
 def with_date_sequence(df: DataFrame, date_col: str, out: str, group: Sequence[str] = ()) -> DataFrame:
-    """Attach the dense date rank; the calendar side is bounded by its days, Spark checks its size."""
-    return df.join(date_sequence(df, date_col, out, group), [*group, date_col], "left")
+    """Attach the dense date rank.
+
+    Without groups the rank table has one row per day, some thousands for any calendar, and is broadcast. With
+    groups its size is unknown and Spark decides.
+    """
+    days = date_sequence(df, date_col, out, group)
+    return df.join(days if group else F.broadcast(days), [*group, date_col], "left")
 
 
 def global_sequence(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
@@ -59,11 +64,11 @@ def global_sequence(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
         .checkpoint()
     )
     counts = numbered.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per range partition, so this window is as small as the partition count
+    # one row per range partition: window and broadcast are as small as the partition count
     before = Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     return (
-        numbered.join(offsets, _PART)
+        numbered.join(F.broadcast(offsets), _PART)
         .withColumn(out, F.col("__before") + F.col(_LOCAL) + F.lit(1))
         .select(*df.columns, out)
     )

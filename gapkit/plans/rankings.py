@@ -55,15 +55,17 @@ def item_stats(
     else:
         rows = points.withColumns({"gap": gap, "w": F.lit(1).cast("long")})
 
-    named, stat_keys = _with_stat_keys(rows, bundle, spec)
+    spans = rows.withColumns({"last_seq": F.col("occ_seq"), "last_date": F.col("occ_date")})
+    spans = spans.withColumnsRenamed({"occ_seq": "first_seq", "occ_date": "first_date"})
+    named, stat_keys = _with_stat_keys(spans, bundle, spec)
     g = F.col("gap").cast("double")
     n_gaps = F.sum(F.when(F.col("gap").isNotNull(), F.col("w")))
     raw = named.groupBy(*stat_keys).agg(
         F.sum("w").alias("n_plays"),
-        F.min("occ_seq").alias("first_seq"),
-        F.max("occ_seq").alias("last_played_seq"),
-        F.min_by("occ_date", "occ_seq").alias("debut_date"),
-        F.max_by("occ_date", "occ_seq").alias("ltp_date"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_played_seq"),
+        F.min_by("first_date", "first_seq").alias("debut_date"),
+        F.max_by("last_date", "last_seq").alias("ltp_date"),
         F.min("gap").alias("min_gap"),
         F.max("gap").alias("max_gap"),
         n_gaps.alias("__n"),
@@ -88,6 +90,16 @@ def _with_stat_keys(rows: DataFrame, bundle: Bundle, spec: GapSpec) -> tuple[Dat
         catalog.append("is_original")
     if spec.flag_source:
         keys.append("is_original")
+    # Fold to a histogram of gaps per item before the catalog comes in: a bucket of 65,536 points has at most
+    # some hundred distinct gaps, so the join and the final aggregate shuffle little.
+    play_flag = ["is_original"] if spec.flag_source == "play" else []
+    rows = rows.groupBy(*spec.group, "item_id", *play_flag, "gap").agg(
+        F.sum("w").alias("w"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.min_by("first_date", "first_seq").alias("first_date"),
+        F.max_by("last_date", "last_seq").alias("last_date"),
+    )
     group = [c for c in spec.group if c in bundle.items.columns]
     named = rows.join(bundle.items.select(*group, *catalog), [*group, "item_id"])
     # plays without a name or a flag belong to no item
