@@ -52,6 +52,18 @@ def test_running_functions(skewed, width):
          skewed.withColumn("o", F.last("label", ignorenulls=True).over(upto)))
 
 
+@pytest.mark.parametrize("width", [1, 64])
+def test_shared_exchange_changes_nothing(skewed, width):
+    bucket = ordered.seq_bucket("s", width)
+    upto = by_key().rowsBetween(Window.unboundedPreceding, 0)
+    same(ordered.lag_value(skewed, ["k"], ["s"], "label", "o", bucket, "***", share=True),
+         skewed.withColumn("o", F.lag("label", 1, "***").over(by_key())))
+    same(ordered.running_sum(skewed, ["k"], ["s"], "v", "o", bucket, share=True),
+         skewed.withColumn("o", F.sum("v").over(upto)))
+    same(ordered.carry_forward(skewed, ["k"], ["s"], "label", "o", bucket, share=True),
+         skewed.withColumn("o", F.last("label", ignorenulls=True).over(upto)))
+
+
 def test_without_keys(skewed):
     w = Window.partitionBy(F.lit(0)).orderBy("s")
     same(ordered.row_ordinal(skewed, [], ["s"], "o", ordered.seq_bucket("s", 99)),
@@ -67,7 +79,7 @@ def test_whole_group(skewed):
 def test_edge_table_reuses_the_shuffle(spark, skewed, tmp_path):
     skewed.write.parquet(str(tmp_path / "plays"))
     points = spark.read.parquet(str(tmp_path / "plays")).where("k IS NOT NULL").groupBy("k", "s").agg(F.max("v").alias("v"))
-    lagged = ordered.lag_value(points, ["k"], ["s"], "s", "p", ordered.seq_bucket("s", 50))
+    lagged = ordered.lag_value(points, ["k"], ["s"], "s", "p", ordered.seq_bucket("s", 50), share=True)
     lagged.collect()
     assert "ReusedExchange" in lagged._jdf.queryExecution().executedPlan().toString()
 
