@@ -9,7 +9,7 @@ from driver_queries.bind import AS_OF, table
 from driver_queries.registry import DATED, ITEMS, NUMBERED, PLAYS, VENUES, query
 from gapkit.functions import days_before
 from gapkit.operators import enrich, lookups, notes, ordered, sets
-from gapkit.plans import calendar as cal, history, rankings
+from gapkit.plans import calendar as cal, history
 from gapkit.spec import PRESETS, Bundle
 
 # --- projections -------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driver_queries import bind
 from driver_queries.bind import table
-from driver_queries.registry import DATED, ITEMS, NUMBERED, PLAYS, query
+from driver_queries.registry import DATED, NUMBERED, PLAYS, query
 from gapkit.functions import ordinal_letter
 from gapkit.operators import notes, ordered, runs, sequence, sets
 from gapkit.operators.enrich import items_per_occasion
