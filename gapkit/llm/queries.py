@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gapkit.llm.near_dedup import NearParams, near_duplicates
+from gapkit.llm.substring_dedup import RepeatParams, without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +32,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked from 85 of 100 on."""
     return near_duplicates(table(spark, sf_dir, "documents"), NearParams(k=3, percent=85))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words."""
+    return without_repeats(table(spark, sf_dir, "documents"), RepeatParams(window=20), digest=True).withColumnRenamed(
+        "kept", "kept_sha256")
+
+
+# Words by their place, windows as text, the first start of each, and the words under the others.
+SQL["op6_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS k FROM s),
+l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM l),
+a AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+r AS (SELECT w.doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN a ON w.doc_id = a.doc_id),
+p AS (SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed, ws, list_sort(gone) AS gone FROM r),
+u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+t AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.i = g.i
+      WHERE g.i IS NULL GROUP BY u.doc_id)
+SELECT p.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM p LEFT JOIN t ON p.doc_id = t.doc_id"""
