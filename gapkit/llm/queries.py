@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gapkit.llm.language_id import languages_of
 from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.substring_dedup import RepeatParams, without_repeats
 
@@ -57,3 +58,8 @@ t AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN
 SELECT p.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM p LEFT JOIN t ON p.doc_id = t.doc_id"""
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_of(table(spark, sf_dir, "documents"))
