@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapkit.llm.language_id import languages_of
 from gapkit.llm.near_dedup import NearParams, near_duplicates
+from gapkit.llm.packing import packed
 from gapkit.llm.substring_dedup import RepeatParams, without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,9 @@ FROM p LEFT JOIN t ON p.doc_id = t.doc_id"""
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_of(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
