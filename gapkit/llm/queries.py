@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapkit.llm.fingerprint import as_text, fingerprinted, likeness
 from gapkit.llm.language_id import languages_of
 from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.packing import packed
@@ -30,6 +31,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprinted(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"))
+
+
 @query
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked from 85 of 100 on."""
