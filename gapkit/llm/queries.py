@@ -10,8 +10,10 @@ from gapkit.llm.fingerprint import as_text, fingerprinted, likeness
 from gapkit.llm.language_id import languages_of
 from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.packing import packed
+from gapkit.llm.pseudonyms import pseudonymized
 from gapkit.llm.substring_dedup import RepeatParams, without_repeats
 
+KEY = "key of the registered queries"  # a real run passes its own secret
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -81,3 +83,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymized(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_values")
