@@ -175,8 +175,9 @@ def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), dige
         "windows")
     touched = extended.where("text is not null")
     places = touched.select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
-        F.col("w.hashes").alias("h"), "doc_id", F.col("w.starts").alias("start")).distinct()
-    later = places.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("doc_id", "start"))).where("n > 1")
+        F.col("w.hashes").alias("h"), "doc_id", F.col("w.starts").alias("start"))
+    # rank, as equal rows tie
+    later = places.withColumn("n", F.rank().over(Window.partitionBy("h").orderBy("doc_id", "start"))).where("n > 1")
     gone = later.groupBy("doc_id").agg(F.collect_list("start").alias("later"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
