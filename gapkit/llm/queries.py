@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapkit.llm.fingerprint import as_text, fingerprinted, likeness
 from gapkit.llm.language_id import languages_of
+from gapkit.llm.mixing import mixed
 from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.packing import packed
 from gapkit.llm.pseudonyms import pseudonymized
@@ -88,3 +89,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymized(table(spark, sf_dir, "documents"), KEY).select("doc_id", "text", "n_values")
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixed(table(spark, sf_dir, "documents"))
+    taken = mix.blocks.groupBy("doc_id", "copy").agg(
+        F.sum("n").alias("taken"), F.min(F.struct("shard", "position")).alias("first"))
+    rows = mix.documents.alias("d").join(
+        taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.copy") == F.col("t.copy")), "left")
+    sources = mix.sources.alias("s")
+    return rows.join(sources, F.col("d.source").eqNullSafe(F.col("s.source"))).select(
+        "d.doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.col("first.shard").alias("first_shard"), F.col("first.position").alias("first_position"))
