@@ -13,6 +13,7 @@ from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.packing import packed
 from gapkit.llm.pseudonyms import pseudonymized
 from gapkit.llm.substring_dedup import RepeatParams, without_repeats
+from gapkit.llm.topk import scaled, top_k
 
 KEY = "key of the registered queries"  # a real run passes its own secret
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,22 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("own"), F.col("following")).alias("near_next"))
 
 
+@query
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled(F.col("embedding")).alias("v"))
+    return top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+SQL["op4_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+
 @query
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked from 85 of 100 on."""
