@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gapkit.llm.fingerprint import as_text, fingerprinted, likeness
+from gapkit.llm.html_text import extracted
 from gapkit.llm.language_id import languages_of
+from gapkit.llm.license_scan import scanned
 from gapkit.llm.mixing import mixed
 from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.packing import packed
@@ -35,6 +37,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprinted(table(spark, sf_dir, "documents"))

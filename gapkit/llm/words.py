@@ -104,7 +104,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(column: pa.Array) -> Words:
-    data, at = raw(column)
+    return words_in(*raw(column))
+
+
+def words_in(data: np.ndarray, at: np.ndarray) -> Words:
+    """The words of the texts ``data[at[d]:at[d + 1]]``, which follow each other."""
     if not len(data):
         return Words(data, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at), np.int64))
     space = _SPACE[data]
