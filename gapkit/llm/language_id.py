@@ -8,7 +8,7 @@ short pieces, so that short texts are judged well too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -187,7 +187,7 @@ def fit_languages(docs: DataFrame, params: LanguageParams = LanguageParams()) ->
     return LanguageModel(p, members, pairs(kin, list(members)), {f: pairs(langs, m) for f, m in members.items()})
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str] = ["doc_id"]) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel | None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs``, ``lang_pred`` and ``score`` (0 to 1) for each row, from ``text`` alone.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything when no language was learned. An
@@ -200,7 +200,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, keep: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in slices(batches):
+        for part in slices(batches, "__text"):
             code, bounds = trigrams(*raw(part.column(0)), m.params.bits)
             langs, score = m.predict(code, bounds)
             letter = part.column(1).to_pylist()
@@ -211,7 +211,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, keep: list[
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
     letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter")
-    return _texts(docs, letter, *(F.col(c) for c in keep)).mapInArrow(run, schema)
+    lowered = F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__text")
+    return docs.select(lowered, letter, *keep).mapInArrow(run, schema)
 
 
 def fold(column: Column) -> Column:
