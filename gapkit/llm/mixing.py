@@ -218,9 +218,12 @@ def mixed_texts(docs: DataFrame, mix: Mix) -> DataFrame:
     body = F.xxhash64("text")
     size = word_count(F.col("text"))
     copies = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), size, body)
-    rows = docs.withColumn("copy", F.row_number().over(copies))
-    blocks = mix.blocks.select("shard", "position", F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "start", "n")
-    found = rows.join(blocks, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("copy") == F.col("__copy")))
-    cut = F.when((F.col("start") == 0) & (F.col("n") == size), F.col("text")).otherwise(
-        F.array_join(F.slice(words(F.col("text")), F.col("start").cast("int") + 1, F.col("n").cast("int")), " "))
-    return found.withColumn("text", cut).repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").select(*docs.columns)
+    own = [f"__mix_{c}" for c in ("number", "shard", "position", "doc_id", "copy", "start", "n")]
+    rows = docs.withColumn(own[0], F.row_number().over(copies))
+    blocks = mix.blocks.select(*[F.col(c.removeprefix("__mix_")).alias(c) for c in own[1:]])
+    found = rows.join(blocks, rows["doc_id"].eqNullSafe(F.col("__mix_doc_id")) & (F.col("__mix_number") == F.col("__mix_copy")))
+    start, n = F.col("__mix_start"), F.col("__mix_n")
+    cut = F.when((start == 0) & (n == size), F.col("text")).otherwise(
+        F.array_join(F.slice(words(F.col("text")), start.cast("int") + 1, n.cast("int")), " "))
+    order = ["__mix_shard", "__mix_position"]
+    return found.withColumn("text", cut).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
