@@ -301,20 +301,17 @@ def no_next(spark, sf_dir):
     return next_occasion_document(bind.calendar(spark, sf_dir), "2030-01-01").withColumnRenamed("value", "document")
 
 
-@query("c10_freshness", """SELECT n_name AS source, coalesce(max(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')), 'Unknown')
-  AS last_updated FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900
-  LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name""")
+@query("c10_freshness", """SELECT c_name AS source, coalesce(max(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')), 'Unknown')
+  AS last_updated FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_name""")
 def freshness(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), "n_nationkey")
-    customers = table(spark, sf_dir, "customer").where("c_acctbal > 9900")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("source"), "c_custkey")
     orders = table(spark, sf_dir, "orders")
     stamps = (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy("source").agg(F.max("o_orderdate").alias("t"))
         .select("source", F.date_format(F.col("t").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("last_updated"))
     )
-    return reports.freshness(stamps, nations)
+    return reports.freshness(stamps, customers)
 
 
 GROUP_PLAYS = """plays AS (

@@ -284,9 +284,9 @@ def last_date(spark, sf_dir):
 
 
 @query("j5_two_catalogs", """SELECT p_partkey AS item_id, p_name AS item, times_played FROM part
-JOIN (SELECT l_partkey, count(*) AS times_played FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON p_partkey = l_partkey""")
+JOIN (SELECT l_partkey, count(*) AS times_played FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""")
 def two_catalogs(spark, sf_dir):
-    counted = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(
+    counted = table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_partkey").alias("item_id")).agg(F.count("*").alias("times_played"))
     return bind.items(spark, sf_dir).join(counted, "item_id").select("item_id", "item", "times_played")
 
@@ -309,11 +309,17 @@ def plays_with_notes(spark, sf_dir):
     return notes.attach_notes(plays, details, ["occasion_id", "note_key"])
 
 
+def _occasion_notes(spark, sf_dir):
+    """All turns of a conversation as the note of its occasion."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("occasion_id"), "turn", "text")
+    return notes.concat_notes(turns, ["occasion_id"], ["turn"], "text", "occasion_notes")
+
+
 @query("j8_plays_with_occasion_notes", """SELECT l_orderkey AS occasion_id, l_partkey AS item_id, text AS occasion_notes
-FROM lineitem LEFT JOIN (SELECT * FROM conversations WHERE turn = 0) ON conv_id = l_orderkey""")
+FROM lineitem LEFT JOIN (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)
+  ON conv_id = l_orderkey""")
 def plays_with_occasion_notes(spark, sf_dir):
-    per_occasion = table(spark, sf_dir, "conversations").where("turn = 0").select(
-        F.col("conv_id").alias("occasion_id"), F.col("text").alias("occasion_notes"))
+    per_occasion = _occasion_notes(spark, sf_dir)
     return bind.plays(spark, sf_dir).select("occasion_id", "item_id").join(per_occasion, "occasion_id", "left")
 
 
@@ -422,8 +428,8 @@ def difference_of_keys(spark, sf_dir):
 @query("c11_enriched_occasions", """WITH v AS (SELECT o_orderkey AS occasion_id, CAST(o_orderdate AS DATE) AS d,
   upper(c_name || ' ' || CAST(floor(c_acctbal / 100) AS INTEGER) || '.' || c_nationkey % 10 || CASE WHEN c_nationkey > 12 THEN 'FM' ELSE '' END
     || CASE WHEN c_mktsegment = 'BUILDING' THEN ' studio' ELSE ' HALL' END) AS venue_full
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0),
-n AS (SELECT conv_id, text AS t FROM conversations WHERE turn = 0)
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id)
 SELECT occasion_id, venue_full, CASE WHEN d < DATE '2000-06-15' THEN coalesce(n_items, 0) ELSE 0 END AS n_items,
   CASE WHEN d < DATE '2000-06-15' THEN coalesce(t, '') ELSE '' END AS occasion_notes,
   CASE WHEN regexp_matches(venue_full, '\\b\\d+\\.\\d+FM\\b') OR regexp_matches(venue_full, '\\b\\d+\\.\\d\\b')
@@ -434,7 +440,7 @@ SELECT occasion_id, venue_full, CASE WHEN d < DATE '2000-06-15' THEN coalesce(n_
 FROM v LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n_items FROM lineitem GROUP BY 1) ON l_orderkey = occasion_id
 LEFT JOIN n ON conv_id = occasion_id""")
 def enriched_occasions(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(
+    customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("venue_id"),
         F.upper(F.concat(
             "c_name", F.lit(" "), F.floor(F.col("c_acctbal") / 100).cast("int").cast("string"), F.lit("."),
@@ -442,9 +448,7 @@ def enriched_occasions(spark, sf_dir):
             F.when(F.col("c_mktsegment") == "BUILDING", " studio").otherwise(" HALL"),
         )).alias("venue_full"))
     occasions = bind.calendar(spark, sf_dir).join(customers, "venue_id").select("occasion_id", "occ_date", "venue_full")
-    first_turns = table(spark, sf_dir, "conversations").where("turn = 0").select(
-        F.col("conv_id").alias("occasion_id"), F.col("text").alias("occasion_notes"))
-    return enrich.enrich_occasions(occasions, bind.plays(spark, sf_dir), "2000-06-15", first_turns).drop("occ_date")
+    return enrich.enrich_occasions(occasions, bind.plays(spark, sf_dir), "2000-06-15", _occasion_notes(spark, sf_dir)).drop("occ_date")
 
 
 @query("c12_set_numbers", """WITH s AS (SELECT l_orderkey AS occasion_id, l_linenumber AS position, l_partkey AS item_id,
@@ -460,26 +464,27 @@ def set_numbers(spark, sf_dir):
 
 
 @query("c16_calendar", """WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS d, o_custkey FROM orders),
-chosen AS (SELECT * FROM o WHERE d < DATE '2000-06-15' UNION ALL
-  (SELECT * FROM o WHERE d >= DATE '2000-06-15' ORDER BY d, o_orderkey LIMIT 1))
+own AS (SELECT * FROM o WHERE o_orderpriority <> '5-LOW'),
+chosen AS (SELECT * FROM own WHERE d < DATE '2000-06-15' UNION ALL
+  (SELECT * FROM own WHERE d >= DATE '2000-06-15' ORDER BY d, o_orderkey LIMIT 1))
 SELECT o_orderkey AS occasion_id, strftime(d, '%Y-%m-%d') AS occ_date, o_custkey AS venue_id,
-  row_number() OVER (ORDER BY d, o_orderkey) AS occ_seq FROM chosen WHERE o_orderpriority <> '5-LOW'""")
+  row_number() OVER (ORDER BY d, o_orderkey) AS occ_seq FROM chosen""")
 def calendar_occasions(spark, sf_dir):
-    return _calendar(spark, sf_dir)["occasions"]
+    return cal.calendar_occasions(_chosen(spark, sf_dir))
 
 
 @query("c16_calendar_venues", """WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS d, o_custkey FROM orders),
-chosen AS (SELECT * FROM o WHERE d < DATE '2000-06-15' UNION ALL
-  (SELECT * FROM o WHERE d >= DATE '2000-06-15' ORDER BY d, o_orderkey LIMIT 1))
-SELECT DISTINCT o_custkey AS venue_id, c_name AS venue, c_mktsegment AS city FROM chosen JOIN customer ON o_custkey = c_custkey
-WHERE o_orderpriority <> '5-LOW'""")
+own AS (SELECT * FROM o WHERE o_orderpriority <> '5-LOW'),
+chosen AS (SELECT * FROM own WHERE d < DATE '2000-06-15' UNION ALL
+  (SELECT * FROM own WHERE d >= DATE '2000-06-15' ORDER BY d, o_orderkey LIMIT 1))
+SELECT DISTINCT o_custkey AS venue_id, c_name AS venue, c_mktsegment AS city FROM chosen JOIN customer ON o_custkey = c_custkey""")
 def calendar_venues(spark, sf_dir):
-    return _calendar(spark, sf_dir)["venues"]
+    return cal.calendar_venues(_chosen(spark, sf_dir))
 
 
-def _calendar(spark, sf_dir):
+def _chosen(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("venue_id"), F.col("c_name").alias("venue"), F.col("c_mktsegment").alias("city"))
     priorities = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("occasion_id"), "o_orderpriority")
     landed = bind.calendar(spark, sf_dir).join(priorities, "occasion_id").join(customers, "venue_id")
-    return cal.build_calendar(landed, "2000-06-15", partition=F.col("o_orderpriority") != "5-LOW")
+    return cal.chosen_occasions(landed, "2000-06-15", partition=F.col("o_orderpriority") != "5-LOW")

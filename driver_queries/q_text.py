@@ -129,7 +129,7 @@ def slug(spark, sf_dir):
 @query("x15_slices", "SELECT c_custkey, substr(c_name, 10) AS tail, left(c_name, 4) AS head, c_name[2:3] AS mid FROM customer")
 def slices(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", F.substring("c_name", 10, 1000).alias("tail"), F.left("c_name", F.lit(4)).alias("head"),
+        "c_custkey", F.substring("c_name", 10, 2**31 - 1).alias("tail"), F.left("c_name", F.lit(4)).alias("head"),
         F.substring("c_name", 2, 2).alias("mid"))
 
 
@@ -368,7 +368,9 @@ LINE_SQL = """l AS (SELECT doc_id AS occasion_id, unnest(string_split(text, chr(
   generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 s AS (SELECT occasion_id, line_no, CASE line_no % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'E' END AS set_label,
   string_split(replace(replace(replace(' ' || replace(line, 'ß', 'ss'), 'ï', 'i'), '. ', ' > '), '>', ',>'), ',') AS a FROM l WHERE line_no % 4 < 3),
-k AS (SELECT occasion_id, line_no, set_label, list_filter(a, lambda p: NOT regexp_matches(p, 'leaux|Rattle')) AS a FROM s),
+k AS (SELECT occasion_id, line_no, set_label, list_filter(a, lambda p, i: NOT (regexp_matches(p, 'leaux|Rattle')
+  AND coalesce(regexp_replace(replace(list_filter(a[1:i - 1], lambda q: NOT regexp_matches(q, 'leaux|Rattle'))[-1], '>', ''),
+    '^[ \\t\\n\\r\\f\\v]+', '') = 'The', false))) AS a FROM s),
 x AS (SELECT occasion_id, line_no, set_label, a, unnest(a) AS piece, generate_subscripts(a, 1) AS i FROM k),
 n AS (SELECT *, row_number() OVER (PARTITION BY occasion_id ORDER BY line_no, i) AS position,
   row_number() OVER (PARTITION BY occasion_id, set_label ORDER BY line_no, i) AS position_in_set,

@@ -14,6 +14,11 @@ from gapkit.operators.sequence import global_sequence, sequence_within
 from gapkit.operators.sets import dimension, top_n
 from gapkit.plans.parse import parse_schedule, schedule_occasions
 
+ORDER = ("occ_date", "occ_order", "occasion_id")
+VENUE_COLUMNS = ("venue_id", "venue", "city", "state", "country")
+TOUR_COLUMNS = ("tour_id", "tour_name")
+KEPT = ("occasion_id", "occ_date", "venue_id", "tour_id", "occ_order")
+
 
 def _day(as_of: date | str) -> Column:
     return F.lit(as_of).cast("date")
@@ -59,36 +64,43 @@ def up_to_first_future(
 
 
 def build_calendar(
-    occasions: DataFrame, as_of: date | str, *, partition: Column | None = None,
-    order: Sequence[str] = ("occ_date", "occ_order", "occasion_id"),
-    venue_columns: Sequence[str] = ("venue_id", "venue", "city", "state", "country"),
-    tour_columns: Sequence[str] = ("tour_id", "tour_name"),
-    keep: Sequence[str] = ("occasion_id", "occ_date", "venue_id", "tour_id", "occ_order"),
+    occasions: DataFrame, as_of: date | str, *, partition: Column | None = None, order: Sequence[str] = ORDER,
+    venue_columns: Sequence[str] = VENUE_COLUMNS, tour_columns: Sequence[str] = TOUR_COLUMNS, keep: Sequence[str] = KEPT,
 ) -> dict[str, DataFrame]:
-    """Occasions with their sequence number, venues and tours.
+    """Occasions with their sequence number, venues and tours, of one performer if ``partition`` picks one.
 
-    ``partition`` picks one performer out of a shared list. Only the next future occasion is kept.
+    Numbering the occasions runs a job; who wants the other tables only calls their functions.
     """
-    order = [c for c in order if c in occasions.columns]
-    tie = [c for c in order if c != "occ_date"]
-    chosen = past_and_next(occasions, as_of, tie)
-    if partition is not None:
-        chosen = chosen.where(partition)
-    result = {
-        "occasions": global_sequence(
-            chosen.select(*[c for c in keep if c in chosen.columns]),
-            order, "occ_seq",
-        ),
-    }
-    venue_columns = [c for c in venue_columns if c in chosen.columns]
-    tour_columns = [c for c in tour_columns if c in chosen.columns]
-    if "venue_id" in venue_columns:
-        result["venues"] = dimension(chosen, venue_columns, "venue_id")
-    if "tour_id" in tour_columns:
-        result["tours"] = dimension(chosen, tour_columns, "tour_id")
+    chosen = chosen_occasions(occasions, as_of, partition, order)
+    result = {"occasions": calendar_occasions(chosen, order, keep)}
+    if "venue_id" in chosen.columns:
+        result["venues"] = calendar_venues(chosen, venue_columns)
+    if "tour_id" in chosen.columns:
+        result["tours"] = calendar_tours(chosen, tour_columns)
     return result
 
 
+def chosen_occasions(
+    occasions: DataFrame, as_of: date | str, partition: Column | None = None, order: Sequence[str] = ORDER
+) -> DataFrame:
+    """Past occasions and the next one of those that ``partition`` picks out of a shared list."""
+    mine = occasions if partition is None else occasions.where(partition)
+    return past_and_next(mine, as_of, [c for c in order if c in mine.columns and c != "occ_date"])
+
+
+def calendar_occasions(chosen: DataFrame, order: Sequence[str] = ORDER, keep: Sequence[str] = KEPT) -> DataFrame:
+    order = [c for c in order if c in chosen.columns]
+    return global_sequence(chosen.select(*[c for c in keep if c in chosen.columns]), order, "occ_seq")
+
+
+def calendar_venues(chosen: DataFrame, columns: Sequence[str] = VENUE_COLUMNS) -> DataFrame:
+    return dimension(chosen, [c for c in columns if c in chosen.columns], "venue_id")
+
+
+def calendar_tours(chosen: DataFrame, columns: Sequence[str] = TOUR_COLUMNS) -> DataFrame:
+    return dimension(chosen, [c for c in columns if c in chosen.columns], "tour_id")
+
+
 def linked_calendar(
     schedules: DataFrame, as_of: date | str, link_prefix: str = "", link_suffix: str = ""
 ) -> DataFrame:

@@ -7,6 +7,8 @@ need an order, and they come from running item counts per line.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,23 +76,45 @@ def short_set_name(label: Column) -> Column:
     return chain.otherwise(label)
 
 
+def _bare(piece: Column) -> Column:
+    """A piece of a set line without segue marks and leading blanks."""
+    return F.regexp_replace(F.replace(piece, F.lit(">"), F.lit("")), r"^\s+", "")
+
+
+def _whole_titles(pieces: Column, fragments: Sequence[str], heads: Sequence[str]) -> Column:
+    """Drop the pieces that go on with a title whose first piece is one of ``heads``."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last"))
+
+    def step(s: Column, piece: Column) -> Column:
+        fragment = reduce(or_, [F.contains(piece, F.lit(f)) for f in fragments])
+        goes = fragment & s["last"].isin(*heads)
+        return F.struct(F.when(goes, s["kept"]).otherwise(F.concat(s["kept"], F.array(piece))).alias("kept"),
+                        F.when(goes, s["last"]).otherwise(_bare(piece)).alias("last"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["kept"])
+
+
 def parse_setlist(
-    lines: DataFrame, *, fragments: Sequence[str] = COMMA_FRAGMENTS,
-    titles: Mapping[str, str] = COMMA_TITLES, repairs: Mapping[str, str] = ITEM_REPAIRS,
+    lines: DataFrame, *, fragments: Sequence[str] = (), titles: Mapping[str, str] | None = None,
+    repairs: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Plays out of set lines ``(occasion_id, line_no, text)``.
 
     A line looks like ``1: A > B, C*``. Commas part the items; ``>`` leads on to the next one: the item before
-    it has ``segue_out``, the one after it ``segue_in``. Stars point to a footnote. Pieces that belong to a
-    title holding commas are dropped, and the first piece of such a title is completed.
+    it has ``segue_out``, the one after it ``segue_in``. Stars point to a footnote.
+
+    Titles that hold commas are listed by their first piece in ``titles``, which completes it; pieces after it that contain
+    one of ``fragments`` belong to the title and are dropped. Elsewhere such a piece is an item. The lists of the one
+    known source are ``COMMA_TITLES``, ``COMMA_FRAGMENTS`` and ``ITEM_REPAIRS``.
     """
+    titles, repairs = titles or {}, repairs or {}
     text = F.col("text")
     for old, new in TEXT_REPAIRS.items():
         text = F.replace(text, F.lit(old), F.lit(new))
     body = F.replace(F.substring(F.col("__text"), 4, 2**31 - 1), F.lit(">"), F.lit(",>"))
     pieces = F.split(body, ",")
-    if fragments:
-        pieces = F.filter(pieces, lambda p: ~p.rlike("|".join(fragments)))
+    if fragments and titles:
+        pieces = _whole_titles(pieces, fragments, list(titles))
     sets = (
         lines.select("occasion_id", "line_no", text.alias("__text"))
         .where(line_class(F.col("__text")) == "set")
@@ -103,7 +127,7 @@ def parse_setlist(
     counted = running_sum(counted, ["occasion_id", "set_label"], order, "__n", "__set_upto", bucket)
 
     following = F.try_element_at(F.col("__pieces"), F.col("__pos") + 2)
-    raw = F.regexp_replace(F.replace(F.col("__piece"), F.lit(">"), F.lit("")), r"^\s+", "")
+    raw = _bare(F.col("__piece"))
     name = strip(capitalize_first(map_or_self(F.col("__raw"), titles)))
     stars = count_of(F.col("__name"), "*")
     return (

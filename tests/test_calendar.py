@@ -54,6 +54,11 @@ def test_build_calendar(spark):
     assert [(r.occasion_id, r.occ_seq) for r in built["occasions"].orderBy("occ_seq").collect()] == [
         (6, 1), (5, 2), (7, 3), (9, 4)]
     assert [r.venue for r in built["venues"].collect()] == ["V1", "V2", "V4"]
+    # another performer plays earlier: each has a next occasion
+    other = landed.withColumn("who", F.when(F.col("occasion_id") == 9, "other").otherwise(F.col("who")))
+    for who, last in (("us", 10), ("other", 9)):
+        mine = cal.build_calendar(other, AS_OF, partition=F.col("who") == who)["occasions"]
+        assert mine.orderBy(F.desc("occ_seq")).first().occasion_id == last
     assert [(r.tour_id, r.tour_name) for r in built["tours"].collect()] == [(None, None), (1, "t"), (2, "u")]
 
 

@@ -17,7 +17,8 @@ def test_setlist(spark):
         "06/06/87 Somewhere", "1: First > Second, Third* > ???", "2: Lawyers, Guns, And Money > Last**", "E: Encore",
         "E2: More", "* with guest ** again", "[note]",
     ])
-    got = [tuple(r) for r in parse.parse_setlist(df).orderBy("position").select(
+    known = {"fragments": parse.COMMA_FRAGMENTS, "titles": parse.COMMA_TITLES, "repairs": parse.ITEM_REPAIRS}
+    got = [tuple(r) for r in parse.parse_setlist(df, **known).orderBy("position").select(
         "set_label", "position", "position_in_set", "item", "segue_in", "segue_out", "note_key").collect()]
     assert got == [
         ("1", 1, 1, "FIRST", 0, 1, ""), ("1", 2, 2, "SECOND", 1, 0, ""), ("1", 3, 3, "THIRD", 0, 1, "*"),
@@ -26,6 +27,15 @@ def test_setlist(spark):
     ]
 
 
+def test_fragments_belong_to_their_title_only(spark):
+    df = lines(spark, ["1: Rattle That Lock, Guns Of Brixton, Song, Shake, Rattle, And Roll, Rattle (a.b"])
+    plain = [r.item for r in parse.parse_setlist(df).orderBy("position").collect()]
+    assert plain == ["RATTLE THAT LOCK", "GUNS OF BRIXTON", "SONG", "SHAKE", "RATTLE", "AND ROLL", "RATTLE (A.B"]
+    known = parse.parse_setlist(df, fragments=[*parse.COMMA_FRAGMENTS, "(a.b"], titles={"Shake": "Shake, Rattle, And Roll", "X": "Y"})
+    assert [r.item for r in known.orderBy("position").collect()] == [
+        "RATTLE THAT LOCK", "GUNS OF BRIXTON", "SONG", "SHAKE, RATTLE, AND ROLL"]
+
+
 def test_setlist_lines_of_one_set_continue(spark):
     df = lines(spark, ["1: A, B", "1: C", "2: D"]).unionByName(lines(spark, ["1: X"], "p"))
     got = [tuple(r) for r in parse.parse_setlist(df).orderBy("occasion_id", "position").select(
