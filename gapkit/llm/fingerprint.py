@@ -121,15 +121,16 @@ def with_next(docs: DataFrame, k: int = 5, rows: int = 250, most: int = 2000) ->
     heads = docs.groupBy("range").agg(F.max("doc_id").alias("head"))
     there = sorted((r["range"] for r in heads.select("range").collect()), reverse=True)  # one number a range
     pairs = docs.sparkSession.createDataFrame(list(zip(there[1:] + there[:1], there)), "range int, before int")
+    # each range also gets the head of the next one, behind its own rows
     edges = (
         docs.join(F.broadcast(heads), "range").where(F.col("doc_id").eqNullSafe(F.col("head")))
-        .groupBy("range").agg(F.min("text").alias("text"))
-        .join(pairs, "range").select(F.col("before").alias("range"), F.struct("text", fingerprint(F.col("text"), k).alias("own")).alias("edge"))
+        .groupBy("range").agg(F.min("text").alias("text")).join(F.broadcast(pairs), "range")
+        .select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("range"), F.lit(1).alias("edge"))
     )
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    dealt = docs.repartitionByRange("range").withColumn("own", fingerprint(F.col("text"), k))
-    ahead = dealt.withColumn("ahead", F.lead(F.struct("text", "own")).over(order))
-    return ahead.join(edges, "range", "left").select("doc_id", "text", "own", F.coalesce("ahead", "edge").alias("next"))
+    dealt = docs.withColumn("edge", F.lit(0)).unionByName(edges).repartitionByRange("range")
+    order = Window.partitionBy("range").orderBy("edge", F.col("doc_id").desc_nulls_last(), "text")
+    ahead = dealt.withColumn("own", fingerprint(F.col("text"), k)).withColumn("next", F.lead(F.struct("text", "own")).over(order))
+    return ahead.where("edge = 0").select("doc_id", "text", "own", "next")
 
 
 def edited(text: Column, next_text: Column) -> Column:
