@@ -13,7 +13,9 @@ from gapkit.operators.lookups import point_lookup
 from gapkit.plans import calendar as cal, history, rankings, reports
 from gapkit.session import ensure_checkpoint_dir
 from gapkit.sources.layouts import FILES, ITEMS as ITEM_TABLE, OCCASIONS as OCCASION_TABLE, PLAYS as PLAY_TABLE
-from gapkit.sources.tables import load_tables, next_occasion_document, write_table
+from gapkit.sources.tables import (
+    load_tables, next_occasion_document, read_next_occasion, write_next_occasion, write_table, write_tables,
+)
 from gapkit.spec import PRESETS, Bundle
 
 TIE = "l_shipdate, l_extendedprice, l_quantity, l_suppkey"
@@ -295,6 +297,44 @@ def next_document(spark, sf_dir):
         "value", "document")
 
 
+def _document(spark, sf_dir, as_ofs):
+    """What is stored after the next occasion was written for each of the days in turn."""
+    path = f"{ensure_checkpoint_dir(spark)}/next-{uuid.uuid4().hex}"
+    places = bind.venues(spark, sf_dir)
+    for as_of in as_ofs:
+        write_next_occasion(bind.calendar(spark, sf_dir), as_of, path, places)
+    return read_next_occasion(spark, path, places)
+
+
+@query("s6_next_occasion_read_back", NEXT + """SELECT strftime(occ_date, '%Y-%m-%d') AS date, CAST(venue_id AS VARCHAR) AS venue_id,
+  venue, city, state FROM n LEFT JOIN venues USING (venue_id)""")
+def next_read_back(spark, sf_dir):
+    return _document(spark, sf_dir, ["1999-01-01", "2000-06-15"])
+
+
+@query("s13_stale_next_occasion", """SELECT CAST(o_orderkey AS VARCHAR) AS venue_id, '' AS date FROM orders
+WHERE CAST(o_orderdate AS DATE) >= DATE '2030-01-01'""")
+def stale_next(spark, sf_dir):
+    return _document(spark, sf_dir, ["2000-06-15", "2030-01-01"]).select("venue_id", "date")
+
+
+@query("ud5_registered_sources", overdue_sql(
+    FLAGGED_CTE, "item, is_original", MAX_SEQ.replace("max(occ_seq)", "max(occ_seq) - 1"),
+    "n_plays > 10 AND is_original = 1", "'stored' AS source, "))
+def registered_sources(spark, sf_dir):
+    """Two sources ranked and stored in one run; one of them cannot be loaded, which does not stop the other."""
+    folder = f"{ensure_checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
+    entries = {
+        "missing": (REPEATS, lambda: load_tables(spark, f"{folder}/nothing", "keyed_with_repeats")),
+        "stored": (REPEATS, lambda: bind.numbered_bundle(spark, sf_dir)),
+    }
+    outcome = rankings.run_all(entries, AS_OF, lambda name, tables: write_tables(tables, f"{folder}/{name}"))
+    done = [name for name, said in outcome.items() if said == "ok"]
+    if done != ["stored"]:
+        raise RuntimeError(str(outcome))
+    return spark.read.parquet(f"{folder}/stored/overdue").select(F.lit("stored").alias("source"), "*")
+
+
 @query("s13_no_next_occasion", """SELECT CAST(o_orderkey AS VARCHAR) AS document FROM orders
 WHERE CAST(o_orderdate AS DATE) >= DATE '2030-01-01'""")
 def no_next(spark, sf_dir):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType
 
-from gapkit.session import ensure_checkpoint_dir
+from gapkit.session import ensure_checkpoint_dir, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,7 +52,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
+            ensure_checkpoint_dir(prepare(spark))
             df = fn(spark, sf_dir)
             days = {f.name: F.date_format(f.name, "yyyy-MM-dd") for f in df.schema.fields
                     if isinstance(f.dataType, DateType)}

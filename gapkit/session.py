@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,10 +18,25 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.replaceHashWithSortAgg": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
+# Only when a session is built: drop checkpoints that nothing refers to any more.
+BUILD_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set what the plans rely on, where the session says nothing else: hot keys of joins are split at run time."""
+    for key in ("spark.sql.adaptive.forceOptimizeSkewedJoin",):
+        if spark.conf.get(key) != RECOMMENDED_CONF[key] and key not in _said(spark):
+            spark.conf.set(key, RECOMMENDED_CONF[key])
+    return spark
+
+
+def _said(spark: SparkSession) -> set[str]:
+    return {key for key, _ in spark.sparkContext.getConf().getAll()}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; only pick one when the session names none."""
+    """Return the checkpoint folder. Where the session names none, a local one is picked, on a local master only: on a cluster
+    each executor would write to its own disk."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -28,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="gapkit-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current

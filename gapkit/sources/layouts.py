@@ -26,6 +26,8 @@ class Layout:
     required: tuple[str, ...]
     # column: pattern of dates kept as text in the files
     date_columns: dict[str, dict[str, str]]
+    # tables with values that may hold line breaks
+    multi_line: tuple[str, ...] = (PLAYS,)
 
 
 LAYOUTS: dict[str, Layout] = {

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gapkit.functions import parse_iso, parse_mdy2, strip
 from gapkit.operators.sequence import date_sequence
@@ -24,15 +25,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """CSV with a header, under an explicit schema. Columns are matched by position."""
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, schema: str | StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, under an explicit schema. Columns are matched by name, in whatever order the file has them; other
+    columns of the file are not read. All files of a folder have the same header, or reading fails.
+
+    ``multi_line`` is for values that hold line breaks; such a file is one task.
+    """
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    header = reader.csv(path).columns  # looks at the first line only
+    missing = [f.name for f in wanted if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    types = {f.name: f for f in wanted}
+    found = StructType([types.get(name, StructField(name, StringType())) for name in header])
+    return reader.option("enforceSchema", False).schema(found).csv(path).select(*wanted.names)
 
 
-def read_optional(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame | None:
-    return read_csv(spark, path, schema) if path_exists(spark, path) else None
+def read_optional(spark: SparkSession, path: str, schema: str | StructType, multi_line: bool = False) -> DataFrame | None:
+    return read_csv(spark, path, schema, multi_line) if path_exists(spark, path) else None
 
 
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:
@@ -45,7 +56,7 @@ def load_tables(spark: SparkSession, folder: str, layout: str) -> Bundle:
     tables: dict[str, DataFrame] = {}
     for name, schema in shape.schemas.items():
         path = f"{folder}/{FILES[name]}"
-        raw = read_optional(spark, path, schema)
+        raw = read_optional(spark, path, schema, name in shape.multi_line)
         if raw is None:
             if name in shape.required:
                 raise ValueError(f"missing {path}")
@@ -79,10 +90,22 @@ def read_envelope(spark: SparkSession, path: str, row_schema: str, multi_line: b
     return documents.select(F.inline("data"))
 
 
-def read_next_occasion(spark: SparkSession, path: str) -> DataFrame:
-    """Stored next occasion; one row of nulls or none at all when there is none."""
-    schema = "next_show struct<date string, venue_id string, venue string, city string, state string>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select("next_show.*")
+def read_next_occasion(spark: SparkSession, path: str, venues: DataFrame | None = None) -> DataFrame:
+    """Stored next occasion; one row of nulls or none at all when there is none.
+
+    Sources with keys store ``showdate`` and ``venueid`` and no place; it is looked up in ``venues``.
+    """
+    schema = ("next_show struct<date string, venue_id string, venue string, city string, state string, "
+              "showdate string, venueid string>")
+    stored = spark.read.schema(schema).option("multiLine", True).json(path).select("next_show.*")
+    keyed = stored.select(F.coalesce("date", "showdate").alias("date"), F.coalesce("venue_id", "venueid").alias("venue_id"),
+                          "venue", "city", "state")
+    if venues is None:
+        return keyed
+    places = venues.select(F.col("venue_id").cast("string").alias("venue_id"),
+                           *[F.col(c).alias(f"__{c}") for c in ("venue", "city", "state")])
+    return keyed.join(places, "venue_id", "left").select(
+        "date", "venue_id", *[F.coalesce(c, f"__{c}").alias(c) for c in ("venue", "city", "state")])
 
 
 def read_stamp(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -94,7 +117,10 @@ def read_stamp(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite a table; CSV gets a header."""
+    """Overwrite a table; CSV gets a header. A table that ``df`` reads itself is never overwritten: see ``store_version``."""
+    full = _full_path(df.sparkSession, path)
+    if any(_full_path(df.sparkSession, f).startswith((f"{full}/", f"{full}#")) or f == full for f in df.inputFiles()):
+        raise ValueError(f"{path} is read by the table to be written there")
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
@@ -104,6 +130,43 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
         raise ValueError(f"unknown format: {fmt!r}")
 
 
+def _full_path(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that two names of one folder compare equal."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toUri().getPath()
+
+
+_CURRENT = "current"
+
+
+def store_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
+    """Write ``df`` as a new version of the table at ``path`` and make it the current one; ``df`` may read the table itself.
+
+    The version is a folder of its own. A small file names the current one and is swapped last, by one rename, so readers see
+    the old table or the new one, and a job that fails leaves the old one.
+    """
+    spark, version = df.sparkSession, f"version={uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
+    fs_package = spark._jvm.org.apache.hadoop.fs
+    configuration = spark._jsc.hadoopConfiguration()
+    named, current = fs_package.Path(f"{path}/_{version}"), fs_package.Path(f"{path}/{_CURRENT}")
+    out = named.getFileSystem(configuration).create(named, True)
+    out.write(version.encode())
+    out.close()
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").valueOf("OVERWRITE")
+    files = fs_package.FileContext.getFileContext(current.getFileSystem(configuration).getUri(), configuration)
+    files.rename(named, current, options)
+    return f"{path}/{version}"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version, or None if nothing was stored."""
+    if not path_exists(spark, f"{path}/{_CURRENT}"):
+        return None
+    return f"{path}/{spark.read.text(f'{path}/{_CURRENT}').first()[0]}"
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
     """Write a set of named tables, each in its own folder."""
     for name, table in tables.items():

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gapkit.operators.sets import keep_first
-from gapkit.sources.tables import path_exists
+from gapkit.sources.tables import current_version, path_exists, store_version
 
 # Keys on which two plays are the same. Fixed values.
 PLAY_KEYS = ("occasion_id", "item_id", "set_label", "position", "position_in_set")
@@ -38,10 +38,19 @@ def append_past_mark(
     return existing.unionByName(past_mark(existing, incoming, as_of, date_col), allowMissingColumns=True)
 
 
-def recent_years(df: DataFrame, as_of: date | str, date_col: str = "occ_date") -> DataFrame:
-    """Rows of this year and the last."""
-    year = F.year(F.lit(as_of).cast("date"))
-    return df.where((F.year(date_col) == year) | (F.year(date_col) == year - 1))
+def recent_years(
+    df: DataFrame, as_of: date | str, date_col: str = "occ_date", key_year: Column | None = None
+) -> DataFrame:
+    """Rows of this year and the last, by a range of days that the files' statistics can be held against.
+
+    ``key_year`` is a year told by the key; it decides where there is no day, so undated rows of these years come along.
+    """
+    year = date.fromisoformat(as_of).year if isinstance(as_of, str) else as_of.year
+    day = F.col(date_col)
+    recent = (day >= F.make_date(F.lit(year - 1), F.lit(1), F.lit(1))) & (day < F.make_date(F.lit(year + 1), F.lit(1), F.lit(1)))
+    if key_year is not None:
+        recent = recent | (day.isNull() & key_year.isin(year - 1, year))
+    return df.where(recent)
 
 
 def new_rows(
@@ -72,13 +81,13 @@ def _same(keys: Sequence[str]) -> Column:
 
 def upsert_keep_existing(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = PLAY_KEYS,
-    order: Sequence[str] | None = None, dedupe_existing: bool = True,
+    order: Sequence[str] | None = None, dedupe_existing: bool = False,
 ) -> DataFrame:
     """Union that keeps one row per key, stored rows first.
 
-    ``order`` settles which of several rows with one key comes first; by default all other columns do. With
-    ``dedupe_existing=False`` the stored table is taken to hold each key once, as earlier runs left it, and is
-    not shuffled.
+    ``order`` settles which of several rows with one key comes first; by default all other columns do. The stored table is
+    taken to hold each key once, as earlier runs left it, and is not shuffled; ``dedupe_existing`` makes sure of it at the
+    price of a shuffle of all stored rows.
     """
     order = list(order) if order is not None else [c for c in existing.columns if c not in keys]
     if not dedupe_existing:
@@ -97,12 +106,18 @@ def append_unseen(
     return existing.unionByName(incoming.join(seen, key, "left_anti"), allowMissingColumns=True)
 
 
+def _stored_at(spark: SparkSession, path: str) -> str | None:
+    """The current version of a versioned table, a plain table, or nothing."""
+    return current_version(spark, path) or (path if path_exists(spark, path) else None)
+
+
 def load_method(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> str:
     """``update`` when the stored table is there and has the columns, else ``all``."""
-    if not path_exists(spark, path):
+    found = _stored_at(spark, path)
+    if found is None:
         return "all"
     try:
-        stored = spark.read.parquet(path).columns
+        stored = spark.read.parquet(found).columns
     except Exception:  # noqa: BLE001 - an unreadable table is rebuilt
         return "all"
     return "update" if set(columns) <= set(stored) else "all"
@@ -112,7 +127,15 @@ def refresh(
     spark: SparkSession, path: str, load_all: Callable[[], DataFrame],
     update: Callable[[DataFrame], DataFrame], columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Updated table, or a full rebuild when there is nothing to build on."""
+    """Updated table, or a full rebuild when there is nothing to build on. Store it with ``refresh_stored``."""
     if load_method(spark, path, columns) == "all":
         return load_all()
-    return update(spark.read.parquet(path))
+    return update(spark.read.parquet(_stored_at(spark, path)))
+
+
+def refresh_stored(
+    spark: SparkSession, path: str, load_all: Callable[[], DataFrame],
+    update: Callable[[DataFrame], DataFrame], columns: Sequence[str] = (),
+) -> DataFrame:
+    """Refresh the table at ``path`` and store the result as its new version, which is read back."""
+    return spark.read.parquet(store_version(refresh(spark, path, load_all, update, columns), path))

@@ -1,7 +1,8 @@
 """The same updates as Structured Streaming queries over landed files.
 
-Each micro-batch writes its new rows to a folder of its own, ``<target>/batch=<id>``, in overwrite mode. A
-batch repeated after a failure replaces its own output, so results stay exact.
+Each micro-batch writes its new rows to a folder of its own, ``<target>/run=<run>/batch=<id>``, in overwrite mode. A
+batch repeated after a failure replaces its own output, so results stay exact. A run that is started again after a
+failure keeps its name; the next one has another.
 """
 
 from __future__ import annotations
@@ -28,16 +29,20 @@ def read_landed(
     return reader.load(folder)
 
 
-def stored(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
-    """What earlier batches stored."""
+def stored(
+    spark: SparkSession, target: str, schema, before: int | None = None, other_than: str | None = None
+) -> DataFrame:
+    """What was stored, by batches before one or by runs other than one."""
     if not path_exists(spark, target):
         return spark.createDataFrame([], schema)
     # an explicit schema, as a folder may hold nothing but empty batches
-    fields = f"{_ddl(schema)}, batch bigint"
+    fields = f"{_ddl(schema)}, run string, batch bigint"
     table = spark.read.schema(fields).option("basePath", target).parquet(target)
     if before is not None:
         table = table.where(table["batch"] < before)
-    return table.drop("batch")
+    if other_than is not None:
+        table = table.where(table["run"] != other_than)
+    return table.drop("run", "batch")
 
 
 def _ddl(schema) -> str:
@@ -45,14 +50,10 @@ def _ddl(schema) -> str:
 
 
 def _run(
-    stream: DataFrame, target: str, checkpoint: str, select: Callable[[DataFrame, DataFrame], DataFrame]
+    stream: DataFrame, target: str, checkpoint: str, run: str, select: Callable[[DataFrame, int], DataFrame]
 ) -> StreamingQuery:
-    schema = stream.schema
-
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kept = select(stored(spark, target, schema, before=batch_id), batch)
-        kept.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        select(batch, batch_id).write.mode("overwrite").parquet(f"{target}/run={run}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)
@@ -64,25 +65,31 @@ def _run(
 
 def stream_append(
     stream: DataFrame, target: str, checkpoint: str, as_of, base: DataFrame | None = None,
-    date_col: str = "occ_date",
+    date_col: str = "occ_date", run: str = "0",
 ) -> StreamingQuery:
-    """Append rows past the high-water mark of the stored table and an optional base table."""
+    """Append rows past the high-water mark of an optional base table and of what other runs stored.
+
+    The mark is the same for all batches of a run, so it does not matter how its files fall into batches or in which order
+    they come: the run stores what one batch update with all its files would.
+    """
 
-    def select(existing: DataFrame, batch: DataFrame) -> DataFrame:
-        known = existing if base is None else existing.unionByName(base, allowMissingColumns=True)
+    def select(batch: DataFrame, batch_id: int) -> DataFrame:
+        known = stored(batch.sparkSession, target, stream.schema, other_than=run)
+        known = known if base is None else known.unionByName(base, allowMissingColumns=True)
         return past_mark(known, batch, as_of, date_col)
 
-    return _run(stream, target, checkpoint, select)
+    return _run(stream, target, checkpoint, run, select)
 
 
 def stream_upsert(
     stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str],
-    base: DataFrame | None = None,
+    base: DataFrame | None = None, run: str = "0",
 ) -> StreamingQuery:
     """Store rows with keys not seen before; rows stored first win."""
 
-    def select(existing: DataFrame, batch: DataFrame) -> DataFrame:
-        known = existing if base is None else existing.unionByName(base, allowMissingColumns=True)
+    def select(batch: DataFrame, batch_id: int) -> DataFrame:
+        known = stored(batch.sparkSession, target, stream.schema, before=batch_id)
+        known = known if base is None else known.unionByName(base, allowMissingColumns=True)
         return new_rows(known, batch, keys, order)
 
-    return _run(stream, target, checkpoint, select)
+    return _run(stream, target, checkpoint, run, select)

@@ -88,11 +88,54 @@ def test_stream_append_equals_batch(spark, sides, tmp_path):
     assert keys(existing.unionByName(stored)) == keys(inc.append_past_mark(existing, incoming, AS_OF))
     # a later file continues from the stored mark
     land(spark, plays(spark, [(6, "q", "2024-05-20", "new"), (7, "q", "2024-04-20", "late")]), folder)
-    streams.stream_append(streams.read_landed(spark, folder, incoming.schema), target, progress, AS_OF, existing).awaitTermination()
+    later = streams.read_landed(spark, folder, incoming.schema)
+    streams.stream_append(later, target, progress, AS_OF, existing, run="1").awaitTermination()
     assert (6, "q", "new") in keys(streams.stored(spark, target, incoming.schema))
     assert (7, "q", "late") not in keys(streams.stored(spark, target, incoming.schema))
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_stream_append_of_many_files_equals_batch(spark, sides, tmp_path, parts):
+    existing, incoming = sides
+    more = plays(spark, [(10 + i, "z", f"2024-05-{20 - i // 2:02d}", "new") for i in range(10)])  # days fall, and two rows share one
+    incoming = incoming.unionByName(more)
+    folder, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for i in range(parts):
+        land(spark, incoming.where(F.pmod("occasion_id", F.lit(parts)) == i), folder)
+    stream = streams.read_landed(spark, folder, incoming.schema, files_per_batch=1)
+    streams.stream_append(stream, target, progress, AS_OF, existing).awaitTermination()
+    stored = streams.stored(spark, target, incoming.schema)
+    assert keys(existing.unionByName(stored)) == keys(inc.append_past_mark(existing, incoming, AS_OF))
+
+
+def test_update_is_stored_twice(spark, sides, tmp_path):
+    existing, incoming = sides
+    path = str(tmp_path / "plays")
+    update = lambda stored: inc.append_past_mark(stored, incoming, AS_OF)
+    assert keys(inc.refresh_stored(spark, path, lambda: existing, update, ["occasion_id"])) == OLD
+    want = keys(inc.append_past_mark(existing, incoming, AS_OF))
+    for _ in range(2):
+        assert keys(inc.refresh_stored(spark, path, lambda: existing, update, ["occasion_id"])) == want
+    assert inc.load_method(spark, path, ["occasion_id"]) == "update"
+
+
+def test_a_table_is_not_overwritten_by_what_reads_it(spark, sides, tmp_path):
+    path = str(tmp_path / "plays")
+    write_table(sides[0], path)
+    with pytest.raises(ValueError):
+        write_table(spark.read.parquet(path).where("occasion_id = 1"), path)
+    assert keys(spark.read.parquet(path)) == OLD
+    write_table(spark.read.parquet(path), f"{path}2")
+
+
+def test_undated_rows_of_recent_keys(spark):
+    df = plays(spark, [(20240101, "a", None, "x"), (20210101, "a", None, "x"), (1, "a", "2023-01-01", "x"), (2, "a", "2022-12-31", "x"),
+                       (3, "a", "2025-01-01", "x"), (4, "a", "2024-12-31", "x")])
+    year = F.floor(F.col("occasion_id") / 10000).cast("int")
+    assert sorted(r.occasion_id for r in inc.recent_years(df, "2024-06-15").collect()) == [1, 4]
+    assert sorted(r.occasion_id for r in inc.recent_years(df, "2024-06-15", key_year=year).collect()) == [1, 4, 20240101]
+
+
 def test_stream_upsert_equals_batch(spark, sides, tmp_path):
     existing, incoming = sides
     folder, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))

@@ -100,6 +100,24 @@ def test_next_occasion_file(spark, tmp_path):
     assert tables.read_next_occasion(spark, path).count() == 0
 
 
+def test_next_occasion_of_a_source_with_keys(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"next_show": {"showdate": "2024-04-01", "venueid": 7, "other": 1}}')
+    venues = spark.createDataFrame([(7, "Hall", "Athens", "GA")], "venue_id int, venue string, city string, state string")
+    path = str(tmp_path / "n.json")
+    assert tuple(tables.read_next_occasion(spark, path, venues).first()) == ("2024-04-01", "7", "Hall", "Athens", "GA")
+    assert tuple(tables.read_next_occasion(spark, path).first()) == ("2024-04-01", "7", None, None, None)
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('b,extra,a\n1,x,"q ""r"", s"\n2,y,t\n')
+    got = tables.read_csv(spark, str(tmp_path / "a.csv"), "a string, b int")
+    assert got.columns == ["a", "b"] and [tuple(r) for r in got.collect()] == [('q "r", s', 1), ("t", 2)]
+    (tmp_path / "m.csv").write_text('a,b\n"two\nlines",3\n')
+    assert tables.read_csv(spark, str(tmp_path / "m.csv"), "b int, a string", multi_line=True).first().a == "two\nlines"
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, str(tmp_path / "a.csv"), "a string, c int")
+
+
 def test_write_tables(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k int, v string")
     assert tables.write_tables({"t": df, "u": df}, str(tmp_path)) == ["t", "u"]
