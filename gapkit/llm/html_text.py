@@ -7,7 +7,8 @@ template, ``hidden``, ``display:none`` and others) take their whole subtree with
 
 Layout: a block starts a new line, and blocks with a margin are set off by an empty line; runs of white space are one space
 except in ``pre``; list items carry a bullet or their number and are indented by level; the cells of a table's column are
-padded to one width, which a wide character counts double in, and parted by two spaces.
+padded to one width, which a wide character counts double in, and parted by two spaces;
+empty lines of a cell go.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
-    "hex": r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)",
+    "hex": r"(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
 _FIRST_DAY, _A, _B = "1900-01-01", 319, 229  # 319 * 229 days are exactly the years 1900 to 2099
