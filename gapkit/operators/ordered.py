@@ -12,6 +12,9 @@ edge table must read every column. Spark reuses the exchange when the keys are f
 otherwise the join adds that filter to one branch only. Leave it off over plain scans, where reading a few columns
 twice is cheaper.
 
+With ``dealt=True`` the caller has done so already: the frame has the bucket in the column ``BUCKET`` and is distributed by
+``keys + BUCKET``, say by an aggregate over these and more columns.
+
 Where the leading order column is no integer sequence, number the rows first with
 :func:`gapkit.operators.sequence.global_sequence` by ``keys + order`` and use that number as order and bucket.
 
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gapkit.spec import SEQ_BUCKET
 
-_B = "__bucket"
+BUCKET = _B = "__bucket"
 _EDGE = "__edge"
 _FIRST = "__first"
 
@@ -60,11 +63,11 @@ def _edge_window(keys: Sequence[str]):
 
 def _neighbour(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None, default, ahead: bool, share: bool,
+    bucket: Column | None, default, ahead: bool, share: bool, dealt: bool = False,
 ) -> DataFrame:
     shift = F.lead if ahead else F.lag
     fill = None if default is None else F.lit(default)
-    if bucket is None:
+    if bucket is None and not dealt:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, shift(value, 1, default).over(w))
 
@@ -72,11 +75,11 @@ def _neighbour(
         edge_value = (F.min if ahead else F.max)(value)
     else:
         edge_value = (F.min_by if ahead else F.max_by)(value, _order_value(order))
-    tagged = _tag(df, keys, bucket, share)
+    tagged = df if dealt else _tag(df, keys, bucket, share)
     w = Window.partitionBy(*keys, _B).orderBy(*order)
     at_edge = (F.lead(F.lit(1)) if ahead else F.lag(F.lit(1))).over(w).isNull()
     inner = tagged.withColumns({out: shift(value).over(w), _FIRST: at_edge})
-    edges = _edges(tagged, keys, share, edge_value.alias(_EDGE))
+    edges = _edges(tagged, keys, share or dealt, edge_value.alias(_EDGE))
     edges = edges.withColumn("__present", F.lit(1))
     ew = _edge_window(keys)
     carried = edges.select(
@@ -92,10 +95,10 @@ def _neighbour(
 
 def lag_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None = None, default=None, share: bool = False,
+    bucket: Column | None = None, default=None, share: bool = False, dealt: bool = False,
 ) -> DataFrame:
     """Value of the previous row of the key."""
-    return _neighbour(df, keys, order, value, out, bucket, default, ahead=False, share=share)
+    return _neighbour(df, keys, order, value, out, bucket, default, ahead=False, share=share, dealt=dealt)
 
 
 def lead_value(

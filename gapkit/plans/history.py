@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapkit.functions import py_title
-from gapkit.operators.ordered import lag_value, seq_bucket
+from gapkit.operators.ordered import BUCKET, lag_value, seq_bucket
 from gapkit.spec import SEQ_BUCKET, Bundle, GapSpec
 
 NO_POSITION = 2**31 - 1
@@ -85,15 +85,21 @@ def play_points(bundle: Bundle, spec: GapSpec, since: Column | None = None) -> D
         plays_at_point = F.count_if("__counts")
     else:
         plays_at_point = F.max(F.col("__counts").cast("long"))
-    points = narrow.groupBy(*keys, "__point", *flags).agg(
+    bucket = _point_bucket(spec)
+    # Where few plays share a point there is nothing to combine, and one exchange of the plays by item and bucket serves the
+    # aggregate, the window and its edges. Where old history folds, or a day's plays do, the aggregate combines first.
+    dealt = bucket is not None and not fold_old
+    if dealt:
+        narrow = narrow.withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
+    points = narrow.groupBy(*keys, *([BUCKET] if dealt else []), "__point", *flags).agg(
         F.max("occ_seq").alias("occ_seq"),
         F.max("occ_date").alias("occ_date"),
         plays_at_point.alias("n_plays"),
         F.min("__rank").alias("__rank"),
     ).withColumn("leads", (F.col("__rank") % 2 == 0).cast("int")).drop("__point")
     order = ["occ_seq", "__rank"] if spec.repeat_policy == "flag_after" else ["occ_seq"]
-    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", _point_bucket(spec), share=True)
-    return lagged.where("n_plays > 0").drop("__rank")
+    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", bucket, share=not dealt, dealt=dealt)
+    return lagged.where("n_plays > 0").drop("__rank", BUCKET)
 
 
 def play_history(bundle: Bundle, spec: GapSpec) -> DataFrame:
@@ -104,6 +110,8 @@ def play_history(bundle: Bundle, spec: GapSpec) -> DataFrame:
     """
     keys = [*spec.group, "item_id"]
     plays = dated_plays(bundle, spec)
+    if not _fits_one_window(spec):
+        return _history_in_one_pass(plays, keys, spec)
     if spec.repeat_policy == "dedupe_before":
         plays = first_play(plays, spec)
         bucket = None if _fits_one_window(spec) else F.coalesce(seq_bucket("occ_seq"), F.lit(-1))
@@ -124,6 +132,26 @@ def play_history(bundle: Bundle, spec: GapSpec) -> DataFrame:
     return joined.withColumn("gap", gap).drop("prev_seq", "__lead")
 
 
+_UNSEATED = 1024  # buckets of an item's plays without an occasion
+
+
+def _history_in_one_pass(plays: DataFrame, keys: list[str], spec: GapSpec) -> DataFrame:
+    """One bucketed window over the plays themselves, in the order of sequence number, position and tie-break.
+
+    A play whose predecessor has another sequence number is the first of its occasion; its gap is the difference. For
+    sequence numbers of occasions, which few plays of an item share; where a day's plays share one, they fold first.
+    """
+    seq = F.col("occ_seq")
+    orphan = F.when(seq.isNull(), F.col("occasion_id"))
+    bucket = F.when(seq.isNull(), -1 - F.pmod(F.hash("occasion_id"), F.lit(_UNSEATED))).otherwise(seq_bucket("occ_seq"))
+    placed = plays.withColumns({"__at": F.struct(seq.alias("seq"), orphan.alias("orphan")), "__tie": _tie_break(plays, spec)})
+    lagged = lag_value(placed, keys, ["__at", "__tie"], "__at", "__before", bucket, share=True)
+    later = F.col("__before").isNotNull() & F.col("__before").eqNullSafe(F.col("__at"))
+    if spec.repeat_policy == "dedupe_before":
+        lagged = lagged.where(~later)
+    return lagged.withColumn("gap", seq - F.col("__before.seq")).select(*plays.columns, "gap")
+
+
 def _tie_break(plays: DataFrame, spec: GapSpec) -> Column:
     """Order of the plays of one item at one occasion: position, main plays first, then all columns."""
     fixed = [F.coalesce(F.col("position"), F.lit(NO_POSITION)).alias("p")] if "position" in plays.columns else []
