@@ -24,7 +24,7 @@ Rules for callers: keys are not null, and the order columns are ascending and en
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -161,6 +161,34 @@ def carry_forward(
     return joined.withColumn(out, F.coalesce(F.col(out), F.col(_EDGE))).select(*df.columns, out)
 
 
+def running_breaks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], here: Column, breaks: Callable[[Column, Column], Column],
+    out: str, bucket: Column,
+) -> DataFrame:
+    """Running sum, from 1, of ``breaks(before, now)``: 1 where a row does not go on with the one before it, else 0.
+
+    One window in each bucket gives the breaks inside it. The edge table has each bucket's first and last value of ``here``
+    and its breaks, from the same exchange; the break between two buckets is told from the last and first of these.
+    """
+    tagged = _tag(df.withColumn("__here", here), keys, bucket, share=True)
+    w = Window.partitionBy(*keys, _B).orderBy(*order)
+    before = F.lag("__here").over(w)
+    stepped = tagged.withColumn("__step", F.when(F.lag(F.lit(1)).over(w).isNull(), 0).otherwise(breaks(before, F.col("__here"))))
+    inner = stepped.withColumn(out, F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rank = _order_value(order)
+    edges = _edges(stepped, keys, True, F.min_by("__here", rank).alias("__head"), F.max_by("__here", rank).alias("__tail"),
+                   F.sum("__step").alias("__inside"))
+    ew = _edge_window(keys)
+    # the first row of a key starts run 1
+    entered = F.when(F.lag(F.lit(1)).over(ew).isNull(), 1).otherwise(breaks(F.lag("__tail").over(ew), F.col("__head")))
+    joints = edges.select(*keys, _B, "__inside", entered.alias("__entered"))
+    upto = ew.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = joints.select(*keys, _B, (
+        F.coalesce(F.sum(F.col("__entered") + F.col("__inside")).over(upto), F.lit(0)) + F.col("__entered")).alias(_EDGE))
+    joined = inner.join(offsets, [*keys, _B])
+    return joined.withColumn(out, F.col(out) + F.col(_EDGE)).select(*df.columns, out)
+
+
 def whole_group(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Attach group aggregates to every row: aggregate with map-side combine, then join back.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapkit.operators.ordered import lag_value, running_sum, seq_bucket, whole_group
+from gapkit.operators.ordered import running_breaks, seq_bucket, whole_group
 from gapkit.spec import SEQ_BUCKET
 
 
@@ -17,20 +17,19 @@ def run_index(
     """Number the runs: a new one starts when the place changes or is unknown.
 
     With ``date_col`` a step other than one day also starts a run. The default bucket takes the first order
-    column as an integer sequence.
+    column as an integer sequence. The rows are dealt out once.
     """
     keys, order = list(keys), list(order)
     bucket = seq_bucket(order[0], SEQ_BUCKET) if bucket is None else bucket
-    packed = df.withColumn("__here", F.struct(F.col(place).alias("p"), *(
-        [F.col(date_col).alias("d")] if date_col else []
-    )))
-    lagged = lag_value(packed, keys, order, "__here", "__prev", bucket)
-    same = F.col("__prev.p") == F.col(place)
-    if date_col:
-        same = same & (F.datediff(F.col(date_col), F.col("__prev.d")) == 1)
-    flagged = lagged.withColumn("__break", F.when(same, 0).otherwise(1)).drop("__here", "__prev")
-    runs = running_sum(flagged, keys, order, "__break", out, bucket)
-    return runs.drop("__break")
+    here = F.struct(F.col(place).alias("p"), *([F.col(date_col).alias("d")] if date_col else []))
+
+    def breaks(before: Column, now: Column) -> Column:
+        same = before["p"] == now["p"]
+        if date_col:
+            same = same & (F.datediff(now["d"], before["d"]) == 1)
+        return F.when(same, 0).otherwise(1).cast("long")
+
+    return running_breaks(df, keys, order, here, breaks, out, bucket)
 
 
 def position_in_run(
