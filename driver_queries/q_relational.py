@@ -353,7 +353,7 @@ def footnote_references(spark, sf_dir):
     cited = turns.select("conv_id", "turn", F.array(F.col("turn") + 1, F.col("turn") - 1).alias("refs"))
     details = turns.select("conv_id", F.col("turn").alias("ref"), "text")
     return notes.resolve_references(
-        cited, ["conv_id", "turn"], "refs", details, ["conv_id"], "ref", "text", "footnote"
+        cited, "refs", details, ["conv_id"], "ref", "text", "footnote"
     ).select("conv_id", "turn", "footnote")
 
 

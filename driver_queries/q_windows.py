@@ -160,9 +160,8 @@ def position_in_run(spark, sf_dir):
 def previous_and_next(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     bucket = ordered.seq_bucket("turn")
-    before = ordered.lag_value(turns, ["conv_id"], ["turn"], "text", "item_before", bucket, "***")
-    after = ordered.lead_value(before, ["conv_id"], ["turn"], "text", "item_after", bucket, "***")
-    return after.select("conv_id", "turn", "role", "item_before", "item_after")
+    both = ordered.neighbour_values(turns, ["conv_id"], ["turn"], "text", "item_before", "item_after", bucket, "***")
+    return both.select("conv_id", "turn", "role", "item_before", "item_after")
 
 
 @query("w13_carry_forward", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN 'Set ' || turn END IGNORE NULLS)

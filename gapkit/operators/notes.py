@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def attach_notes(
@@ -15,20 +15,23 @@ def attach_notes(
 
 
 def resolve_references(
-    df: DataFrame, row_key: Sequence[str], refs: str, notes: DataFrame, note_keys: Sequence[str],
-    ref: str, detail: str, out: str,
+    df: DataFrame, refs: str, notes: DataFrame, note_keys: Sequence[str], ref: str, detail: str, out: str,
 ) -> DataFrame:
     """Replace an array of references by their texts, in array order, joined with blanks.
 
-    ``row_key`` is unique. A reference without a note counts as empty text; the result is trimmed. The group
-    rebuilt at the end is one row's array.
+    The notes of a key, a page say, are one array, joined once and searched by each row. A reference without a note counts as
+    empty text, one with several gives all in their order; the result is trimmed. A row without references has an empty text.
     """
-    cited = df.select(*row_key, *[k for k in note_keys if k not in row_key], F.posexplode(refs).alias("__pos", ref))
-    found = cited.join(notes.select(*note_keys, ref, detail), [*note_keys, ref], "left")
-    texts = found.groupBy(*row_key).agg(
-        F.sort_array(F.collect_list(F.struct("__pos", F.coalesce(detail, F.lit("")).alias("t")))).alias("__l")
-    ).select(*row_key, F.trim(F.array_join(F.col("__l.t"), " ")).alias(out))
-    return df.join(texts, list(row_key), "left").withColumn(out, F.coalesce(out, F.lit("")))
+    keys = list(note_keys)
+    pages = notes.groupBy(*keys).agg(F.sort_array(F.collect_list(
+        F.struct(F.col(ref).alias("ref"), F.coalesce(detail, F.lit("")).alias("text")))).alias("__notes"))
+
+    def texts(r: Column) -> Column:
+        found = F.transform(F.filter(F.col("__notes"), lambda n: n["ref"] == r), lambda n: n["text"])
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+    joined = F.trim(F.array_join(F.flatten(F.transform(refs, texts)), " "))
+    return df.join(pages, keys, "left").withColumn(out, F.coalesce(joined, F.lit(""))).select(*df.columns, out)
 
 
 def concat_notes(

@@ -109,6 +109,30 @@ def lead_value(
     return _neighbour(df, keys, order, value, out, bucket, default, ahead=True, share=share)
 
 
+def neighbour_values(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, before: str, after: str,
+    bucket: Column, default=None, share: bool = False,
+) -> DataFrame:
+    """Values of the previous and the next row of the key, from one window and one edge table."""
+    tagged = _tag(df, keys, bucket, share)
+    w, rank, one = Window.partitionBy(*keys, _B).orderBy(*order), _order_value(order), F.lit(1)
+    inner = tagged.withColumns({
+        before: F.lag(value).over(w), after: F.lead(value).over(w),
+        "__starts": F.lag(one).over(w).isNull(), "__ends": F.lead(one).over(w).isNull(),
+    })
+    edges = _edges(tagged, keys, share, F.min_by(value, rank).alias("__head"), F.max_by(value, rank).alias("__tail"))
+    ew = _edge_window(keys)
+    joints = edges.select(
+        *keys, _B, F.lag("__tail").over(ew).alias("__in"), F.lag(one).over(ew).isNotNull().alias("__has_in"),
+        F.lead("__head").over(ew).alias("__out"), F.lead(one).over(ew).isNotNull().alias("__has_out"))
+    joined = inner.join(joints, [*keys, _B], "left")
+    outside = {side: F.when(F.col(f"__has_{side}"), F.col(f"__{side}")).otherwise(F.lit(default)) for side in ("in", "out")}
+    return joined.withColumns({
+        before: F.when(F.col("__starts"), outside["in"]).otherwise(F.col(before)),
+        after: F.when(F.col("__ends"), outside["out"]).otherwise(F.col(after)),
+    }).select(*df.columns, before, after)
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
     bucket: Column, share: bool = False,

@@ -18,7 +18,7 @@ from gapkit.functions import (
 )
 from gapkit.operators.lookups import map_or_self
 from gapkit.operators.notes import resolve_references
-from gapkit.operators.ordered import carry_forward, lag_value, lead_value, row_ordinal, running_sum, seq_bucket
+from gapkit.operators.ordered import carry_forward, neighbour_values, row_ordinal, running_sum, seq_bucket
 
 # Markers and name repairs of set-list text. Fixed values.
 SET_PREFIXES = ("0:", "1:", "2:", "3:", "4:", "E:", "E1", "E2", "E3", "E4")
@@ -253,11 +253,8 @@ def page_plays(boxes: DataFrame, notes: DataFrame) -> DataFrame:
     ).drop("__place")
     named = labelled.withColumn("item", item_text(F.col("item")))
     keys, by_box = ["occasion_id", "paragraph_no"], seq_bucket("box_no")
-    chained = lag_value(named, keys, ["box_no"], "item", "item_before", by_box, NO_NEIGHBOUR)
-    chained = lead_value(chained, keys, ["box_no"], "item", "item_after", by_box, NO_NEIGHBOUR)
-    noted = resolve_references(
-        chained, ["occasion_id", "paragraph_no", "box_no"], "refs", notes, ["occasion_id"], "ref", "detail", "footnote"
-    )
+    chained = neighbour_values(named, keys, ["box_no"], "item", "item_before", "item_after", by_box, NO_NEIGHBOUR)
+    noted = resolve_references(chained, "refs", notes, ["occasion_id"], "ref", "detail", "footnote")
     return noted.select(
         "occasion_id", "paragraph_no", "box_no", short_set_name(strip(F.coalesce("set_label", F.lit("")))).alias("set_label"),
         "item", "item_before", "item_after", "footnote",

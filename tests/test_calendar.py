@@ -113,7 +113,7 @@ def test_set_numbers(spark):
 def test_references_keep_their_order(spark):
     plays = spark.createDataFrame([(1, 1, ["2", "1"]), (1, 2, []), (2, 1, ["9"])], "o int, p int, refs array<string>")
     details = spark.createDataFrame([(1, "1", "one"), (1, "2", "two")], "o int, ref string, t string")
-    got = notes.resolve_references(plays, ["o", "p"], "refs", details, ["o"], "ref", "t", "note").orderBy("o", "p")
+    got = notes.resolve_references(plays, "refs", details, ["o"], "ref", "t", "note").orderBy("o", "p")
     assert [r.note for r in got.collect()] == ["two one", "", ""]
 
 

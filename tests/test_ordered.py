@@ -138,3 +138,11 @@ def test_keep_first_is_cut_before_the_shuffle(spark):
     assert sorted(map(tuple, kept.collect())) == [("a", 1), ("b", 3)]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("width", [1, 7, 10**6])
+@pytest.mark.parametrize("default", [None, "***"])
+def test_both_neighbours_at_once(skewed, width, default):
+    got = ordered.neighbour_values(skewed, ["k"], ["s"], "label", "a", "b", ordered.seq_bucket("s", width), default)
+    w = by_key()
+    same(got, skewed.withColumns({"a": F.lag("label", 1, default).over(w), "b": F.lead("label", 1, default).over(w)}))
