@@ -36,7 +36,7 @@ class LanguageParams:
 
     per_language: int = 300
     languages: int = 64
-    sample: int = 3000
+    sample: int = 2000
     pieces: int = 4
     piece_bytes: int = 90
     bits: int = 12

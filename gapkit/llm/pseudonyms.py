@@ -197,7 +197,9 @@ def _ssn(v: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a value found by ``ANY``, null if it fails validation."""
     ways: dict[str, Callable[[Column, str], Column]] = {
-        "email": lambda v, k: F.concat(permuted_text(F.substring_index(v, "@", 1), k, "email"), F.lit("@"), F.substring_index(v, "@", -1)),
+        # all but the last label of the domain, so that short names do not stand alone
+        "email": lambda v, k: F.concat(permuted_text(F.regexp_extract(v, r"^(.*)\.[^.]+$", 1), k, "email"),
+                                       F.regexp_extract(v, r"\.[^.]+$", 0)),
         "ipv4": _ipv4, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "iban": _iban,
         "hex": lambda v, k: permuted_text(v, k, "hex", 6),
     }
