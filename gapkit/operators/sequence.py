@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from gapkit.operators.ordered import row_ordinal, seq_bucket, whole_group
 from gapkit.session import ensure_checkpoint_dir
@@ -19,10 +21,12 @@ _TIE = "__tie"
 def date_sequence(
     df: DataFrame, date_col: str, out: str, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Dense rank of the distinct dates, one row per (group, date).
+    """Dense rank of the distinct dates, one row per (group, date). Time stamps are refused: their number has no bound.
 
     Duplicates go map-side, so the window sees days only: 366 rows a year.
     """
+    if isinstance(df.schema[date_col].dataType, (TimestampType, TimestampNTZType)):
+        raise TypeError(f"{date_col} holds time stamps; cast it to a date")
     days = df.where(F.col(date_col).isNotNull()).select(*group, date_col).distinct()
     w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(date_col)
     return days.withColumn(out, F.row_number().over(w))
@@ -43,11 +47,12 @@ def global_sequence(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
     Range-partition and sort by the order, number rows inside each partition, then add the row counts of
     the earlier partitions. ``order`` should end in a unique key; equal rows are told apart by where they came
-    from, so that copies spread over several partitions too. Rows and their partition numbers are cut from the
-    lineage by a reliable checkpoint, as range bounds are sampled and could differ between two runs of the same
-    plan.
+    from, so that copies spread over several partitions too. Rows and their partition numbers are written to the
+    checkpoint folder as Parquet, as range bounds are sampled and could differ between two runs of the same plan; later
+    plans read the columns they need, and Spark knows the size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/sequence-{uuid.uuid4().hex}"
     mid = F.monotonically_increasing_id()
     numbered = (
         df.withColumn(_TIE, mid)
@@ -61,8 +66,9 @@ def global_sequence(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
             _LOCAL: F.col(_ID).bitwiseAND(F.lit((1 << 33) - 1)),
         })
         .drop(_ID)
-        .checkpoint()
     )
+    numbered.write.parquet(path)
+    numbered = spark.read.schema(numbered.schema).parquet(path)
     counts = numbered.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
     # one row per range partition: window and broadcast are as small as the partition count
     before = Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
