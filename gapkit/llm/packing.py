@@ -13,8 +13,10 @@ document's place in its queue.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +52,7 @@ class WordTokens:
     Words met before are kept, up to a bounded number of them."""
 
     def __init__(self, path: str, keep: int = 1 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -74,16 +77,18 @@ class WordTokens:
                 self._reset()
                 missing[:] = True
             data, at = words.data.tobytes(), first[missing]
-            strings = [data[s:e].decode() for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist())]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            old = len(self.starts) - 1
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-            known = np.concatenate([self.known, hashes[missing]])
-            order = np.concatenate([self.order, old + np.arange(len(found))])
-            by = np.argsort(known)
-            self.known, self.order = known[by], order[by]
+            spans = list(zip(words.starts[at].tolist(), words.ends[at].tolist()))
+            sizes, ids = [], []
+            for lo in range(0, len(spans), 8192):  # what the tokenizer returns takes far more memory than the ids
+                strings = [data[s:e].decode() for s, e in spans[lo:lo + 8192]]
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+            old, new = len(self.starts) - 1, hashes[missing]
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+            self.ids = np.concatenate([self.ids, *ids])
+            at = np.searchsorted(self.known, new)
+            self.known, self.order = np.insert(self.known, at, new), np.insert(self.order, at, old + np.arange(len(new)))
             slot = self._find(hashes)
         slot = slot[inverse]
         counts = self.starts[slot + 1] - self.starts[slot]
@@ -107,7 +112,7 @@ def tokenized(docs: DataFrame, p: PackParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part_id, so_far = word_tokens(path), TaskContext.get().partitionId(), {}
-        for part in slices(batches, limit=2 << 20):
+        for part in slices(batches, limit=3 << 20):
             words = words_of(part.column(1))
             ids, counts = encode(words)
             ends = np.concatenate([[0], np.cumsum(counts)])[words.bounds]

@@ -133,6 +133,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             hi = min(hi, batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
