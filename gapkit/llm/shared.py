@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,11 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def session() -> SparkSession:
-    found = SparkSession.getActiveSession()
-    if found is None:
-        raise RuntimeError("no active Spark session")
-    return found
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles of finished steps now. Spark drops a shuffle's files when the driver's JVM collects what refers to
+    it, by default every half hour; a step that has read a table back needs none of them. Twice, as listeners hold the last query
+    for a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gapkit.llm.shared import stored
+from gapkit.llm.shared import release, stored
 from gapkit.llm.words import signed, slices, windows, words_of
 
 HEAVY = 10_000  # an anchor is heavy above this fraction of all; so there are no more heavy ones than that
@@ -173,6 +173,7 @@ def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), dige
         _keyed(docs).join(marks, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
             extend, "doc_id long, n_words long, kept string, text string, known array<int>, starts array<int>, hashes array<long>"),
         "windows")
+    release(docs.sparkSession)
     touched = extended.where("text is not null")
     places = touched.select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
         F.col("w.hashes").alias("h"), "doc_id", F.col("w.starts").alias("start"))
