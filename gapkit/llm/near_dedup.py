@@ -194,22 +194,19 @@ def _verified(groups: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def _close(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, band: np.ndarray, p: NearParams) -> np.ndarray:
-    """Places of rows that form a pair across labels whose sizes and signatures allow a link and whose first common band
-    is this one."""
+def _close(bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, earlier: np.ndarray, p: NearParams) -> np.ndarray:
+    """Places of rows that form a pair across labels whose sizes and signatures allow a link and that agrees in none of the
+    ``earlier`` band values: a pair that does has met in that band's bucket. Those are the values buckets are keyed by; the
+    low bytes of a band may agree where its values do not."""
     out = np.zeros(len(sizes), bool)
-    starts = np.arange(0, p.bands * p.rows, p.rows)
     for i in range(len(sizes) - 1):
         rest = np.flatnonzero((labels[i + 1:] != labels[i])
                               & (100 * np.minimum(sizes[i + 1:], sizes[i]) >= p.percent * np.maximum(sizes[i + 1:], sizes[i]))) + i + 1
         if not len(rest):
             continue
-        same = bits[rest] == bits[i]
-        near = same.mean(axis=1) >= p.floor
-        rest, same = rest[near], same[near]
+        rest = rest[(bits[rest] == bits[i]).mean(axis=1) >= p.floor]
         if len(rest):
-            first = np.logical_and.reduceat(same[:, :p.bands * p.rows], starts, axis=1).argmax(axis=1)
-            rest = rest[first >= band[i]]  # an earlier band, by low bytes, has seen the pair
+            rest = rest[~(earlier[rest] == earlier[i]).any(axis=1)]
             out[rest] = True
             out[i] |= len(rest) > 0
     return out
@@ -221,7 +218,11 @@ def _open_rows(rows: DataFrame, p: NearParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, ["g", "i", "j"]):
             bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(table.num_rows, p.values)
-            keep = _close(bits, table["n_shingles"].to_numpy(), table["label"].to_numpy(), table["band"].to_numpy(), p)
+            lists = table["earlier"].combine_chunks()
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)  # one band, so one length, but for clashes
+            at = np.cumsum(counts) - counts
+            earlier = lists.flatten().to_numpy(zero_copy_only=False)[at[:, None] + np.arange(counts.min())]
+            keep = _close(bits, table["n_shingles"].to_numpy(), table["label"].to_numpy(), earlier, p)
             if keep.any():
                 yield from table.select(["g", "i", "j", "doc_id", "label"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     texts = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(members.select("doc_id").distinct(), "doc_id"), "texts")
-    marks = singles.select("doc_id", "n_shingles", "bits").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    marks = singles.select("doc_id", "n_shingles", "bits", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
 
     stars = members.where("doc_id <> leader").select("leader", "doc_id").distinct()
     sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
@@ -271,8 +272,8 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "label", F.coalesce("component", "doc_id")).drop("component")
     torn = labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
-    open_ = labelled.join(torn, "g", "left_semi").join(marks, "doc_id")
-    rest = _open_rows(_spread(open_, F.col("size"), p.block).select("g", "i", "j", "doc_id", "label", "band", "n_shingles", "bits"), p)
+    open_ = labelled.join(torn, "g", "left_semi").join(marks, "doc_id").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+    rest = _open_rows(_spread(open_, F.col("size"), p.block).select("g", "i", "j", "doc_id", "label", "n_shingles", "bits", "earlier"), p)
     more = stored(_verified(rest, texts, p), "block-links")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")

@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gapkit.llm.components import components
-from gapkit.llm.near_dedup import NearParams, near_duplicates, superminhash
+from gapkit.llm.near_dedup import NearParams, near_duplicates, shingle_sets, superminhash
 
 from .helpers import documents, empty, frame, invented, with_clashes, words
 
@@ -81,3 +82,21 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {199: 199, 200: 199}
     assert dict(map(tuple, got)) == want
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).collect() == []
+
+
+@pytest.mark.parametrize("seed", [118, 640])
+def test_pair_whose_earlier_band_agrees_in_low_bytes_only(spark, seed):
+    """Documents b and c are linked and meet in the second band alone, where document 1, too small for a link, comes first. Stars
+    of one document leave them to the blocks."""
+    p = NearParams(k=1, percent=80, values=17, bands=2, rows=5, slack=1.0, block=1)
+    side = F.pmod(F.xxhash64("id"), F.lit(2))
+    b, c = (spark.range(2, 50).where(side == i).agg(F.min("id")).first()[0] for i in (0, 1))
+    w = [f"w{seed}x{i}" for i in range(150)]
+    texts = [w[:75], w[:100], w[:90] + w[100:110]]
+    sets = shingle_sets(pa.array([" ".join(t) for t in texts]), 1)
+    one, two, three = superminhash(np.concatenate(sets), np.repeat([0, 1, 2], [75, 100, 100]), 3, 17)
+    assert (two[5:10] == three[5:10]).all() and (two[5:10] == one[5:10]).all()
+    assert (two[:5] & 255 == three[:5] & 255).all() and (two[:5] != three[:5]).any()
+    rows = [(i, " ".join(t), None, None, None) for i, t in zip((1, b, c), texts)]
+    got = near_duplicates(frame(spark, rows), p).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute(rows, 1, 80)
