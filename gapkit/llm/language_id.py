@@ -8,6 +8,7 @@ short pieces, so that short texts are judged well too.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -32,10 +33,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """The fit sees ``per_language`` texts of each of the ``languages`` most frequent languages at most, and ``sample`` in all."""
+    """The fit sees about ``per_language`` texts of each language at most, and about ``sample`` in all or two of each language,
+    whichever is more. Every language of the labelled rows is learned."""
 
     per_language: int = 300
-    languages: int = 64
     sample: int = 2000
     pieces: int = 4
     piece_bytes: int = 90
@@ -78,19 +79,26 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
 def _sampled(docs: DataFrame, p: LanguageParams) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Language, buckets and counts of the sampled texts and their pieces."""
     labelled = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(p.languages).collect()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    drawn = F.pmod(F.xxhash64(key, F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("least")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return []
     each = max(2, min(p.per_language, p.sample // len(counts)))
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * each / r["n"]))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.where(drawn < chance[F.col("lang")])
+    # the smallest draw of a language is always in
+    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"], min(1.0, 1.2 * each / r["n"])))])
+    chosen = labelled.where(drawn <= chance[F.col("lang")])
+    most = 2 * each  # texts of a language; only rows that share an id or a text reach it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
         for part in slices(batches):
             data, at = raw(part.column(0))
             langs, buckets, numbers = [], [], []
             for i, lang in enumerate(part.column(1).to_pylist()):
+                seen[lang] += 1
+                if seen[lang] > most:
+                    continue
                 text = data[at[i]:at[i + 1]]
                 steps = np.linspace(0, max(0, len(text) - p.piece_bytes), p.pieces).astype(int)
                 for piece in [text, *(text[s:s + p.piece_bytes] for s in (steps if len(text) > p.piece_bytes else ()))]:
@@ -103,8 +111,12 @@ def _sampled(docs: DataFrame, p: LanguageParams) -> list[tuple[str, np.ndarray,
                                              names=["lang", "buckets", "numbers"])
 
     rows = _texts(chosen, F.col("lang").cast("string")).mapInArrow(run, "lang string, buckets binary, numbers binary")
-    rows = rows.limit(len(counts) * each * (p.pieces + 1) * 2)
-    return [(r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint32)) for r in rows.toLocalIterator()]
+    out, held = [], Counter()
+    for r in rows.toLocalIterator():
+        held[r[0]] += 1
+        if held[r[0]] <= most * (p.pieces + 1):
+            out.append((r[0], np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.uint32)))
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 120) -> np.ndarray:

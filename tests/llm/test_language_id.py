@@ -56,3 +56,17 @@ def test_sample_is_bounded(spark):
     got = identify_languages(frame(spark, data), model).collect()
     truth = {r[0]: r[2] for r in data}
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) / len(got) > 0.9
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    data, n = [], 0
+    for k in range(70):  # the last languages have one text, the others four
+        sounds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)]
+        for _ in range(4 if k < 66 else 1):
+            data.append((n, " ".join(invented(rng, 30, sounds)), f"l{k:02}", None, None))
+            n += 1
+    model = fit_languages(frame(spark, data), LanguageParams(sample=70, pieces=1, bits=10))
+    assert sorted(model.members["other"]) == sorted({r[2] for r in data})
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(frame(spark, data), model).collect()}
+    assert all(got[r[0]] == r[2] for r in data if r[2] >= "l64")
