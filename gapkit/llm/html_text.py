@@ -2,8 +2,10 @@
 
 A tokenizer feeds a tree builder that keeps the stack of open elements: it opens and closes what HTML leaves implied
 (``</p>`` before a block, ``</li>``, ``</td>``, ``</tr>`` and so on), ignores stray end tags and closes what is left open
-at the end. Text goes out while the tree grows, so depth is no limit. Elements that are not shown (head, script, style,
-template, ``hidden``, ``display:none`` and others) take their whole subtree with them.
+at the end. Text goes out while the tree grows, so depth is no limit. Elements that are not shown take their whole subtree with
+them: those of ``UNSEEN`` and, inside svg and math, ``UNSEEN_THERE``; ``hidden``, ``display:none`` and ``visibility:hidden``; closed
+``details`` but for the summary and closed ``dialog``. Of an svg the content of ``text`` and ``foreignObject`` is shown, of a select
+the chosen option, or all options where it is a list. What is typed into a page (``textarea``, ``input``) counts as no text of it.
 
 Layout: a block starts a new line, and blocks with a margin are set off by an empty line; runs of white space are one space
 except in ``pre``; list items carry a bullet or their number and are indented by level; the cells of a table's column are
@@ -29,8 +31,14 @@ WHITE = re.compile(r"[ \t\n\r\f]+")
 USED = re.compile(r"hidden|style|open|start|value", re.I)  # the attributes that matter here
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title "
-                   "textarea select".split())
+# not rendered, or rendered as something that is no text: media and object show their content only where they fail
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title "
+                   "textarea".split())
+UNSEEN_THERE = frozenset("annotation annotation-xml metadata desc defs symbol clippath mask pattern marker".split())
+# a start tag of HTML ends an open svg or math, unless one of POINTS is between
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+                   "ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav "
@@ -109,6 +117,9 @@ class Element:
     name: str
     unseen: bool
     number: int | None = None  # of the next item of an ordered list
+    outer: Flow | None = None  # the flow around a select or an option of one
+    options: list[tuple[bool, bool, str]] | None = None  # of a select: chosen, can be chosen, text
+    choice: tuple[bool, bool, str | None] = (False, True, None)  # of an option: chosen, can be chosen, label
 
 
 @dataclass
@@ -144,10 +155,27 @@ class Page:
         self.items = self.pre = 0
         self.opened: dict[str, int] = {}
 
-    def attributes(self, text: str) -> dict[str, str]:
-        return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if USED.search(text) else {}
+    def attributes(self, name: str, text: str) -> dict[str, str]:
+        used = name in ("select", "option", "optgroup") or USED.search(text) or self.opened.get("svg")
+        return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if used else {}
+
+    def foreign(self) -> bool:
+        """Whether the innermost of svg, math and the places for HTML inside them is an svg or a math."""
+        if self.opened.get("svg") or self.opened.get("math"):
+            for e in reversed(self.stack):
+                if e.name in POINTS or e.name in ("svg", "math"):
+                    return e.name not in POINTS
+        return False
 
     def start(self, name: str, attributes: str) -> None:
+        if name in LEAVES:
+            while self.foreign():
+                self._pop()
+        inside = self.opened.get("svg") or self.opened.get("math") or name in ("svg", "math")
+        if name in ("select", "input", "textarea") and self.opened.get("select") and self._above("select", {"table"}):
+            self.finish("select")
+            if name == "select":
+                return
         if name in ("html", "body"):
             self._leave_head()
         elif name != "head":
@@ -161,8 +189,8 @@ class Page:
                 self._close_implied(*IMPLIED[name])
             if name in ("td", "th") and not self._above("tr", {"table"}):
                 self._push("tr", {})
-        self._push(name, self.attributes(attributes))
-        if name in VOID:
+        self._push(name, self.attributes(name, attributes))
+        if name in VOID or (inside and attributes.endswith("/")):
             self._pop()
 
     def _leave_head(self) -> None:
@@ -213,6 +241,9 @@ class Page:
         unseen = unseen or (name == "dialog" and "open" not in a)
         if above and above.name == "details" and above.number == 0 and name != "summary":
             unseen = True
+        if self.opened.get("svg") or self.opened.get("math"):
+            unseen = unseen or name in UNSEEN_THERE or (
+                bool(self.opened.get("svg")) and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")))
         element = Element(name, unseen)
         self.stack.append(element)
         self.opened[name] = self.opened.get(name, 0) + 1
@@ -222,6 +253,18 @@ class Page:
             return
         if name == "br":
             self.flow.end(True)
+        elif name == "select":
+            element.outer, element.options, self.flow = self.flow, [], Flow()
+            size = a.get("size", "")
+            element.number = int("multiple" in a or (re.fullmatch(r"\d{1,9}", size) is not None and int(size) > 1))
+        elif name == "optgroup" and self.opened.get("select"):
+            element.number = int("disabled" in a)
+        elif name == "option" and self.opened.get("select"):
+            element.outer, self.flow = self.flow, Flow()
+            off = "disabled" in a or (above.name == "optgroup" and above.number == 1)
+            element.choice = "selected" in a, not off, a.get("label")
+        elif name == "text" and self.opened.get("svg"):
+            self.flow.space = True
         elif name == "table":
             self.flow.block(True)
             self.tables.append(Table(outer=self.flow))
@@ -254,7 +297,13 @@ class Page:
         self.opened[e.name] -= 1
         if e.unseen:
             return e.name
-        if e.name == "table":
+        if e.outer is not None:
+            self._close_choice(e)
+        elif e.name == "text" and self.opened.get("svg"):
+            self.flow.space = True
+        elif e.name == "optgroup" and self.opened.get("select"):
+            pass
+        elif e.name == "table":
             table = self.tables.pop()
             self.flow = table.outer
             for line in _aligned(table.rows):
@@ -281,6 +330,38 @@ class Page:
             self.flow.block(e.name in SPACED and not (e.name in ("ul", "ol") and self.items))
         return e.name
 
+    def _close_choice(self, e: Element) -> None:
+        """End an option, whose text goes to its select, or a select, which shows one option, or all on lines of their own."""
+        lines, self.flow = self.flow.closed(), e.outer
+        if e.name == "option":
+            chosen, free, label = e.choice
+            owner = next((s for s in reversed(self.stack) if s.options is not None), None)
+            if owner is not None:
+                owner.options.append((chosen, free, label or " ".join(" ".join(lines).split())))
+        elif e.number:
+            self.flow.end()
+            for *_, label in e.options:
+                self.flow.text(label, self._indent(), False)
+                self.flow.end()
+        else:
+            shown = [o for o in e.options if o[0]][-1:] or [o for o in e.options if o[1]][:1]
+            self.flow.space = True
+            for *_, label in shown:
+                self.flow.text(label, self._indent(), False)
+            self.flow.space = True
+
+    def _indent(self) -> str:
+        lead = max(len(self.flow.lead), 2) if self.items else 0
+        return "  " * (self.items - 1) + " " * lead if self.items else ""
+
+    def _in_graphic(self) -> bool:
+        """Whether text here is inside an svg, but in no part of it that shows text."""
+        if self.opened.get("svg"):
+            for e in reversed(self.stack):
+                if e.name in ("svg", "text", "foreignobject"):
+                    return e.name == "svg"
+        return False
+
     def text(self, text: str) -> None:
         above = self.stack[-1] if self.stack else None
         blank = not text.strip(" \t\n\r\f")
@@ -290,12 +371,13 @@ class Page:
             self._leave_head()
         if above and blank and above.name in ("table", "tr", "thead", "tbody", "tfoot", "html", "ul", "ol"):
             return
+        if self._in_graphic():
+            return
         if "&" in text:
             text = html.unescape(text)
         # text right inside a table belongs before it
         flow = self.tables[-1].outer if above and above.name in ("table", "tr", "thead", "tbody", "tfoot") and self.tables else self.flow
-        lead = max(len(self.flow.lead), 2) if self.items else 0
-        flow.text(text, "  " * (self.items - 1) + " " * lead if self.items else "", self.pre > 0)
+        flow.text(text, self._indent(), self.pre > 0)
 
 
 def visible_text(source: str) -> str:
@@ -320,7 +402,7 @@ def visible_text(source: str) -> str:
         if name == "plaintext":
             page.text(source[at:])
             break
-        if name in RAW:
+        if name in RAW and page.stack and page.stack[-1].name == name:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             at = close.start() if close else end
             if not close:

@@ -54,3 +54,23 @@ def test_rows(spark):
     got = sorted(map(tuple, extracted(df).collect()), key=repr)
     assert got == sorted([(1, "u", "a"), (1, "u", "a"), (2, None, None), (3, "v", ""), (None, None, "b")], key=repr)
     assert extracted(df.limit(0)).collect() == []
+
+
+SHOWN = {
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>no</annotation></math> b": "a x=2 b",
+    "<svg><title>no</title><desc>no</desc><defs/><g><text x=1>one</text><text>two <tspan>three</tspan></text></g>no</svg> b": "one two three b",
+    "<svg><style/><path d='M0'/><text display='none'>no</text><text>yes</text></svg><p>c": "yes\n\nc",
+    "<svg><foreignObject><div>in</div></foreignObject></svg>": "in",
+    "<svg><defs><text>no</text></defs><p>out</p>": "out",
+    "<defs>x</defs> <text>y</text>": "x y",
+    "Size <select><option>S<option selected>M<option>L</select> now": "Size M now",
+    "<select><option disabled>no<option>first<option>second</select>": "first",
+    "a<select multiple><optgroup label=no><option>x<option>y</optgroup></select>b": "a\nx\ny\nb",
+    "<ul><li><select hidden><option>no</select>a<li><select><option label=L>no</select></ul>": "- a\n- L",
+    "<table><tr><td><select><option>x<td>y</table>": "x  y",
+}
+
+
+@pytest.mark.parametrize("page", SHOWN)
+def test_formulas_graphics_and_choices_are_shown(page):
+    assert visible_text(page) == SHOWN[page]
