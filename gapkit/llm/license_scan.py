@@ -4,6 +4,10 @@ Texts are normalised to words of letters and digits in small letters. A document
 (lines between empty ones) and by line. Since Dice is at most 2 min(a, b) / (a + b) for sets of a and b bigrams, a unit
 is compared only with templates whose size lies within the bounds the threshold sets, and only if it holds enough bigrams
 of any template.
+
+A licence may also stand in several paragraphs, or in part of a longer line. So windows of words, from one bigram of a template
+to another over whatever lies between, are compared as well, each template with its best window. A window inside a unit that
+has matched the same licence says nothing new and is left out.
 """
 
 from __future__ import annotations
@@ -132,7 +136,37 @@ def _units(data: np.ndarray, at: np.ndarray):
             np.concatenate([ends[lines][last[more]], ends[lines][tail[several]], ends[lines]]))
 
 
-UNITS = ("document", "paragraph", "line")
+UNITS = ("document", "paragraph", "line", "window")
+
+
+def best_window(hashes: np.ndarray, hit: np.ndarray, size: int, threshold: float) -> tuple[float, int, int] | None:
+    """Score and bounds of the window of bigrams with the highest Dice coefficient, the first and shortest of equals; ``hit`` marks
+    the bigrams of the template, which has ``size``. None if no window reaches the threshold.
+
+    A best window begins and ends with a hit. In a window from s, a bigram counts if it has not occurred since s. Windows
+    grow until they hold too many bigrams for the threshold, or all hits that are left.
+    """
+    n = len(hashes)
+    order = np.argsort(hashes, kind="stable")
+    prev, nxt = np.full(n, -1), np.full(n, n)
+    same = hashes[order][1:] == hashes[order][:-1]
+    prev[order[1:][same]], nxt[order[:-1][same]] = order[:-1][same], order[1:][same]
+    left = np.cumsum(((nxt == n) & hit)[::-1])[::-1]  # distinct hits from a place to the end
+    need, most = threshold * size / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
+    best = None
+    for s in np.flatnonzero(hit & (left >= need)).tolist():
+        reach = 2 * size
+        while True:
+            fresh = prev[s:s + reach] < s
+            own, common = np.cumsum(fresh), np.cumsum(fresh & hit[s:s + reach])
+            if own[-1] > most or common[-1] == left[s] or s + reach >= n:
+                break
+            reach *= 2
+        scores = 2 * common / (own + size)
+        e = int(scores.argmax())
+        if scores[e] >= threshold and (best is None or scores[e] > best[0]):
+            best = float(scores[e]), s, s + e + 1
+    return best
 
 
 def scanned(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
@@ -140,7 +174,7 @@ def scanned(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFra
 
     Ties go to the larger unit, then the earlier one, then the earlier template. ``license`` is null and ``score`` 0 where
     nothing reaches the threshold, as for null texts and texts of one word. An empty table gives no rows. Bigrams go
-    over line ends in documents and paragraphs.
+    over line ends in documents, paragraphs and windows.
     """
     p = params
 
@@ -148,6 +182,7 @@ def scanned(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFra
         templates = _template_sets(p)
         known = np.unique(np.concatenate([t[2] for t in templates])) if templates else np.empty(0, np.uint64)
         sizes = np.array([len(t[2]) for t in templates])
+        owned = [np.isin(known, t[2], assume_unique=True) for t in templates]
         few = int(np.ceil(p.threshold * (1 + sizes.min(initial=1)) / 2))
         for part in slices(batches):
             data, at = raw(part.column(1))
@@ -159,6 +194,7 @@ def scanned(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFra
                 hit = known[where] == hashes
             hits = np.concatenate([[0], np.cumsum(hit)])
             best: dict[int, tuple] = {}
+            matched: dict[tuple[int, str], list[tuple[int, int]]] = {}  # words of the units that match a licence
             kind, doc, lo, hi = _units(data, at)
             word_lo, word_hi = np.searchsorted(words.starts, lo), np.searchsorted(words.starts, hi)
             a, b = np.searchsorted(first, word_lo), np.searchsorted(first, np.maximum(word_hi - 1, word_lo))
@@ -169,9 +205,34 @@ def scanned(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFra
                     common = np.isin(own, templates[t][2], assume_unique=True).sum()
                     score = 2 * int(common) / (len(own) + int(sizes[t]))
                     rank = (-score, int(kind[u]), int(lo[u]), templates[t][1])
+                    if score >= p.threshold:
+                        matched.setdefault((int(doc[u]), templates[t][0]), []).append((int(word_lo[u]), int(word_hi[u])))
                     if score >= p.threshold and (int(doc[u]) not in best or rank < best[int(doc[u])][0]):
                         place = int(word_lo[u] - words.bounds[doc[u]])
                         best[int(doc[u])] = rank, templates[t][0], score, UNITS[kind[u]], place, int(word_hi[u] - word_lo[u])
+            at_hit = np.flatnonzero(hit)
+            index = where[at_hit] if len(known) else at_hit
+            doc_of_hit = np.searchsorted(words.bounds, first[at_hit], "right") - 1
+            edges = np.searchsorted(first, words.bounds)
+            for t, (name, number, _) in enumerate(templates):
+                mine = owned[t][index]
+                pairs = np.unique(doc_of_hit[mine] * len(known) + index[mine])  # distinct bigrams of the template in a document
+                d, distinct = np.unique(pairs // max(len(known), 1), return_counts=True)
+                for i in d[distinct >= p.threshold * sizes[t] / (2 - p.threshold) - 1e-9].tolist():
+                    lo_, hi_ = int(edges[i]), int(edges[i + 1])
+                    inside = np.zeros(hi_ - lo_, bool)
+                    chosen = at_hit[mine & (doc_of_hit == i)]
+                    inside[chosen - lo_] = True
+                    window = best_window(hashes[lo_:hi_], inside, int(sizes[t]), p.threshold)
+                    if window is None:
+                        continue
+                    score, s, e = window
+                    a_, b_ = int(first[lo_ + s]), int(first[lo_ + e - 1]) + 2
+                    if any(x <= a_ and b_ <= y for x, y in matched.get((i, name), ())):
+                        continue
+                    rank = (-score, 3, int(words.starts[a_]), number)
+                    if i not in best or rank < best[i][0]:
+                        best[i] = rank, name, score, UNITS[3], a_ - int(words.bounds[i]), b_ - a_
             found = [best.get(i, (None, None, 0.0, None, None, None)) for i in range(part.num_rows)]
             kinds = (pa.string(), pa.float64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(

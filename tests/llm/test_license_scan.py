@@ -1,6 +1,8 @@
 import re
 
-from gapkit.llm.license_scan import TEMPLATES, LicenseParams, scanned
+import numpy as np
+
+from gapkit.llm.license_scan import TEMPLATES, LicenseParams, best_window, scanned
 
 from .helpers import documents, empty, frame, with_clashes
 
@@ -58,3 +60,34 @@ def test_place_and_empty_table(spark):
     assert tuple(row) == (1, "MIT", 1.0, "line", 3, 5)
     none = scanned(frame(spark, [(1, "Released under the MIT License.", None, None, None)]), LicenseParams(templates=())).first()
     assert (none["license"], none["score"]) == (None, 0.0)
+
+
+def test_licences_in_paragraphs_and_in_lines(spark):
+    text = {name: t for name, t in reversed(TEMPLATES)}
+    noise = " ".join(f"other{i}" for i in range(400))
+    parts = {name: re.sub(r"(copies\.|conditions:|Software\.|LICENSE-2\.0|version\.|details\.) ", r"\1\n\n", text[name])
+             for name in ("MIT", "ISC", "Apache-2.0", "GPL-3.0-or-later")}
+    rows = [(i, f"{noise}\n\n{t}\n\n{noise}", None, None, None) for i, t in enumerate(parts.values())]
+    rows += [(10 + i, f"{noise} {text[name]} {noise}", None, None, None) for i, name in enumerate(parts)]
+    rows += [(20, f"{noise} {text['MIT']} " * 2, None, None, None), (21, noise, None, None, None)]
+    assert all(t.count("\n\n") for t in parts.values())
+    got = {r["doc_id"]: tuple(r)[1:] for r in scanned(frame(spark, rows)).collect()}
+    for i, name in enumerate(parts):
+        n = len(re.findall("[A-Za-z0-9]+", text[name]))
+        assert got[i] == got[10 + i] and got[i][:4] == (name, 1.0, "window", 400)
+        assert n - 3 <= got[i][4] <= n  # words at the end whose bigrams have occurred add nothing
+    assert got[20][:4] == ("MIT", 1.0, "window", 400) and got[21][0] is None
+
+
+def test_best_window_equals_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        hashes = rng.integers(0, 14, rng.integers(1, 40)).astype(np.uint64)
+        hit, size = hashes < 6, 6
+        want = 0.0
+        for s in range(len(hashes)):
+            for e in range(s + 1, len(hashes) + 1):
+                own = set(hashes[s:e].tolist())
+                want = max(want, 2 * sum(x < 6 for x in own) / (len(own) + size))
+        got = best_window(hashes, hit, size, 0.8)
+        assert (got[0] if got else 0.0) == (want if want >= 0.8 else 0.0)
