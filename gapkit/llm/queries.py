@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapkit.llm.alignment import aligned
+from gapkit.llm.chat_format import formatted, loss_text, read_turns
 from gapkit.llm.fingerprint import as_text, fingerprinted, likeness
 from gapkit.llm.html_text import extracted
 from gapkit.llm.language_id import languages_of
@@ -13,6 +17,7 @@ from gapkit.llm.license_scan import scanned
 from gapkit.llm.mixing import mixed
 from gapkit.llm.near_dedup import NearParams, near_duplicates
 from gapkit.llm.packing import packed
+from gapkit.llm.periodic_runs import periodic_runs
 from gapkit.llm.pseudonyms import pseudonymized
 from gapkit.llm.substring_dedup import RepeatParams, without_repeats
 from gapkit.llm.topk import scaled, top_k
@@ -25,6 +30,7 @@ SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 
@@ -148,3 +154,71 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT e.b, r.root FROM
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM s JOIN c ON doc_id = node"""
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"), digest=True).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns but ``conv_id`` and ``valid`` are read back from the formatted segments."""
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    chats = formatted(table(spark, sf_dir, "conversations").unionByName(hard))
+    turns = read_turns(F.col("formatted"))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = chats.select("conv_id", "valid", "formatted", loss_text(F.col("segments")).alias("loss"), F.size(turns).cast("long").alias("n_turns"),
+                        F.sha2(said, 256).alias("turns_sha256"))
+    return read.select(
+        "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+# Lengths of escaped texts are those of the texts and one more for each backslash and each control string.
+SQL["op12_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+s AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+    CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role) ELSE 1 + 2 * strlen(role) END
+    + length(text) + length(text) - length(replace(text, '\', ''))
+    + (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, '</turn>', ''))) // 7
+    + length('### : </turn>') + 1 AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'tool') THEN
+      (before = 'system' AND role = 'user') OR (before = 'tool' AND role IN ('assistant', 'tool'))
+    WHEN before = 'user' THEN role = 'assistant' ELSE before = 'assistant' AND role IN ('user', 'tool') END
+    AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM s GROUP BY conv_id"""
+
+
+def _stretched(part, bounds: np.ndarray) -> np.ndarray:
+    """For a tenth of the documents, words from some word on repeat the words before them in a period; all from the id's CRC."""
+    take = np.arange(bounds[-1])
+    for d, doc_id in enumerate(part.column(0).to_pylist()):
+        h, lo, n = zlib.crc32(str(doc_id).encode()), int(bounds[d]), int(bounds[d + 1] - bounds[d])
+        if h % 10 or not n or doc_id is None:
+            continue
+        g = h // 10
+        a = g % n
+        take[lo + a:lo + n] = lo + a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return take
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(table(spark, sf_dir, "documents"), digest=True, rearrange=_stretched)
+    best = [F.get(c, F.col("best")) for c in ("starts", "lengths", "periods")]
+    lines = F.transform(F.arrays_zip("starts", "lengths", "periods"), lambda r: F.concat(
+        F.concat_ws(",", r["starts"], r["lengths"], r["periods"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("starts").cast("long").alias("n_runs"), best[0].alias("start"), best[1].alias("length"), best[2].alias("period"),
+        F.floor(best[1] * 1000 / best[2]).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"))

@@ -72,6 +72,17 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
+    def column(self) -> pa.Array:
+        """The words as a column of bytes."""
+        ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        data = self.data[~_SPACE[self.data]] if len(self.data) else self.data
+        return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+
+    @staticmethod
+    def numbered(column: pa.Array) -> pa.DictionaryArray:
+        """A column of words as its different words and each word's number among them, by their bytes."""
+        return column.dictionary_encode()
+
     def hashes(self, lower: bool = False) -> np.ndarray:
         """One hash for each word; with ``lower``, A-Z count as a-z."""
         table, out, lo = _LOWER if lower else _BYTES, np.empty(len(self.starts), np.uint64), 0
