@@ -10,7 +10,7 @@ from driver_queries import bind
 from driver_queries.bind import AS_OF, table
 from driver_queries.registry import DATED, ITEMS, NAMED_PLAYS, NUMBERED, PLAYS, VENUES, query, r2
 from gapkit.operators.lookups import point_lookup
-from gapkit.plans import calendar as cal, history, rankings, reports
+from gapkit.plans import calendar as cal, history, rankings, reports, state as gap_state
 from gapkit.session import ensure_checkpoint_dir
 from gapkit.sources.layouts import FILES, ITEMS as ITEM_TABLE, OCCASIONS as OCCASION_TABLE, PLAYS as PLAY_TABLE
 from gapkit.sources.tables import (
@@ -126,6 +126,29 @@ def overdue_by_link(spark, sf_dir):
     return rankings.overdue(_link_bundle(spark, sf_dir), BY_LINK, AS_OF)
 
 
+def _state(spark, sf_dir, bundle, spec):
+    """A state closed twice: at first up to 1998, then, from the stored one, up to May 2000."""
+    path = f"{ensure_checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    gap_state.store(gap_state.close(bundle, spec, gap_state.cut_before(bundle, spec, "1999-01-01")), path)
+    later = gap_state.cut_before(bundle, spec, "2000-06-01")
+    return gap_state.store(gap_state.close(bundle, spec, later, gap_state.load(spark, path)), path)
+
+
+@query("c2_overdue_from_state", overdue_sql(
+    FLAGGED_CTE, "item, is_original", MAX_SEQ.replace("max(occ_seq)", "max(occ_seq) - 1"),
+    "n_plays > 10 AND is_original = 1"))
+def overdue_from_state(spark, sf_dir):
+    bundle = bind.numbered_bundle(spark, sf_dir)
+    return gap_state.overdue_from(_state(spark, sf_dir, bundle, REPEATS), bundle, REPEATS, AS_OF)
+
+
+@query("c3_rotation_from_state", rotation_sql(
+    EXCLUDED_CTE, "item, is_original", "SELECT max(occ_seq) - 1 FROM counted", 366, "current_gap > 3 AND is_original = 1"))
+def rotation_from_state(spark, sf_dir):
+    bundle = _exclusions_bundle(spark, sf_dir)
+    return gap_state.rotation_from(_state(spark, sf_dir, bundle, EXCLUSIONS), bundle, EXCLUSIONS, AS_OF)
+
+
 @query("c3_rotation_by_date", rotation_sql(DATED_CTE, "item", MAX_SEQ, 366, "current_gap > 3"))
 def rotation_by_date(spark, sf_dir):
     return rankings.rotation(bind.dated_bundle(spark, sf_dir), BY_DATE, AS_OF)

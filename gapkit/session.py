@@ -21,6 +21,12 @@ RECOMMENDED_CONF = {
 # Only when a session is built: drop checkpoints that nothing refers to any more.
 BUILD_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
+# For streams that hold keys: state on disk, and only what changed in each checkpoint.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what the plans rely on, where the session says nothing else: hot keys of joins are split at run time."""

@@ -1,3 +1,4 @@
+import time
 from datetime import date
 
 import pytest
@@ -158,3 +159,77 @@ def test_repeated_batch_replaces_its_output(spark, sides, tmp_path):
         streams.stream_upsert(stream, target, str(tmp_path / attempt), ["occasion_id", "item_id"], ["payload"],
                               existing).awaitTermination()
     assert len(keys(streams.stored(spark, target, incoming.schema))) == 4
+
+
+@pytest.mark.parametrize("form", ["stream_upsert", "stream_upsert_state"])
+@pytest.mark.parametrize("own", [True, False])
+def test_runs_of_one_target_store_a_key_once(spark, sides, tmp_path, form, own):
+    existing, incoming = sides
+    folder, target, by = str(tmp_path / "in"), str(tmp_path / "out"), ["occasion_id", "item_id"]
+    later = plays(spark, [(4, "a", "2024-05-01", "again"), (8, "a", "2024-05-02", "new"), (1, "z", "2022-01-01", "again")])
+    base = str(tmp_path / "base")
+    write_table(existing, base)
+    for i, part in enumerate((incoming.where("occasion_id < 4"), incoming, later)):
+        land(spark, part, folder)
+        stream = streams.read_landed(spark, folder, incoming.schema, files_per_batch=1)
+        known = streams.read_landed(spark, base, existing.schema) if form == "stream_upsert_state" else existing
+        getattr(streams, form)(stream, target, str(tmp_path / (f"p{i}" if own else "p")), by, ["payload"], known).awaitTermination()
+    got = keys(streams.stored(spark, target, incoming.schema))
+    assert got == [(1, "z", "new"), (2, "a", "new"), (4, "a", "new"), (5, "a", "new"), (8, "a", "new")]
+
+
+@pytest.mark.parametrize("form", ["stream_append", "stream_upsert", "stream_upsert_state"])
+def test_a_start_that_failed_in_a_batch_goes_on(spark, sides, tmp_path, form):
+    existing, incoming = sides
+    folder, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for n in (5, 4, 1, 2, 3):  # the latest day comes first
+        land(spark, incoming.where(F.col("occasion_id") == n), folder)
+        time.sleep(1.1)
+
+    def start():
+        stream = streams.read_landed(spark, folder, incoming.schema, files_per_batch=1)
+        if form == "stream_append":
+            return streams.stream_append(stream, target, progress, "2024-06-02", plays(spark, [(0, "a", "2022-06-01", "old")]))
+        return getattr(streams, form)(stream, target, progress, ["occasion_id", "item_id"], ["payload"])
+
+    calls = []
+    real = streams._Log.begin
+
+    def failing(self, batch_id):
+        first = real(self, batch_id)
+        calls.append(batch_id)
+        if batch_id == 2 and calls.count(2) == 1:
+            raise RuntimeError("an executor is gone")
+        return first
+
+    streams._Log.begin = failing
+    try:
+        with pytest.raises(Exception, match="gone"):
+            start().awaitTermination()
+        start().awaitTermination()
+    finally:
+        streams._Log.begin = real
+    got = {r[:2] for r in keys(streams.stored(spark, target, incoming.schema))}
+    want = {(2, "a"), (3, "a"), (4, "a"), (5, "a")} | ({(1, "z")} if form != "stream_append" else set())
+    assert got == want and calls.count(2) == 2
+
+
+def test_a_second_start_has_a_new_mark_and_keeps_what_is_stored(spark, sides, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rounds = [("p", [(1, "a", "2024-01-05", "1")]), ("p", [(2, "a", "2024-01-03", "late"), (3, "a", "2024-01-07", "2")]),
+              ("q", [(4, "a", "2024-01-06", "late"), (5, "a", "2024-01-08", "3")])]
+    for progress, rows in rounds:
+        land(spark, plays(spark, rows), folder)
+        stream = streams.read_landed(spark, folder, sides[1].schema)
+        streams.stream_append(stream, target, str(tmp_path / progress), AS_OF).awaitTermination()
+    assert keys(streams.stored(spark, target, sides[1].schema)) == [(1, "a", "1"), (3, "a", "2"), (5, "a", "3")]
+
+
+def test_a_run_name_belongs_to_one_checkpoint(spark, sides, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, sides[1], folder)
+    stream = streams.read_landed(spark, folder, sides[1].schema)
+    streams.stream_append(stream, target, str(tmp_path / "p"), AS_OF, run="daily").awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        streams.stream_append(stream, target, str(tmp_path / "q"), AS_OF, run="daily")
+    assert len(keys(streams.stored(spark, target, sides[1].schema))) == 5
