@@ -53,9 +53,19 @@ def _point_bucket(spec: GapSpec) -> Column | None:
     return None if _fits_one_window(spec) else seq_bucket("occ_seq")
 
 
-def play_points(bundle: Bundle, spec: GapSpec, since: Column | None = None) -> DataFrame:
+def last_points(bundle: Bundle, spec: GapSpec) -> DataFrame:
+    """``tail_seq``: the sequence number of each item's last point."""
+    plays = dated_plays(bundle, spec, how="inner").where(F.col("occ_seq").isNotNull())
+    return plays.groupBy(*spec.group, "item_id").agg(F.max("occ_seq").alias("tail_seq"))
+
+
+def play_points(
+    bundle: Bundle, spec: GapSpec, since: Column | None = None, tails: DataFrame | None = None
+) -> DataFrame:
     """One row per (item, sequence number), with ``prev_seq`` of the item's previous point.
 
+    An item's first point has no previous one, unless ``tails`` names one before all of these (``tail_seq``).
+
     ``n_plays``        plays that count, repeats left out
     ``leads``          1 when the first play at this point is no repeat, so that the gap belongs to it
 
@@ -99,7 +109,11 @@ def play_points(bundle: Bundle, spec: GapSpec, since: Column | None = None) -> D
     ).withColumn("leads", (F.col("__rank") % 2 == 0).cast("int")).drop("__point")
     order = ["occ_seq", "__rank"] if spec.repeat_policy == "flag_after" else ["occ_seq"]
     lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", bucket, share=not dealt, dealt=dealt)
-    return lagged.where("n_plays > 0").drop("__rank", BUCKET)
+    counted = lagged.where("n_plays > 0").drop("__rank", BUCKET)
+    if tails is None:
+        return counted
+    known = counted.join(tails.select(*keys, "tail_seq"), keys, "left")
+    return known.withColumn("prev_seq", F.coalesce("prev_seq", "tail_seq")).drop("tail_seq")
 
 
 def play_history(bundle: Bundle, spec: GapSpec) -> DataFrame:

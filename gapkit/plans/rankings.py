@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +13,9 @@ from gapkit.functions import days_before, format_day, gap_zscore, round2, sample
 from gapkit.plans.history import counted_occasions, play_points
 from gapkit.spec import Bundle, GapSpec, as_day
 
+if TYPE_CHECKING:
+    from gapkit.plans.state import GapState
+
 OVERDUE_COLUMNS = (
     "item", "times_played_total", "ltp_date", "current_gap", "avg_gap", "med_gap",
     "current_minus_avg", "current_minus_med",
@@ -19,30 +23,28 @@ OVERDUE_COLUMNS = (
 ROTATION_COLUMNS = ("item", "times_played_recent", "ltp_date", "current_gap", "avg_gap", "med_gap")
 
 
-def last_sequence(bundle: Bundle, spec: GapSpec, as_of: date) -> DataFrame:
-    """The sequence number current gaps count from, one row per group."""
+# First and last play of rows that are folded further.
+SPANS = ("first_seq", "last_seq", "first_date", "last_date")
+
+
+def last_sequence(bundle: Bundle, spec: GapSpec, as_of: date, tails: DataFrame | None = None) -> DataFrame:
+    """The sequence number current gaps count from, one row per group. ``tails`` has ``tail_seq`` of plays that ``bundle`` lacks."""
     calendar = counted_occasions(bundle, spec)
     if spec.last_seq == "last_past":
         calendar = calendar.where(F.col("occ_date") < F.lit(as_of))
     elif spec.last_seq == "max_played":
         keys = [*spec.group, "occasion_id"]
         calendar = bundle.plays.select(*keys).join(calendar.select(*keys, "occ_seq"), keys)
+        if tails is not None:
+            calendar = calendar.select(*spec.group, "occ_seq").union(tails.select(*spec.group, "tail_seq"))
     top = F.max("occ_seq")
     if spec.last_seq == "max_minus_one":
         top = top - 1
     return calendar.groupBy(*spec.group).agg(top.alias("last_seq"))
 
 
-def item_stats(
-    bundle: Bundle, spec: GapSpec, since: Column | None = None
-) -> DataFrame:
-    """Play count, first and last sequence and date, and gap statistics per item.
-
-    Gaps come from the whole history, also with ``since``. Mean, median and spread are rounded to 2 digits.
-    The exact median is a histogram of gaps: an item over S occasions has at most about sqrt(2 S) distinct
-    gaps, since they sum to no more than S.
-    """
-    points = play_points(bundle, spec, since)
+def gap_rows(points: DataFrame, spec: GapSpec) -> DataFrame:
+    """Points with their ``gap``, how many plays have it (``w``), and themselves as first and last play."""
     gap = F.col("occ_seq") - F.col("prev_seq")
     if spec.repeat_policy == "flag_after":
         first = F.struct(gap.alias("gap"), F.col("leads").cast("long").alias("w"))
@@ -54,9 +56,23 @@ def item_stats(
         ).where("w > 0").drop("__part")
     else:
         rows = points.withColumns({"gap": gap, "w": F.lit(1).cast("long")})
-
     spans = rows.withColumns({"last_seq": F.col("occ_seq"), "last_date": F.col("occ_date")})
-    spans = spans.withColumnsRenamed({"occ_seq": "first_seq", "occ_date": "first_date"})
+    return spans.withColumnsRenamed({"occ_seq": "first_seq", "occ_date": "first_date"})
+
+
+def item_stats(
+    bundle: Bundle, spec: GapSpec, since: Column | None = None, closed: GapState | None = None
+) -> DataFrame:
+    """Play count, first and last sequence and date, and gap statistics per item.
+
+    Gaps come from the whole history, also with ``since``. Mean, median and spread are rounded to 2 digits.
+    The exact median is a histogram of gaps: an item over S occasions has at most about sqrt(2 S) distinct
+    gaps, since they sum to no more than S. ``closed`` holds the plays before those of ``bundle``.
+    """
+    points = play_points(bundle, spec, since, None if closed is None else closed.tails)
+    spans = gap_rows(points, spec)
+    if closed is not None and since is None:
+        spans = spans.select(*closed.histogram.columns).unionByName(closed.histogram)
     named, stat_keys = _with_stat_keys(spans, bundle, spec)
     g = F.col("gap").cast("double")
     n_gaps = F.sum(F.when(F.col("gap").isNotNull(), F.col("w")))
@@ -108,8 +124,10 @@ def _with_stat_keys(rows: DataFrame, bundle: Bundle, spec: GapSpec) -> tuple[Dat
     return named, keys
 
 
-def _attach_current_gap(stats: DataFrame, bundle: Bundle, spec: GapSpec, as_of: date) -> DataFrame:
-    last = last_sequence(bundle, spec, as_of)
+def _attach_current_gap(
+    stats: DataFrame, bundle: Bundle, spec: GapSpec, as_of: date, closed: GapState | None
+) -> DataFrame:
+    last = last_sequence(bundle, spec, as_of, None if closed is None else closed.tails)
     if spec.group:
         stats = stats.join(last, list(spec.group))
         return stats.withColumn("current_gap", F.col("last_seq") - F.col("last_played_seq")).drop("last_seq")
@@ -121,11 +139,11 @@ def _value(setting: int | Column) -> Column:
 
 
 def overdue_scores(
-    bundle: Bundle, spec: GapSpec, as_of: date | str, policies: DataFrame | None = None
+    bundle: Bundle, spec: GapSpec, as_of: date | str, policies: DataFrame | None = None, closed: GapState | None = None
 ) -> DataFrame:
     """Overdue items with their z-score, unordered."""
     as_of = as_day(as_of)
-    stats = _attach_current_gap(item_stats(bundle, spec), bundle, spec, as_of)
+    stats = _attach_current_gap(item_stats(bundle, spec, closed=closed), bundle, spec, as_of, closed)
     if policies is not None:
         stats = stats.join(policies, list(spec.group))
     kept = stats.where(F.col("n_plays") > _value(spec.min_plays))
@@ -148,22 +166,22 @@ def overdue_scores(
 
 
 def overdue(
-    bundle: Bundle, spec: GapSpec, as_of: date | str, policies: DataFrame | None = None
+    bundle: Bundle, spec: GapSpec, as_of: date | str, policies: DataFrame | None = None, closed: GapState | None = None
 ) -> DataFrame:
     """Items with many plays, the most overdue against their own history first."""
-    scores = overdue_scores(bundle, spec, as_of, policies)
+    scores = overdue_scores(bundle, spec, as_of, policies, closed)
     return _sorted(scores, spec, F.desc_nulls_last("gap_zscore")).drop("gap_zscore")
 
 
 def rotation(
-    bundle: Bundle, spec: GapSpec, as_of: date | str, policies: DataFrame | None = None
+    bundle: Bundle, spec: GapSpec, as_of: date | str, policies: DataFrame | None = None, closed: GapState | None = None
 ) -> DataFrame:
     """Items played inside the window but not in the last few occasions, the most played first."""
     as_of = as_day(as_of)
     if policies is not None:
         bundle = replace(bundle, plays=bundle.plays.join(policies, list(spec.group)))
     since = days_before(as_of, spec.window_days)
-    stats = _attach_current_gap(item_stats(bundle, spec, since), bundle, spec, as_of)
+    stats = _attach_current_gap(item_stats(bundle, spec, since, closed), bundle, spec, as_of, closed)
     if policies is not None:
         stats = stats.join(policies, list(spec.group))
     kept = stats.where(F.col("current_gap") > _value(spec.min_current_gap))
