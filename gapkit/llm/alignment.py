@@ -19,7 +19,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,13 +39,11 @@ _NO_CUT[[*range(0x21), 0x7F, *range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0
 
 @dataclass(frozen=True)
 class AlignParams:
-    """A is a byte-level tokenizer, B a piece model with byte fallback. ``hot`` pairs are held by all tasks, 16 bytes each;
-    ``keep`` segments are remembered by a task."""
+    """A is a byte-level tokenizer, B a piece model with byte fallback. ``hot`` pairs are held by all tasks, 16 bytes each."""
 
     a: str = "byte_bpe_50k.json"
     b: str = "piece_bpe_32k.model"
     hot: int = 1 << 17
-    keep: int = 1 << 17
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,9 +53,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@dataclass(frozen=True)
+class Aligned:
+    """Segments: tokens of A, of B and groups of each (``numbers``), the groups as text, exact ids and irregular pairs behind each other
+    with the place where each segment's end, and which segments have tokens of other bytes than their own (``bad``, all empty)."""
+
+    numbers: np.ndarray
+    groups: pa.Array
+    exact: np.ndarray
+    exact_ends: np.ndarray
+    pairs: np.ndarray
+    pair_ends: np.ndarray
+    bad: np.ndarray
+
+    def __add__(self, other: Aligned) -> Aligned:
+        return Aligned(
+            np.concatenate([self.numbers, other.numbers]), pa.concat_arrays([self.groups, other.groups]),
+            np.concatenate([self.exact, other.exact]), np.concatenate([self.exact_ends, other.exact_ends + len(self.exact)]),
+            np.concatenate([self.pairs, other.pairs]), np.concatenate([self.pair_ends, other.pair_ends + len(self.pairs)]),
+            np.concatenate([self.bad, other.bad]))
+
+
+def _joined(texts: pa.Array, ends: np.ndarray, mark: str) -> pa.Array:
+    """The texts of each of some lists, which follow each other, with a mark between."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int64)), texts), pa.scalar(mark, pa.large_string()))
+
+
 class Aligner:
-    """Tokens and groups of segments. A segment's entry is its number of tokens of A and of B and of groups, the groups as text, its
-    exact ids and its irregular pairs; or nothing if the tokens' bytes are not the segment's."""
+    """Tokens and groups of segments."""
 
     def __init__(self, p: AlignParams):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -76,56 +99,69 @@ class Aligner:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         plain = {x: i for i, x in enumerate(self.bytes_b) if self.b.is_byte(i)}
         plain |= {x: i for i, x in enumerate(self.bytes_b) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))}
-        self.same = [plain.get(x, -1) for x in self.bytes_a]
+        self.same = np.array([plain.get(x, -1) for x in self.bytes_a], np.int64)
+        self.tokens = [pa.array(x, pa.large_binary()) for x in (self.bytes_a, self.bytes_b)]
+        self.sizes = [np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b)]
         self.width = len(self.bytes_b)
         self.cut = not any(" " in x.decode(errors="replace").lstrip(" ") for x in self.bytes_b)
-        self.known: dict[bytes, tuple | None] = {}
-        self.keep = p.keep
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _entry(self, segment: bytes, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        got_a, got_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(got_a) != segment or b"".join(got_b) != segment:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, got_a))), list(accumulate(map(len, got_b)))
-        i = j = lo_a = lo_b = 0
-        exact, pairs, text = [], [], []
-        while i < len(ends_a):
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            elif ends_a[i] > ends_b[j]:
-                j += 1
-            else:
-                a, b = ids_a[i], ids_b[j]
-                if i == lo_a and j == lo_b and self.same[a] == b:
-                    exact.append(a)
-                else:
-                    pairs.append(a * self.width + b)
-                i, j = i + 1, j + 1
-                text.append(f"{','.join(map(str, ids_a[lo_a:i]))}|{','.join(map(str, ids_b[lo_b:j]))}")
-                lo_a, lo_b = i, j
-        return len(ids_a), len(ids_b), len(text), ";".join(text), exact, pairs
-
-    def entries(self, segments: list[bytes]) -> list[tuple | None]:
-        """One entry for each of some segments, which begin with a space."""
-        known = self.known
-        new = [s for s in segments if s not in known]
-        if len(known) + len(new) > self.keep:
-            known = self.known = {}
-            new = segments
-        fresh = {}
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            texts = [s.decode() for s in part]
-            for s, a, b in zip(part, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1)):
-                fresh[s] = self._entry(s, a.ids, b)
-        if len(fresh) > self.keep:  # more than may be remembered
-            return [fresh[s] for s in segments]
-        known |= fresh
-        return [known[s] for s in segments]
+    def _ids(self, segments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B: all ids, and the number of each segment's."""
+        out = [([], []), ([], [])]
+        for lo in range(0, len(segments), 4096):  # what the tokenizers return takes far more memory than the ids
+            texts = [s.decode() for s in segments[lo:lo + 4096]]
+            found = ([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1))
+            for (ids, counts), lists in zip(out, found):
+                counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(counts[-1].sum())))
+        return [tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in side) for side in out]
+
+    def _spells(self, side: int, ids: np.ndarray, segments: pa.Array) -> bool:
+        """Whether the tokens' bytes, behind each other, are those of the segments."""
+        def data(column):
+            _, offsets, buffer = column.buffers()
+            at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+            return np.frombuffer(buffer, np.uint8)[at[0]:at[-1]] if buffer is not None and len(column) else np.empty(0, np.uint8)
+
+        return np.array_equal(data(self.tokens[side].take(pa.array(ids))), data(segments))
+
+    def __call__(self, segments: pa.Array) -> Aligned:
+        """Align segments, which begin with a space."""
+        values = segments.to_pylist()
+        sides = self._ids(values)
+        length = np.fromiter(map(len, values), np.int64, len(values))
+        of = [np.repeat(np.arange(len(values)), counts) for _, counts in sides]
+        bad = np.zeros(len(values), bool)
+        for (ids, _), seg, sizes in zip(sides, of, self.sizes):
+            bad |= np.bincount(seg, sizes[ids], len(values)).astype(np.int64) != length
+        chosen = segments.filter(pa.array(~bad)) if bad.any() else segments
+        for side, ((ids, _), seg) in enumerate(zip(sides, of)):
+            if not self._spells(side, ids[~bad[seg]], chosen):  # right in length only: look at each
+                starts = np.searchsorted(seg, np.arange(len(values) + 1))
+                table = (self.bytes_a, self.bytes_b)[side]
+                bad |= [b"".join(table[i] for i in ids[a:b].tolist()) != s for s, a, b in zip(values, starts.tolist(), starts[1:].tolist())]
+        if bad.any():
+            length = np.where(bad, 0, length)
+            keep = [~bad[seg] for seg in of]
+            sides, of = [(ids[k], None) for (ids, _), k in zip(sides, keep)], [seg[k] for seg, k in zip(of, keep)]
+        (a, b), ends = (ids for ids, _ in sides), [np.cumsum(sizes[ids]) for (ids, _), sizes in zip(sides, self.sizes)]
+        last_b = np.minimum(np.searchsorted(ends[1], ends[0]), max(0, len(b) - 1))
+        meets = ends[1][last_b] == ends[0] if len(b) else np.zeros(len(a), bool)
+        # the places of the tokens that end each group
+        i, j = np.flatnonzero(meets), last_b[meets]
+        single = (np.diff(i, prepend=-1) == 1) & (np.diff(j, prepend=-1) == 1)
+        exact = single & (self.same[a[i]] == b[j])
+        seg = of[0][i]
+        text = pc.binary_join_element_wise(*(
+            _joined(pa.array(ids).cast(pa.large_string()), at + 1, ",") for ids, at in ((a, i), (b, j))), pa.scalar("|", pa.large_string()))
+        bounds = np.searchsorted(seg, np.arange(1, len(values) + 1))
+        numbers = np.stack([np.bincount(x, minlength=len(values)) for x in (*of, seg)], axis=1).astype(np.int64)
+        return Aligned(numbers, _joined(text, bounds, ";"), a[i][exact], np.append(0, np.cumsum(exact))[bounds],
+                       (a[i] * self.width + b[j])[~exact], np.append(0, np.cumsum(~exact))[bounds], bad)
 
 
 _aligners: dict[AlignParams, Aligner] = {}
@@ -159,13 +195,12 @@ def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _ragged(lists: list, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists at ``pick`` behind each other, and where each ends."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    starts, n = np.cumsum(sizes) - sizes, sizes[pick]
-    ends = np.cumsum(n)
-    return flat[np.repeat(starts[pick] - (ends - n), n) + np.arange(int(n.sum()))], ends
+def _picked(flat: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at ``pick`` behind each other, and where each ends; lists follow each other in ``flat``."""
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    n = (ends - starts)[pick]
+    out = np.cumsum(n)
+    return flat[np.repeat(starts[pick] - (out - n), n) + np.arange(int(n.sum()))], out
 
 
 ROWS = "key long, doc_id long, n_a long, n_b long, n_groups long, groups string, exact binary, pairs binary"
@@ -176,33 +211,28 @@ def tokenized(docs: DataFrame, p: AlignParams, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, row = aligner(p), TaskContext.get().partitionId() << 40
-        for part in slices(batches, limit=2 << 20):
+        for part in slices(batches):
             column, bounds = segments_of(part.column(1), of.cut)
             coded = column.dictionary_encode()
-            found = of.entries(coded.dictionary.to_pylist())
-            pick = coded.indices.to_numpy().astype(np.int64)
-            bad = np.array([e is None for e in found], bool)
-            if bad.any():  # a text with such a segment is judged as a whole, as its own segment
-                texts, n = part.column(1), len(found)
-                wrong = np.flatnonzero(np.diff(np.append(0, np.cumsum(bad[pick]))[bounds]))
-                found += of.entries([b" " + texts[int(d)].as_py().encode() for d in wrong])
-                found = [e or (0, 0, 0, "", (), ()) for e in found]
+            found, pick = of(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+            if found.bad.any():  # a text with such a segment is judged as a whole, as its own segment
                 counts = np.diff(bounds)
-                lists = {int(d): n + i for i, d in enumerate(wrong)}
+                wrong = np.flatnonzero(np.diff(np.append(0, np.cumsum(found.bad[pick]))[bounds]))
+                whole = of(pa.array([b" " + part.column(1)[int(d)].as_py().encode() for d in wrong], pa.large_binary()))
+                place = {int(d): len(found.bad) + i for i, d in enumerate(wrong)}
+                found += whole
                 pick = np.concatenate([np.empty(0, np.int64), *(
-                    [lists[d]] if d in lists else pick[bounds[d]:bounds[d + 1]] for d in range(part.num_rows))]).astype(np.int64)
+                    [place[d]] if d in place else pick[bounds[d]:bounds[d + 1]] for d in range(part.num_rows))]).astype(np.int64)
                 counts[wrong] = 1
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-            numbers = np.array([e[:3] for e in found], np.int64).reshape(len(found), 3)
-            sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(numbers[pick], axis=0)])[bounds]
-            n = np.diff(sums, axis=0)
-            texts = pa.array([e[3] for e in found], pa.large_string()).take(pa.array(pick))
-            texts = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), texts), pa.scalar(";", pa.large_string()))
+                bounds = np.append(0, np.cumsum(counts))
+            n = np.diff(np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(found.numbers[pick], axis=0)])[bounds], axis=0)
+            texts = found.groups.take(pa.array(pick))
+            texts = _joined(texts, bounds[1:], ";")
             if digest:
                 texts = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() if x.as_buffer().size else "" for x in texts], pa.string())
             blobs = []
-            for place, kind in ((4, np.uint32), (5, np.int64)):
-                values, ends = _ragged([e[place] for e in found], pick)
+            for flat, ends, kind in ((found.exact, found.exact_ends, np.uint32), (found.pairs, found.pair_ends, np.int64)):
+                values, ends = _picked(flat, ends, pick)
                 blobs.append(_blobs(values.astype(kind), np.append(0, ends)[bounds]))
             keys = row + np.arange(part.num_rows)
             row += part.num_rows
@@ -260,7 +290,7 @@ def aligned(docs: DataFrame, params: AlignParams = AlignParams(), digest: bool =
     for a, n in counts.where("a is not null").select("a", "n").collect():
         exact[a] = n
     best = np.zeros(width, np.int64)
-    same = np.array(of.same, np.int64)
+    same = of.same
     np.maximum.at(best, same[same >= 0], exact[same >= 0])
     pairs = counts.where("pair is not null").select("pair", "n")
     for b, n in pairs.groupBy((F.col("pair") % width).alias("b")).agg(F.max("n").alias("n")).collect():

@@ -54,7 +54,7 @@ def _alphabet():
     return [chr(b) if b in keep else chr(next(other)) for b in range(256)]
 
 
-@pytest.mark.parametrize("params", [AlignParams(), AlignParams(hot=40, keep=50), AlignParams(hot=0)])
+@pytest.mark.parametrize("params", [AlignParams(), AlignParams(hot=40), AlignParams(hot=0)])
 def test_equals_plain_alignment(spark, params):
     rows = documents(5, 50) + [(3000 + i, t, None, None, 0) for i, t in enumerate(HARD * 2)] + [(None, "no id", None, None, 0)]
     got = aligned(with_clashes(frame(spark, rows)), params).collect()
@@ -85,9 +85,10 @@ def test_segments_give_the_tokens_of_the_whole_text():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
         segments = segments_of(pa.array([text]))[0].to_pylist()
         assert b"".join(segments) == (" " + text).encode()
-        whole = of._entry((" " + text).encode(), A.encode(" " + text, add_special_tokens=False).ids, B.encode(text))
-        found = of.entries(segments)
-        assert ";".join(e[3] for e in found) == whole[3] and sum((e[4] for e in found), []) == whole[4]
+        found, whole = of(pa.array(segments, pa.large_binary())), of(pa.array([(" " + text).encode()], pa.large_binary()))
+        assert not found.bad.any() and not whole.bad.any()
+        assert ";".join(found.groups.to_pylist()) == whole.groups[0].as_py()
+        assert found.exact.tolist() == whole.exact.tolist() and found.pairs.tolist() == whole.pairs.tolist()
 
 
 def test_digest_and_awkward_rows(spark):
