@@ -19,18 +19,23 @@ from gapkit.llm.fingerprint import let
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-# Kinds and their patterns; a value is of the first kind that matches it whole.
+# Kinds and their patterns; a value is of the first kind that matches it whole. Repeats without a bound are possessive or of single
+# characters, which Java's regular expressions go through in a loop; it matches other repeated groups by recursion, and a long
+# text would overflow the stack.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ipv4": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/-]|\.\d)",
+    "national": r"(?<![\w+.-])(?:\([2-9]\d\d\) ?|[2-9]\d\d[.-])[2-9]\d\d[.-]\d{4}(?![\w-]|\.\d)",
+    # an ISO date may begin a time stamp
+    "date": r"(?<![\w./-])(?:\d{4}-\d\d-\d\d(?=T\d\d)|(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w/-]|\.\d))",
     "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "hex": r"(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
+MAIL_LENGTH = 320  # an address has 64 characters, the sign and 255 characters at most
 _FIRST_DAY, _A, _B = "1900-01-01", 319, 229  # 319 * 229 days are exactly the years 1900 to 2099
 
 
@@ -161,8 +166,9 @@ def _ipv4(v: Column, key: str) -> Column:
 
 
 def _date(v: Column, key: str) -> Column:
-    """ISO, day.month.year, and month/day/year or else day/month/year."""
-    forms = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d\d\.", "dd.MM.yyyy"), (r"/", "MM/dd/yyyy"), (r"/", "dd/MM/yyyy"))
+    """ISO, day.month.year, and month/day/year or else day/month/year, with two digits or without leading zeros."""
+    two = r"^\d\d/\d\d/"
+    forms = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d\d\.", "dd.MM.yyyy"), (two, "MM/dd/yyyy"), (two, "dd/MM/yyyy"), (r"/", "M/d/yyyy"), (r"/", "d/M/yyyy"))
 
     def in_form(form: str) -> Callable[[Column], Column]:
         def fill(day: Column) -> Column:
@@ -183,6 +189,17 @@ def _phone(v: Column, key: str) -> Column:
     return F.concat(country, permuted_text(rest, key, "phone"))
 
 
+def _national(v: Column, key: str) -> Column:
+    """Three digits from 200 on, three from 200 on, four."""
+    def fill(d: Column) -> Column:
+        area, exchange, line = (F.substring(d, a, n).cast("int") for a, n in ((1, 3), (4, 3), (7, 4)))
+        pair = permuted_pair(area - 200, (exchange - 200) * 10_000 + line, 800, 800 * 10_000, key, "national")
+        new = let(pair, lambda p: F.concat((p["a"] + 200).cast("string"), F.lpad((p["b"] + 2_000_000).cast("string"), 7, "0")))
+        return _refilled(v, new)
+
+    return let(F.regexp_replace(v, r"\D", ""), fill)
+
+
 def _ssn(v: Column, key: str) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
     area, group, serial = (F.substring(v, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
@@ -198,9 +215,9 @@ def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a value found by ``ANY``, null if it fails validation."""
     ways: dict[str, Callable[[Column, str], Column]] = {
         # all but the last label of the domain, so that short names do not stand alone
-        "email": lambda v, k: F.concat(permuted_text(F.regexp_extract(v, r"^(.*)\.[^.]+$", 1), k, "email"),
-                                       F.regexp_extract(v, r"\.[^.]+$", 0)),
-        "ipv4": _ipv4, "phone": _phone, "date": _date, "ssn": _ssn, "card": _card, "iban": _iban,
+        "email": lambda v, k: F.when(F.length(v) <= MAIL_LENGTH, F.concat(
+            permuted_text(F.regexp_extract(v, r"^(.*)\.[^.]+$", 1), k, "email"), F.regexp_extract(v, r"\.[^.]+$", 0))),
+        "ipv4": _ipv4, "phone": _phone, "national": _national, "date": _date, "ssn": _ssn, "card": _card, "iban": _iban,
         "hex": lambda v, k: permuted_text(v, k, "hex", 6),
     }
     out = None
@@ -211,13 +228,16 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with validated values in ``text`` replaced, and ``n_values``, their number. All other columns stay.
+    """``docs`` with validated values in ``text`` replaced, and ``n_values``, their number. All other columns stay; a column
+    ``n_values`` of ``docs`` is replaced.
 
-    Null texts stay null with no values. The pattern runs over whole texts; where nothing matches, nothing else does.
+    Null texts stay null, empty ones empty, with no values. Rows are changed one by one, so repeated rows stay as many and
+    equal. The pattern runs over whole texts of any length, in time that grows with them; where nothing matches, nothing else
+    does. What looks like an address but is longer than an address can be stays. An empty table gives no rows.
     """
     name = "__values"
-    if name in docs.columns or "n_values" in docs.columns:
-        docs = docs.drop(name, "n_values")
+    while name in docs.columns:
+        name += "_"
     text = F.col("text")
 
     def rebuild(found: Column) -> Column:

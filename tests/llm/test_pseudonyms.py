@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -83,3 +84,68 @@ def test_awkward_rows(spark):
     for r in documents(2, 20):
         assert (by_id[r[0]]["text"], by_id[r[0]]["n_values"], by_id[r[0]]["lang"]) == (r[1], 0, r[2])
     assert by_id[9001]["n_values"] == 2 and len(by_id[9001]["text"]) == 200_034 and by_id[9001]["g"] == "clash"
+
+
+MORE = ["3/4/1980", "12/5/1999", "25/3/2001", "(743) 555-3824", "(743)555-3824", "743-555-3824", "743.555.3824"]
+
+
+def test_more_forms_of_dates_and_phones(spark):
+    new = changed(spark, [f"on {v}, ok" for v in MORE] + ["at 2021-03-04T10:15:00Z.", "at 2021-03-04.", "no 143-555-3824, 743-155-3824 or 1743-555-3824"])
+    for v, n in zip(MORE, new):
+        got = n[3:-4]
+        assert n != f"on {v}, ok" and n.startswith("on ") and n.endswith(", ok")
+        if "/" in v:
+            assert re.fullmatch(r"\d{1,2}/\d{1,2}/(19|20)\d\d", got) and not re.search(r"(^|/)0", got)
+        else:
+            assert re.sub(r"\d", "9", got) == re.sub(r"\d", "9", v)
+            assert re.fullmatch(r"[2-9]..[2-9]......", re.sub(r"\D", "", got))
+    stamp, day, left = new[len(MORE):]
+    assert stamp.endswith("T10:15:00Z.") and stamp[3:13] == day[3:13] != "2021-03-04"  # a date and its time stamps stay linked
+    assert left.startswith("no 143-555-3824, 743-155-3824")
+    # the same number is the same in all forms
+    assert len({re.sub(r"\D", "", n) for n in new[3:7]}) == 1
+
+
+def test_long_and_hostile_texts_end(spark):
+    n = 1_000_000
+    texts = ["x@" + "a." * n + "a", "a@" * n, "a." * n, "+1 " * n, "1.1.1.1." * n, "2001-01-" * n, "12/12/" * n, "743-555-" * n, "(743) " * n,
+             "4111 " * n, "4" * n, "123-45-" * n, "GB82 WEST " * n, "AB12" * n, "deadbeef0" * n, "a-b." * n + "@", "é.%+" * n + "@x"]
+    assert changed(spark, texts) == texts
+    long = "x@" + ".".join(["abc"] * 70) + ".org"
+    assert changed(spark, [long])[0] != long and len(changed(spark, [long])[0]) == len(long)
+
+
+# What is found, by a plain scanner: all maximal matches of each kind, from left to right.
+def scan(text):
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    mail = r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    found = [m.span() for m in re.finditer(mail, text)]
+    for m in re.finditer(rf"(?<![\w.]){octet}(?:\.{octet}){{3}}(?!\w|\.[0-9])", text):
+        found.append(m.span())
+    for m in re.finditer(r"(?<![\w-])[0-9]{13,19}(?![\w-])", text):
+        if luhn(m.group()):
+            found.append(m.span())
+    for m in re.finditer(r"(?<![\w./-])([0-9]{4})-([0-9]{2})-([0-9]{2})(?![\w/-]|\.[0-9])", text):
+        if 1900 <= int(m[1]) < 2100 and 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 28:
+            found.append(m.span())
+    for m in re.finditer(r"(?<!\w)[0-9a-f]{32,128}(?!\w)", text):
+        if not m.group().isdigit() and not m.group().isalpha():
+            found.append(m.span())
+    return sorted(found)
+
+
+def test_detection_equals_a_plain_scanner(spark):
+    rng = random.Random(9)
+    values = ["jo.do@ex.org", "a@b", "10.0.0.1", "10.0.0.256", "4111111111111111", "4111111111111112", "2001-02-28", "2001-13-28", "x", "-", ".", "/", ",", "12"]
+    texts = [" ".join(rng.choice(values) + rng.choice(["", "", ",", "."]) for _ in range(12)) for _ in range(200)]
+    texts += ["".join(rng.choice([*values, " "]) for _ in range(8)) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    for r in pseudonymized(df, "k").collect():
+        old, spans, at = texts[r["doc_id"]], scan(texts[r["doc_id"]]), 0
+        if any(a[1] > b[0] for a, b in zip(spans, spans[1:])):
+            continue  # kinds that overlap: the first alternative counts
+        assert r["n_values"] == len(spans), old
+        for lo, hi in spans:
+            assert r["text"].startswith(old[at:lo]) or at, old
+            at = hi
+        assert len(r["text"]) >= len(old) - 12 * len(spans)
