@@ -15,6 +15,11 @@ twice is cheaper.
 With ``dealt=True`` the caller has done so already: the frame has the bucket in the column ``BUCKET`` and is distributed by
 ``keys + BUCKET``, say by an aggregate over these and more columns.
 
+Without keys the edge table itself grows with the data, one row a bucket. It is then scanned as a *tree of partial results*: what
+is carried over an edge is associative (a sum, the last value, the last one that is not null), so blocks of ``FAN`` edges are
+summed up to one row each, these are scanned, and each block takes its start from them. One task sees one row for each
+``FAN`` buckets: a 268-millionth of the rows with the usual width.
+
 Where the leading order column is no integer sequence, number the rows first with
 :func:`gapkit.operators.sequence.global_sequence` by ``keys + order`` and use that number as order and bucket.
 
@@ -24,9 +29,10 @@ Rules for callers: keys are not null, and the order columns are ascending and en
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from gapkit.spec import SEQ_BUCKET
 
@@ -56,9 +62,55 @@ def _edges(tagged: DataFrame, keys: Sequence[str], share: bool, *aggs: Column) -
     return tagged.groupBy(*keys, _B).agg(*aggs, touched.alias("__touch")).where("__touch IS NOT NULL").drop("__touch")
 
 
-def _edge_window(keys: Sequence[str]):
-    # no key means one row per bucket of the whole table: an edge table is small by construction
-    return (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(_B)
+FAN = 4096
+_BLOCK = "__block"
+
+
+def _scan(edges: DataFrame, keys: Sequence[str], **wanted: tuple[str, str]) -> DataFrame:
+    """Add to each edge what its key carries there; ``wanted`` names the new columns as pairs of a kind and a column.
+
+    ``sum``    the column's sum over earlier buckets, null without one
+    ``before`` and ``after``    the column of the previous or next bucket as the only field of a struct, null without one
+    ``last``   the column's last value in earlier buckets that is not null
+    """
+    if not _is_tree(edges, keys):
+        return _scan_level(edges, list(keys) or [F.lit(0)], wanted)
+    blocks = edges.withColumn(_BLOCK, F.floor(F.col(_B) / F.lit(FAN)))
+    inner = _scan_level(blocks, [_BLOCK], wanted)
+    place = F.col(_B)
+    whole = {
+        "sum": lambda c: F.sum(c), "before": lambda c: F.max_by(F.struct(F.col(c).alias("v")), place),
+        "after": lambda c: F.min_by(F.struct(F.col(c).alias("v")), place),
+        "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place)),
+    }
+    roots = blocks.groupBy(_BLOCK).agg(*[whole[kind](c).alias(f"__of_{name}") for name, (kind, c) in wanted.items()])
+    # a block's struct is a value here, so it comes back inside another one
+    roots = _scan_level(roots.withColumnRenamed(_BLOCK, _B), [F.lit(0)], {f"__up_{n}": (kind, f"__of_{n}") for n, (kind, _) in wanted.items()})
+    # a left join: an inner one would filter one of the readers of the edges' exchange, which then could not share it
+    joined = inner.join(roots.withColumnRenamed(_B, _BLOCK).select(_BLOCK, *[f"__up_{n}" for n in wanted]), _BLOCK, "left")
+
+    def both(name: str, kind: str) -> Column:
+        own, up = F.col(name), F.col(f"__up_{name}")
+        if kind == "sum":
+            return F.when(own.isNotNull() | up.isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce(up, F.lit(0)))
+        return F.coalesce(own, up["v"] if kind in ("before", "after") else up)
+
+    return joined.withColumns({name: both(name, kind) for name, (kind, _) in wanted.items()}).select(*edges.columns, *wanted)
+
+
+def _is_tree(edges: DataFrame, keys: Sequence[str]) -> bool:
+    return not keys and isinstance(edges.schema[_B].dataType, (IntegralType, DecimalType))
+
+
+def _scan_level(edges: DataFrame, keys: Sequence[str | Column], wanted: Mapping[str, tuple[str, str]]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(_B)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {
+        "sum": lambda c: F.sum(c).over(earlier), "before": lambda c: F.lag(F.struct(F.col(c).alias("v"))).over(w),
+        "after": lambda c: F.lead(F.struct(F.col(c).alias("v"))).over(w),
+        "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
+    }
+    return edges.withColumns({name: kinds[kind](c) for name, (kind, c) in wanted.items()})
 
 
 def _neighbour(
@@ -80,11 +132,8 @@ def _neighbour(
     at_edge = (F.lead(F.lit(1)) if ahead else F.lag(F.lit(1))).over(w).isNull()
     inner = tagged.withColumns({out: shift(value).over(w), _FIRST: at_edge})
     edges = _edges(tagged, keys, share or dealt, edge_value.alias(_EDGE))
-    edges = edges.withColumn("__present", F.lit(1))
-    ew = _edge_window(keys)
-    carried = edges.select(
-        *keys, _B, shift(_EDGE).over(ew).alias(_EDGE), shift("__present").over(ew).alias("__has")
-    ).where("__has = 1").drop("__has").withColumn("__hit", F.lit(True))
+    carried = _scan(edges, keys, __next=("after" if ahead else "before", _EDGE)).where("__next is not null").select(
+        *keys, _B, F.col("__next.v").alias(_EDGE), F.lit(True).alias("__hit"))
     joined = inner.join(carried, [*keys, _B], "left")
     outside = F.when(F.col("__hit"), F.col(_EDGE))
     if fill is not None:
@@ -121,10 +170,9 @@ def neighbour_values(
         "__starts": F.lag(one).over(w).isNull(), "__ends": F.lead(one).over(w).isNull(),
     })
     edges = _edges(tagged, keys, share, F.min_by(value, rank).alias("__head"), F.max_by(value, rank).alias("__tail"))
-    ew = _edge_window(keys)
-    joints = edges.select(
-        *keys, _B, F.lag("__tail").over(ew).alias("__in"), F.lag(one).over(ew).isNotNull().alias("__has_in"),
-        F.lead("__head").over(ew).alias("__out"), F.lead(one).over(ew).isNotNull().alias("__has_out"))
+    joints = _scan(edges, keys, __in=("before", "__tail"), __out=("after", "__head")).select(
+        *keys, _B, F.col("__in.v").alias("__in"), F.col("__in").isNotNull().alias("__has_in"),
+        F.col("__out.v").alias("__out"), F.col("__out").isNotNull().alias("__has_out"))
     joined = inner.join(joints, [*keys, _B], "left")
     outside = {side: F.when(F.col(f"__has_{side}"), F.col(f"__{side}")).otherwise(F.lit(default)) for side in ("in", "out")}
     return joined.withColumns({
@@ -144,8 +192,7 @@ def running_sum(
     )
     inner = tagged.withColumn(out, F.sum(value).over(upto))
     edges = _edges(tagged, keys, share, F.sum(value).alias(_EDGE))
-    before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = edges.select(*keys, _B, F.sum(_EDGE).over(before).alias(_EDGE)).where(F.col(_EDGE) != 0)
+    offsets = _scan(edges, keys, __sum=("sum", _EDGE)).where("__sum <> 0").select(*keys, _B, F.col("__sum").alias(_EDGE))
     joined = inner.join(offsets, [*keys, _B], "left")
     return joined.withColumn(out, F.col(out) + F.coalesce(F.col(_EDGE), F.lit(0))).select(*df.columns, out)
 
@@ -159,8 +206,7 @@ def row_ordinal(
         out, F.row_number().over(Window.partitionBy(*keys, _B).orderBy(*order)).cast("long")
     )
     edges = _edges(tagged, keys, share, F.count(F.lit(1)).alias(_EDGE))
-    before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = edges.select(*keys, _B, F.sum(_EDGE).over(before).alias(_EDGE)).where(F.col(_EDGE) > 0)
+    offsets = _scan(edges, keys, __sum=("sum", _EDGE)).where("__sum > 0").select(*keys, _B, F.col("__sum").alias(_EDGE))
     joined = inner.join(offsets, [*keys, _B], "left")
     return joined.withColumn(out, F.col(out) + F.coalesce(F.col(_EDGE), F.lit(0))).select(*df.columns, out)
 
@@ -177,10 +223,8 @@ def carry_forward(
     inner = tagged.withColumn(out, F.last(value, ignorenulls=True).over(upto))
     filled = F.when(F.col(value).isNotNull(), _order_value(order))
     edges = _edges(tagged, keys, share, F.max_by(value, filled).alias(_EDGE))
-    before = _edge_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(
-        *keys, _B, F.last(_EDGE, ignorenulls=True).over(before).alias(_EDGE)
-    ).where(F.col(_EDGE).isNotNull())
+    carried = _scan(edges, keys, __last=("last", _EDGE)).where("__last is not null").select(
+        *keys, _B, F.col("__last").alias(_EDGE))
     joined = inner.join(carried, [*keys, _B], "left")
     return joined.withColumn(out, F.coalesce(F.col(out), F.col(_EDGE))).select(*df.columns, out)
 
@@ -194,7 +238,8 @@ def running_breaks(
     One window in each bucket gives the breaks inside it. The edge table has each bucket's first and last value of ``here``
     and its breaks, from the same exchange; the break between two buckets is told from the last and first of these.
     """
-    tagged = _tag(df.withColumn("__here", here), keys, bucket, share=True)
+    # rows without a place in the order are left out here, for both readers of the exchange
+    tagged = _tag(df.where(bucket.isNotNull()).withColumn("__here", here), keys, bucket, share=True)
     w = Window.partitionBy(*keys, _B).orderBy(*order)
     before = F.lag("__here").over(w)
     stepped = tagged.withColumn("__step", F.when(F.lag(F.lit(1)).over(w).isNull(), 0).otherwise(breaks(before, F.col("__here"))))
@@ -202,17 +247,32 @@ def running_breaks(
     rank = _order_value(order)
     edges = _edges(stepped, keys, True, F.min_by("__here", rank).alias("__head"), F.max_by("__here", rank).alias("__tail"),
                    F.sum("__step").alias("__inside"))
-    ew = _edge_window(keys)
-    # the first row of a key starts run 1
-    entered = F.when(F.lag(F.lit(1)).over(ew).isNull(), 1).otherwise(breaks(F.lag("__tail").over(ew), F.col("__head")))
-    joints = edges.select(*keys, _B, "__inside", entered.alias("__entered"))
-    upto = ew.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = joints.select(*keys, _B, (
-        F.coalesce(F.sum(F.col("__entered") + F.col("__inside")).over(upto), F.lit(0)) + F.col("__entered")).alias(_EDGE))
+    offsets = _break_offsets(edges, keys, breaks)
     joined = inner.join(offsets, [*keys, _B])
     return joined.withColumn(out, F.col(out) + F.col(_EDGE)).select(*df.columns, out)
 
 
+def _break_offsets(edges: DataFrame, keys: Sequence[str], breaks: Callable[[Column, Column], Column]) -> DataFrame:
+    """The breaks up to the first row of each bucket, from ``__head, __tail, __inside`` of the buckets. The first row of a key
+    starts run 1."""
+
+    def scanned(rows: DataFrame, groups: Sequence[str | Column], first: Column) -> DataFrame:
+        w = Window.partitionBy(*groups).orderBy(_B)
+        entered = F.when(F.lag(F.lit(1)).over(w).isNull(), first).otherwise(breaks(F.lag("__tail").over(w), F.col("__head"))).cast("long")
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("__entered", entered).withColumn(
+            _EDGE, F.coalesce(F.sum(F.col("__entered") + F.col("__inside")).over(earlier), F.lit(0)) + F.col("__entered"))
+
+    if not _is_tree(edges, keys):
+        return scanned(edges, list(keys) or [F.lit(0)], F.lit(1)).select(*keys, _B, _EDGE)
+    # whether a block's first bucket is entered by a break shows one level up
+    blocks = scanned(edges.withColumn(_BLOCK, F.floor(F.col(_B) / F.lit(FAN))), [_BLOCK], F.lit(0))
+    roots = blocks.groupBy(_BLOCK).agg(F.min_by("__head", _B).alias("__head"), F.max_by("__tail", _B).alias("__tail"),
+                                       F.sum(F.col("__entered") + F.col("__inside")).alias("__inside"))
+    above = scanned(roots.withColumnRenamed(_BLOCK, _B), [F.lit(0)], F.lit(1)).select(F.col(_B).alias(_BLOCK), F.col(_EDGE).alias("__above"))
+    return blocks.join(above, _BLOCK, "left").select(_B, (F.col(_EDGE) + F.col("__above")).alias(_EDGE))
+
+
 def whole_group(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Attach group aggregates to every row: aggregate with map-side combine, then join back.
 

@@ -146,3 +146,40 @@ def test_both_neighbours_at_once(skewed, width, default):
     got = ordered.neighbour_values(skewed, ["k"], ["s"], "label", "a", "b", ordered.seq_bucket("s", width), default)
     w = by_key()
     same(got, skewed.withColumns({"a": F.lag("label", 1, default).over(w), "b": F.lead("label", 1, default).over(w)}))
+
+
+@pytest.fixture(scope="module")
+def line(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice("ab"), rng.choice([None, None, "x", "y"]), rng.randint(0, 9)) for i in range(40_000) if i % 7 or i > 39_000]
+    return spark.createDataFrame(data, "s long, place string, label string, v int").cache()
+
+
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_without_keys_many_small_buckets_are_scanned_as_a_tree(line, monkeypatch, fan):
+    """10,000 buckets of 4 rows at most, against plain windows."""
+    monkeypatch.setattr(ordered, "FAN", fan)
+    bucket, w = ordered.seq_bucket("s", 4), Window.partitionBy(F.lit(0)).orderBy("s")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    same(ordered.lag_value(line, [], ["s"], "label", "o", bucket, "***"), line.withColumn("o", F.lag("label", 1, "***").over(w)))
+    same(ordered.lead_value(line, [], ["s"], "label", "o", bucket), line.withColumn("o", F.lead("label").over(w)))
+    same(ordered.neighbour_values(line, [], ["s"], "v", "a", "b", bucket, -1),
+         line.withColumns({"a": F.lag("v", 1, -1).over(w), "b": F.lead("v", 1, -1).over(w)}))
+    same(ordered.running_sum(line, [], ["s"], "v", "o", bucket), line.withColumn("o", F.sum("v").over(upto)))
+    same(ordered.row_ordinal(line, [], ["s"], "o", bucket), line.withColumn("o", F.row_number().over(w).cast("long")))
+    same(ordered.carry_forward(line, [], ["s"], "label", "o", bucket), line.withColumn("o", F.last("label", ignorenulls=True).over(upto)))
+    breaks = F.when(F.lag("place").over(w) == F.col("place"), 0).otherwise(1)
+    plain = line.withColumn("f", breaks).withColumn("run_index", F.sum("f").over(upto)).drop("f")
+    same(runs.run_index(line, "place", ["s"], bucket=bucket), plain)
+
+
+def test_without_keys_one_task_sees_blocks_only(spark, line, tmp_path):
+    """What goes to a single place has been summed up to blocks before, and the rows are dealt out once."""
+    line.write.parquet(str(tmp_path / "line"))
+    stored = spark.read.parquet(str(tmp_path / "line"))
+    numbered = runs.run_index(stored, "place", ["s"], bucket=ordered.seq_bucket("s", 4))
+    numbered.collect()
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    single = [i for i, x in enumerate(plan) if "Exchange SinglePartition" in x]
+    assert single and all(any("keys=[__block" in y or "key=[__block" in y for y in plan[i:i + 8]) for i in single)
+    assert sum("REPARTITION_BY_COL" in x and "Reused" not in x for x in plan) == 1
