@@ -311,6 +311,24 @@ def days_until_next(spark, sf_dir):
     return cal.next_occasion(bind.calendar(spark, sf_dir), "2000-06-15").select("occasion_id", "days_until")
 
 
+@query("c8_next_occasions_of_groups", """WITH occ AS (SELECT o_orderpriority AS performer, CAST(o_orderdate AS DATE) AS d, min(o_orderkey) AS id
+  FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2),
+p AS (SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(l_shipdate AS DATE) AS day, o_orderpriority AS performer
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l_orderkey, l_linenumber, l_extendedprice, p.performer, strftime(day, '%Y-%m-%d') AS day, strftime(d, '%Y-%m-%d') AS next_date,
+  id AS next_occasion_id, CAST(d - day AS INTEGER) AS days_until
+FROM p ASOF LEFT JOIN occ ON p.performer = occ.performer AND occ.d >= p.day""")
+def next_occasions_of_groups(spark, sf_dir):
+    """The next occasion of every performer and day plays were shipped on."""
+    orders = table(spark, sf_dir, "orders")
+    occasions = orders.where("o_orderkey % 5 = 0").select(
+        F.col("o_orderpriority").alias("performer"), F.to_date("o_orderdate").alias("occ_date"), F.col("o_orderkey").alias("occasion_id"))
+    performers = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("performer"))
+    days = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", F.to_date("l_shipdate").alias("day")).join(performers, "l_orderkey")
+    return cal.next_occasions(days, occasions, ["performer"])
+
+
 @query("s12_next_occasion_document", NEXT + """SELECT '{"next_show":{"date":"' || strftime(occ_date, '%Y-%m-%d')
   || '","venue_id":' || venue_id || ',"venue":"' || venue || '","city":"' || city || '","state":"' || state
   || '"}}' AS document FROM n LEFT JOIN venues USING (venue_id)""")

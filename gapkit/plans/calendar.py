@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapkit.operators.lookups import correct_venue_and_city
-from gapkit.operators.ordered import seq_bucket
+from gapkit.operators.ordered import carry_forward, seq_bucket
 from gapkit.operators.runs import run_index
 from gapkit.operators.sequence import global_sequence, sequence_within
 from gapkit.operators.sets import dimension, top_n
@@ -128,3 +128,33 @@ def next_occasion(
     if venues is not None:
         upcoming = upcoming.join(venues, "venue_id", "left")
     return upcoming.withColumn("days_until", F.datediff("occ_date", _day(as_of)))
+
+
+def next_occasions(
+    days: DataFrame, occasions: DataFrame, group: Sequence[str], day_col: str = "day",
+    tie: Sequence[str] = ("occasion_id",), include_today: bool = True,
+) -> DataFrame:
+    """The rows of ``days`` (``group``, ``day_col`` and anything else) with the next occasion of their group as ``next_date`` and
+    ``next_<tie>``, and ``days_until``; nulls where nothing lies ahead. Rows without a group or a day have nothing ahead.
+
+    An as-of join in one ordered pass: occasions fold to the first of each (group, day), days to distinct ones, both combined
+    map-side; their union is ordered backwards and the occasion met last is carried on. A group is cut into buckets of
+    days, so no task sees all of a hot one; the result is joined back to the rows.
+    """
+    group, back, first = list(group), "__back", [f"__t{i}" for i in range(len(tie))]
+    known = occasions.where(F.col("occ_date").isNotNull()).groupBy(*group, F.col("occ_date").alias("__day")).agg(
+        F.min(F.struct(*[F.col(c).alias(n) for c, n in zip(tie, first)])).alias("__tie"))
+    asked = days.select(*group, F.col(day_col).cast("date").alias("__day")).where(F.col("__day").isNotNull()).distinct()
+    # going back in time, an occasion of the same day is met before the day if today counts
+    met = known.select(*group, "__day", F.lit(0 if include_today else 2).alias("__side"), F.struct(F.col("__day").alias("d"), "__tie.*").alias("__next"))
+    both = met.unionByName(asked.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    for key in group:
+        both = both.where(F.col(key).isNotNull())
+    ordered = both.withColumn(back, -F.unix_date("__day"))
+    carried = carry_forward(ordered, group, [back, "__side"], "__next", "__found", seq_bucket(back), share=True)
+    found = carried.where("__side = 1").select(
+        *group, F.col("__day").alias("__asked"), F.col("__found.d").alias("next_date"),
+        *[F.col(f"__found.{n}").alias(f"next_{c}") for c, n in zip(tie, first)])
+    probe = days.withColumn("__asked", F.col(day_col).cast("date"))
+    return probe.join(found, [*group, "__asked"], "left").select(
+        *days.columns, "next_date", *[f"next_{c}" for c in tie], F.datediff("next_date", "__asked").alias("days_until"))

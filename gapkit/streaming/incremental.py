@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gapkit.operators.sets import keep_first
 from gapkit.sources.tables import current_version, path_exists, store_version
@@ -139,3 +140,62 @@ def refresh_stored(
 ) -> DataFrame:
     """Refresh the table at ``path`` and store the result as its new version, which is read back."""
     return spark.read.parquet(store_version(refresh(spark, path, load_all, update, columns), path))
+
+
+_YEAR = "year"
+
+
+def store_by_year(df: DataFrame, path: str, date_col: str = "occ_date") -> None:
+    """Store a table partitioned by the year of its day. Only the years that ``df`` holds are replaced, so ``df`` may have been
+    read from these years of the table itself: new files are complete before old ones go."""
+    df.withColumn(_YEAR, F.year(date_col)).repartition(_YEAR, F.pmod(F.hash(date_col), F.lit(16))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(_YEAR).parquet(path)
+
+
+def upsert_years(
+    spark: SparkSession, path: str, incoming: DataFrame, as_of: date | str, keys: Sequence[str] = PLAY_KEYS,
+    order: Sequence[str] | None = None, date_col: str = "occ_date",
+) -> DataFrame:
+    """Upsert this year's and the last one's rows of ``incoming`` into a table stored by year, and read it back.
+
+    Two partitions are read and two written, whatever the table holds beside them. Rows of one key lie in one year, as a key has
+    one day. Run again, it gives the same table.
+    """
+    year = as_of.year if isinstance(as_of, date) else date.fromisoformat(as_of).year
+    schema = StructType([*incoming.schema.fields, StructField(_YEAR, IntegerType())])  # ``add`` would change the frame's own
+    stored = spark.read.schema(schema).parquet(path)
+    recent = stored.where(F.col(_YEAR).isin(year - 1, year)).drop(_YEAR)
+    merged = upsert_keep_existing(recent, recent_years(incoming, as_of, date_col), keys, order)
+    store_by_year(merged.select(*incoming.columns), path, date_col)
+    return spark.read.schema(schema).parquet(path).drop(_YEAR)
+
+
+def store_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int = 64) -> None:
+    """Store a table hashed into buckets by its keys, under a name of the catalog. Its files are those of a later session as well, see
+    ``attach_bucketed``."""
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
+def attach_bucketed(spark: SparkSession, name: str, path: str, schema, keys: Sequence[str], buckets: int = 64) -> None:
+    """Name a bucketed table that another session has stored."""
+    columns, by = (", ".join(x) for x in ([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields], [f"`{k}`" for k in keys]))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+
+
+def new_rows_bucketed(spark: SparkSession, name: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Incoming rows with a key the bucketed table lacks, the first of each key. Only the increment is shuffled, to the table's
+    buckets. Keys are not null; a row of the increment without one is an error when it is met."""
+    keys = list(keys)
+    sure = incoming
+    for key in keys:
+        sure = sure.withColumn(key, F.coalesce(key, F.raise_error(f"a row without {key}").cast(incoming.schema[key].dataType)))
+    return keep_first(sure, keys, order).join(spark.table(name).select(*keys), keys, "left_anti").select(*incoming.columns)
+
+
+def upsert_bucketed(
+    spark: SparkSession, name: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 64
+) -> DataFrame:
+    """Append the rows with new keys to the bucketed table, and give the table."""
+    new = new_rows_bucketed(spark, name, incoming, keys, order).select(*spark.table(name).columns)
+    new.repartition(buckets, *keys).write.format("parquet").mode("append").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)

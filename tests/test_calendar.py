@@ -1,5 +1,7 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapkit.operators import enrich, lookups, notes, sets
@@ -137,3 +139,21 @@ def test_linked_calendar(spark):
         ("19991230a", 1, 1, 1, "ADAMS FIELDHOUSE, UNIVERSITY OF MONTANA"),
         ("19991231a", 2, 2, 1, "ADAMS FIELDHOUSE, UNIVERSITY OF MONTANA"),
         ("20240105a", 4, 1, 2, "X"), ("20240701a", 5, 2, 3, "Y"), ("20240701b", 6, 3, 3, "Y")]
+
+
+@pytest.mark.parametrize("today", [True, False])
+def test_next_occasions_of_all_groups_and_days(spark, today, monkeypatch):
+    monkeypatch.setattr(cal, "seq_bucket", lambda c: F.floor(F.col(c) / 5))
+    rng = random.Random(4)
+    start = date(2024, 1, 1)
+    occasions = [(rng.choice("abc"), start + timedelta(days=rng.randint(0, 60)) if i % 9 else None, i) for i in range(60)]
+    days = [(rng.choice(["a", "b", "d", None]), start + timedelta(days=rng.randint(-5, 65)) if i % 11 else None, f"row {i}") for i in range(80)]
+    got = cal.next_occasions(
+        spark.createDataFrame(days * 2, "g string, day date, payload string"),
+        spark.createDataFrame(occasions, "g string, occ_date date, occasion_id int"), ["g"], include_today=today).collect()
+    want = []
+    for g, day, payload in days:
+        ahead = [(d, i) for h, d, i in occasions if h == g and d is not None and day is not None and (d >= day if today else d > day)]
+        d, i = min(ahead, default=(None, None))
+        want.append((g, day, payload, d, i, d and (d - day).days))
+    assert sorted(map(tuple, got), key=repr) == sorted(want * 2, key=repr) and any(w[3] for w in want)

@@ -233,3 +233,42 @@ def test_a_run_name_belongs_to_one_checkpoint(spark, sides, tmp_path):
     with pytest.raises(ValueError, match="another checkpoint"):
         streams.stream_append(stream, target, str(tmp_path / "q"), AS_OF, run="daily")
     assert len(keys(streams.stored(spark, target, sides[1].schema))) == 5
+
+
+def test_an_update_by_year_leaves_other_years_alone(spark, sides, tmp_path):
+    existing, incoming = sides
+    path, by = str(tmp_path / "by_year"), ["occasion_id", "item_id"]
+    inc.store_by_year(existing.unionByName(plays(spark, [(-1, "old", "1999-05-05", "old")])), path)
+    files = lambda year: sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "by_year" / f"year={year}").glob("part-*"))
+    before = {year: files(year) for year in (1999, 2022, 2024)}
+    want = sorted(keys(existing) + [(-1, "old", "old"), (2, "a", "new"), (4, "a", "new"), (5, "a", "new")])
+    for _ in range(2):
+        assert keys(inc.upsert_years(spark, path, incoming, AS_OF, by, ["payload"])) == want
+    assert files(1999) == before[1999] != [] and files(2022) == before[2022] != [] and files(2024) != before[2024]
+
+
+def test_a_bucketed_table_is_not_shuffled(spark, sides, tmp_path):
+    existing, incoming = sides
+    by, path = ["occasion_id", "item_id"], str(tmp_path / "bucketed")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        inc.store_bucketed(existing, "bucketed_plays", path, by, 4)
+        recent = inc.recent_years(incoming, AS_OF)
+        new = inc.new_rows_bucketed(spark, "bucketed_plays", recent, by, ["payload"])
+        new.collect()
+        plan = new._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        scan = next(i for i, x in enumerate(plan) if "bucketed_plays" in x or "Bucketed: true" in x)
+        join = next(i for i, x in enumerate(plan) if "LeftAnti" in x)
+        stored_side = plan[max(i for i in range(join, scan) if "+-" in plan[i][:plan[join].index("+-") + 8]):scan + 1]
+        assert not any("Exchange" in x for x in stored_side) and any("Exchange" in x for x in plan)
+        want = keys(inc.upsert_keep_existing(existing, recent, by, ["payload"]))
+        for _ in range(2):
+            assert keys(inc.upsert_bucketed(spark, "bucketed_plays", recent, by, ["payload"], 4)) == want
+        inc.attach_bucketed(spark, "again", path, existing.schema, by, 4)
+        assert keys(spark.table("again")) == want
+        with pytest.raises(Exception, match="a row without item_id"):
+            inc.new_rows_bucketed(spark, "again", plays(spark, [(1, None, "2024-01-01", "x")]), by, ["payload"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bucketed_plays")
+        spark.sql("DROP TABLE IF EXISTS again")
