@@ -362,6 +362,20 @@ def header_row(spark, sf_dir):
     return html.with_header(pages, ["Song Name", "Last Played", "Debut"], table_no=1)
 
 
+@query("s7_table_grid", """WITH c AS (SELECT c_custkey AS page_id, c_name AS n, CAST(c_acctbal AS VARCHAR) AS b, c_mktsegment AS m FROM customer)
+SELECT page_id, CAST(0 AS INTEGER) AS table_no, CAST(r AS INTEGER) AS row_no, cells FROM (
+  SELECT page_id, 0 AS r, 'Song|Plays|Plays' AS cells FROM c UNION ALL SELECT page_id, 1, n || '|' || b || '|x' FROM c
+  UNION ALL SELECT page_id, 2, n || '|' || m || '|' || m FROM c UNION ALL SELECT page_id, 3, 'last|' || m || '|' || m FROM c)""")
+def table_grid(spark, sf_dir):
+    """Tables without end tags, with cells over several columns and rows."""
+    markup = F.concat(
+        F.lit("<h1>x</h1><table class='a'><thead><tr><th>Song<th colspan=2>Plays<tbody><tr><td rowspan=\"2\"><b>"), "c_name",
+        F.lit("</b><td>"), F.col("c_acctbal").cast("string"), F.lit("<td>x</td><TR><TD colspan='2' rowspan='2'> "), "c_mktsegment",
+        F.lit(" <tr><td>last</table><p>end"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), markup.alias("html"))
+    return html.table_grid(pages).select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
 # --- parsed texts ------------------------------------------------------------------------------------------------
 
 LINE_SQL = """l AS (SELECT doc_id AS occasion_id, unnest(string_split(text, chr(10))) AS line,

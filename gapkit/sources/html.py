@@ -1,12 +1,14 @@
 """Rows, links and titles out of landed pages ``(page_id, url, html)``.
 
-Plain pattern matching on markup without nested tables; entities of the text are decoded.
+Plain pattern matching on markup without nested tables; entities of the text are decoded. ``table_grid`` lays tables out as a
+browser does: end tags may be missing, and cells may span columns and rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapkit.functions import strip
@@ -59,6 +61,79 @@ def with_header(
     return body.select("page_id", "row_no", *picked)
 
 
+# A row ends where the next one, a group of rows or the table does; a cell where the next one or its row does. Fixed values.
+_ROW = r"(?is)<tr\b[^>]*>(.*?)(?=<tr\b|</tr\s*>|</?t(?:able|head|body|foot)\b|\z)"
+_CELL = r"(?is)<(t[dh]\b[^>]*>.*?)(?=<t[dh]\b|</t[dh]\s*>|\z)"
+_TABLE = r"(?is)<table\b[^>]*>(.*?)(?=<table\b|</table\s*>|\z)"
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # what a span may say at most
+
+
+def _span(tag: Column, name: str, most: int) -> Column:
+    """The number of an attribute, 1 if it says nothing sensible."""
+    said = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?\s*(\d{{1,9}})", 1)
+    number = F.when(said != "", F.least(said.cast("int"), F.lit(most)))  # ``least`` passes over nulls
+    return F.when(number > 0, number).otherwise(1)
+
+
+def _cells(row: Column) -> Column:
+    """Text, columns and rows of each cell of a row's markup."""
+
+    def cell(x: Column) -> Column:
+        tag = F.regexp_extract(x, r"(?s)^([^>]*)>", 1)
+        return F.struct(cell_text(F.regexp_extract(x, r"(?s)^[^>]*>(.*)$", 1)).alias("text"),
+                        _span(tag, "colspan", MOST_COLUMNS).alias("columns"), _span(tag, "rowspan", MOST_ROWS).alias("rows"))
+
+    return F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), cell)
+
+
+def lay_out(rows: list[list[dict]]) -> list[list[str | None]]:
+    """The grid of one table's cells: each cell in the first place that is free, its text in all places it covers. ``held`` are the
+    columns that cells from above reach into, with the rows they still cover."""
+    held: dict[int, tuple[str, int]] = {}
+    grid = []
+    for cells in rows:
+        out: dict[int, str] = {at: text for at, (text, _) in held.items()}
+        held = {at: (text, more - 1) for at, (text, more) in held.items() if more > 1}
+        at = 0
+        for cell in cells:
+            while at in out:
+                at += 1
+            for place in range(at, at + cell["columns"]):
+                out[place] = cell["text"]
+                if cell["rows"] > 1:
+                    held[place] = (cell["text"], cell["rows"] - 1)
+            at += cell["columns"]
+        grid.append([out.get(i) for i in range(max(out, default=-1) + 1)])
+    return grid
+
+
+def table_grid(pages: DataFrame, table_no: int | None = None) -> DataFrame:
+    """``page_id, table_no, row_no, cells``: the rows of every table of a page, or of the n-th one, with a text in each place a cell
+    covers.
+
+    Rows without a cell are left out. A span that reaches beyond the last row ends there; places between a row's cells and
+    what reaches into it from above are null. A null page has no tables. A table inside a cell is one of its own, and ends its
+    row: markup in such tables is laid out, the outer row is not taken up again.
+    """
+    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_TABLE), F.lit(1))).alias("table_no", "__table"))
+    if table_no is not None:
+        tables = tables.where(F.col("table_no") == table_no)
+    rows = F.filter(F.transform(F.regexp_extract_all("__table", F.lit(_ROW), F.lit(1)), _cells), lambda c: F.size(c) > 0)
+    found = tables.withColumn("__rows", rows).drop("__table")
+    plain = F.forall(F.flatten("__rows"), lambda c: (c["columns"] == 1) & (c["rows"] == 1))
+    texts = F.transform("__rows", lambda r: F.transform(r, lambda c: c["text"]))
+    easy = found.where(plain).select("page_id", "table_no", texts.alias("grid"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grids = pa.array([lay_out(rows) for rows in batch.column(2).to_pylist()], pa.list_(pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), grids], names=["page_id", "table_no", "grid"])
+
+    # only tables with spans leave the JVM
+    spanned = found.where(~plain).mapInArrow(place, easy.schema)
+    return easy.unionByName(spanned).select("page_id", "table_no", F.posexplode("grid").alias("row_no", "cells"))
+
+
 def links(pages: DataFrame, pattern: str = r'href="([^"]+)"') -> DataFrame:
     """Every link target of a page that fits the pattern, in page order."""
     return pages.select(

@@ -1,11 +1,12 @@
 import json
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from gapkit.plans import rankings
-from gapkit.sources import tables
+from gapkit.sources import html, tables
 from gapkit.sources.layouts import FILES, LAYOUTS
 from gapkit.spec import PRESETS, Registry, register, registered
 
@@ -143,3 +144,59 @@ def test_publish_keeps_order_and_names(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "overdue").glob("part-*.csv")))
     assert [ln for ln in text.splitlines() if not ln.startswith("song,")] == ["b,3", "a,9"]
     assert "song,times_played_in_last_year" in next((tmp_path / "rotation").glob("part-*.csv")).read_text()
+
+
+def grid(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    out = {}
+    for r in html.table_grid(df).orderBy("page_id", "table_no", "row_no").collect():
+        out.setdefault((r.page_id, r.table_no), []).append(r.cells)
+    return out
+
+
+def test_tables_are_laid_out_with_spans_and_without_end_tags(spark):
+    got = grid(
+        spark,
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>",
+        "<table><tr><td>a<td>b<tr><td>c<td>d</table> text <table><tr><th>x",
+        "<table><tr><td rowspan=2>a<td colspan=2>b<tr><td>c<td>d<tr><td>e</table>",
+        "<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<tr><td>e<td>f</table>",
+        "<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c</table>",
+        "<table><tr><td>a<td>b<td rowspan=2>c<tr><td>d<tr><td>e</table>",
+        "<table><thead><tr><th>h</thead><tbody><tr></tr><tr><td colspan=0 rowspan=x>&lt;1&gt; <b>z</b></tbody></table>",
+        None, "no table", "<table><caption>c</caption><TR><TD COLSPAN='2'>a</TD></TR></TABLE>")
+    assert got == {
+        (0, 0): [["a", "b"], ["c", "d"]], (1, 0): [["a", "b"], ["c", "d"]], (1, 1): [["x"]],
+        (2, 0): [["a", "b", "b"], ["a", "c", "d"], ["e"]], (3, 0): [["a", "b", "c"], ["d", "b"], ["e", "b", "f"]],
+        (4, 0): [["a", "a", "b"], ["a", "a", "c"]], (5, 0): [["a", "b", "c"], ["d", None, "c"], ["e"]],
+        (6, 0): [["h"], ["<1> z"]], (9, 0): [["a", "a"]]}
+
+
+def plain_grid(rows):
+    """Row by row over an occupancy map."""
+    taken, out = {}, []
+    for r, cells in enumerate(rows):
+        c = 0
+        for text, columns, height in cells:
+            while (r, c) in taken:
+                c += 1
+            for i in range(columns):
+                for j in range(height):
+                    taken[r + j, c + i] = text  # of two that overlap, the later one shows
+            c += columns
+        width = max((x for y, x in taken if y == r), default=-1) + 1
+        out.append([taken.get((r, x)) for x in range(width)])
+    return out
+
+
+def test_random_tables_equal_an_occupancy_map(spark):
+    rng = random.Random(6)
+    tables_ = []
+    for _ in range(40):
+            tables_.append([[(f"t{rng.randint(0, 99)}", *rng.choice([(1, 1), (1, 1), (2, 1), (1, 2), (1, 3)])) for _ in range(rng.randint(1, 4))]
+                        for _ in range(rng.randint(1, 5))])
+    pages = ["<table>" + "".join("<tr>" + "".join(f'<td colspan="{c}" rowspan={h}>{t}' for t, c, h in row) for row in rows) + "</table>" for rows in tables_]
+    got = grid(spark, *pages)
+    for i, rows in enumerate(tables_):
+        want = plain_grid(rows)
+        assert got[(i, 0)] == want, pages[i]
