@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapkit.llm.shared import stored
-from gapkit.llm.words import Words, slices, words_of
+from gapkit.llm.words import Words, digests, slices, words_of
 
 _SCALE = 1 << 20
 
@@ -59,38 +59,39 @@ class WordTokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.known, self.starts, self.ids = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint32)
-        self.order = np.empty(0, np.int64)
+        self.known, self.rest, self.order = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.starts, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of words known by their 128-bit digests, -1 for others."""
         if not len(self.known):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.order[at], -1)
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.known, keys[:, 0]), len(self.known) - 1)
+        return np.where((self.known[at] == keys[:, 0]) & (self.rest[at] == keys[:, 1]), self.order[at], -1)
 
     def __call__(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each word."""
-        hashes, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        slot = self._find(hashes)
+        coded = words.numbered(words.column())
+        keys = digests(coded.dictionary)
+        slot = self._find(keys)
         if (missing := slot < 0).any():
             if len(self.known) + missing.sum() > self.keep:
                 self._reset()
                 missing[:] = True
-            data, at = words.data.tobytes(), first[missing]
-            spans = list(zip(words.starts[at].tolist(), words.ends[at].tolist()))
-            sizes, ids = [], []
-            for lo in range(0, len(spans), 8192):  # what the tokenizer returns takes far more memory than the ids
-                strings = [data[s:e].decode() for s, e in spans[lo:lo + 8192]]
+            new, sizes, ids = coded.dictionary.filter(pa.array(missing)), [], []
+            for lo in range(0, len(new), 8192):  # what the tokenizer returns takes far more memory than the ids
+                strings = [x.decode() for x in new.slice(lo, 8192).to_pylist()]
                 found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
                 sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
                 ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
-            old, new = len(self.starts) - 1, hashes[missing]
+            slot[missing] = len(self.starts) - 1 + np.arange(len(new))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
             self.ids = np.concatenate([self.ids, *ids])
-            at = np.searchsorted(self.known, new)
-            self.known, self.order = np.insert(self.known, at, new), np.insert(self.order, at, old + np.arange(len(new)))
-            slot = self._find(hashes)
-        slot = slot[inverse]
+            by = np.flatnonzero(missing)[np.argsort(keys[missing, 0])]
+            at = np.searchsorted(self.known, keys[by, 0])
+            self.known, self.rest = np.insert(self.known, at, keys[by, 0]), np.insert(self.rest, at, keys[by, 1])
+            self.order = np.insert(self.order, at, slot[by])
+        slot = slot[coded.indices.to_numpy()]
         counts = self.starts[slot + 1] - self.starts[slot]
         before = np.cumsum(counts) - counts
         return self.ids[np.repeat(self.starts[slot] - before, counts) + np.arange(int(counts.sum()))], counts

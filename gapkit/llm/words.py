@@ -1,22 +1,20 @@
 """Words, word hashes and word windows of whole text columns, as numpy arrays over Arrow buffers.
 
 A word is a run of bytes outside ``\\x20\\x09-\\x0D``. UTF-8 never uses these bytes inside another code point, so
-words of bytes are words of text. A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums
-and then mixed; equal words have equal hashes on every machine.
+words of bytes are words of text. A word's hash is the first 64 bits, or all 128, of its BLAKE2b digest, taken once for each
+different word of a batch: no texts can be made whose words clash, and equal words have equal hashes on every machine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
-_SPAN = 1 << 20
-_BASE = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8
-_MASK = (1 << 64) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,26 +32,8 @@ def seeds(n: int, salt: int = 0) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTES = seeds(256, 1)
-_LOWER = _BYTES.copy()
-_LOWER[ord("A"):ord("Z") + 1] = _BYTES[ord("a"):ord("z") + 1]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out, out=out)
-
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= _SPAN:
-        if _SPAN not in _tables:
-            _tables[_SPAN] = _powers(_BASE, _SPAN), _powers(pow(_BASE, -1, 1 << 64), _SPAN)
-        return _tables[_SPAN]
-    return _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)  # one word of this length
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 @dataclass
@@ -72,10 +52,11 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def column(self) -> pa.Array:
-        """The words as a column of bytes."""
+    def column(self, lower: bool = False) -> pa.Array:
+        """The words as a column of bytes; with ``lower``, A-Z as a-z."""
         ends = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
         data = self.data[~_SPACE[self.data]] if len(self.data) else self.data
+        data = _LOWER[data] if lower else data
         return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
 
     @staticmethod
@@ -84,19 +65,21 @@ class Words:
         return column.dictionary_encode()
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """One hash for each word; with ``lower``, A-Z count as a-z."""
-        table, out, lo = _LOWER if lower else _BYTES, np.empty(len(self.starts), np.uint64), 0
-        while lo < len(self.starts):
-            base = self.starts[lo]
-            hi = max(int(np.searchsorted(self.ends, base + _SPAN, "right")), lo + 1)
-            size = int(self.ends[hi - 1] - base)
-            power, inverse = _tables_of(size)
-            sums = np.zeros(size + 1, np.uint64)
-            np.cumsum(table[self.data[base:base + size]] * power[:size], out=sums[1:])
-            s, e = self.starts[lo:hi] - base, self.ends[lo:hi] - base
-            out[lo:hi] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _GOLD)
-            lo = hi
-        return out
+        """One hash of 64 bits for each word; with ``lower``, A-Z count as a-z."""
+        coded = self.numbered(self.column(lower))
+        return digests(coded.dictionary)[:, 0][coded.indices.to_numpy()]
+
+    def wide_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of a hash of 128 bits for each word; the first is that of ``hashes``."""
+        coded = self.numbered(self.column())
+        both = digests(coded.dictionary)[coded.indices.to_numpy()]
+        return both[:, 0], both[:, 1]
+
+
+def digests(column: pa.Array) -> np.ndarray:
+    """Two columns of 64 bits, for values of bytes."""
+    found = b"".join([blake2b(x, digest_size=16).digest() for x in column.to_pylist()])
+    return np.frombuffer(found, "<u8").astype(np.uint64).reshape(-1, 2)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -60,3 +60,9 @@ def with_clashes(df):
                  "score", "kept", "shard", "position", "n_words", "component_id", "queue", "bits", "body"):
         df = df.withColumn(name, F.lit("clash"))
     return df
+
+
+def thue_morse(n: int = 11) -> tuple[str, str]:
+    """Two different words of 2**n letters that clash under polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

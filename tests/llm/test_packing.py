@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 from gapkit.llm.packing import Deal, PackParams, packed
 
-from .helpers import documents, empty, frame, with_clashes
+from .helpers import documents, empty, frame, thue_morse, with_clashes
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 HARD = ["<|endoftext|> a<|endoftext|>b", "don't it's   we'LL", "É é  nbsp em", "İSTANBUL ﬁ Σίσυφος", "a\x00b\x1fc", "12345 6.7e8 ½", "日本語テキスト。",
@@ -60,6 +60,12 @@ def test_awkward_rows(spark):
     assert sum(r["length"] for r in got) == 7
 
 
+def test_words_made_to_clash_keep_their_ids(spark):
+    x, y = thue_morse()
+    rows = [(1, f"{x} one", None, "a", 1), (2, f"{y} one", None, "a", 1)]
+    check(packed(frame(spark, rows, 1)).collect(), rows)
+
+
 def test_ranks_are_the_order_of_due_times():
     deal = Deal(np.array([64 * 7, 64 * 30 + 5, 63, 64 * 3]), np.array([3, 10, 1, 2]), PackParams())
     due = sorted(((2 * j + 1) / deal.weights[q], q, j) for q in range(4) for j in range(int(deal.quanta[q])))

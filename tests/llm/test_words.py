@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from gapkit.llm.words import slices, whole, windows, words_of
 
-from .helpers import documents, words
+from .helpers import documents, thue_morse, words
 
 
 def test_words_and_windows_equal_plain_ones():
@@ -40,3 +40,11 @@ def test_hash_of_a_word_does_not_depend_on_its_place():
     w = words_of(pa.array(["alpha beta", "beta", " beta alpha"]))
     h = w.hashes()
     assert h[0] == h[4] and h[1] == h[2] == h[3] and np.unique(h).size == 2
+
+
+def test_words_made_to_clash_do_not():
+    x, y = thue_morse()
+    w = words_of(pa.array([f"{x} {y} {x}"]))
+    first, second = w.wide_hashes()
+    assert first[0] == first[2] != first[1] and second[0] == second[2] != second[1]
+    assert w.hashes().tolist() == first.tolist()
