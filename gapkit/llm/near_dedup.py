@@ -9,12 +9,13 @@
    compared, in blocks of bounded size: first by signature and set size, then on full sets. So no pair that shares a
    band is lost, and a tight group of near copies costs its size, not its square.
 
-The chance that a pair at the threshold shares no band is (1 - t^5)^26: 2.4e-7 at 0.85, as in op5, but 3.3e-5 at 0.80, the
-default and the pipeline's.
+The number of bands follows from the threshold, so that a pair at it shares no band with a chance of 2.5e-7 at most: 26 bands
+of 5 values at 0.85, 39 at 0.80. A group of texts that one task compares is bounded by rows and by shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,20 +31,39 @@ _GOLD = 0x9E3779B97F4A7C15
 _FULL = np.uint32(0xFFFFFFFF)
 
 
+MISSED = 2.5e-7  # the chance that a pair at the threshold shares no band
+
+
+def _prime(n: int) -> bool:
+    return n > 1 and all(n % i for i in range(2, math.isqrt(n) + 1))
+
+
 @dataclass(frozen=True)
 class NearParams:
-    """k words a shingle; a link holds from ``percent`` of 100 on. The signature has a prime number of values."""
+    """k words a shingle; a link holds from ``percent`` of 100 on. The signature has a prime number of values.
+
+    ``rows`` and ``bands`` are found from ``percent`` where not given: the longest bands, of 5 values at most, of which
+    enough for ``MISSED`` fit into a signature.
+    """
 
     k: int = 5
     percent: int = 80
-    values: int = 131
-    bands: int = 26
-    rows: int = 5
+    values: int | None = None
+    bands: int | None = None
+    rows: int | None = None
     slack: float = 0.17  # below the threshold by this much, a signature's estimate rules a pair out: 5 deviations
     block: int = 512
+    block_shingles: int = 1 << 21
 
     def __post_init__(self):
-        if self.bands * self.rows > self.values or self.values > 251 or any(self.values % i == 0 for i in range(2, 16)):
+        for rows in (self.rows,) if self.rows else (5, 4, 3, 2, 1):
+            bands = self.bands or math.ceil(math.log(MISSED) / math.log1p(-min(self.percent / 100, 1 - 1e-9) ** rows))
+            if bands * rows <= 251:
+                break
+        values = self.values or next(n for n in range(max(131, bands * rows), 400) if _prime(n))
+        for name, value in (("rows", rows), ("bands", bands), ("values", values)):
+            object.__setattr__(self, name, value)
+        if bands * rows > values or values > 251 or not _prime(values):
             raise ValueError("values must be a prime up to 251 that holds all bands")
 
     @property
@@ -231,9 +251,13 @@ def _open_rows(rows: DataFrame, p: NearParams) -> DataFrame:
         run, "g long, i int, j int, doc_id long, label long")
 
 
-def _spread(rows: DataFrame, size: Column, block: int) -> DataFrame:
+def _blocks(p: NearParams) -> Column:
+    """How many blocks a group of ``size`` rows and ``load`` shingles makes."""
+    return F.ceil(F.greatest(F.col("size") / F.lit(p.block), F.col("load") / F.lit(p.block_shingles))).cast("int")
+
+
+def _spread(rows: DataFrame, count: Column) -> DataFrame:
     """Copy each row of a group to all pairs (i, j) of blocks its own block belongs to; a small group is one pair."""
-    count = F.ceil(size / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), count).cast("int")
     return (
         rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
@@ -253,18 +277,19 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     classes = stored(nodes.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     singles = nodes.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(
         ["doc_id", "set_a", "set_b"])
-    members = singles.select("doc_id", F.posexplode("bands").alias("band", "g"))
-    buckets = members.groupBy("g").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = singles.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "g"))
+    size, load = F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("load")
+    buckets = members.groupBy("g").agg(F.min("doc_id").alias("leader"), size, load).where("size > 1")
     members = stored(members.join(buckets, "g"), "members")  # of buckets of two and more only
     texts = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(members.select("doc_id").distinct(), "doc_id"), "texts")
-    marks = singles.select("doc_id", "n_shingles", "bits", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    marks = singles.select("doc_id", "bits", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
 
-    stars = members.where("doc_id <> leader").select("leader", "doc_id").distinct()
-    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    stars = members.where("doc_id <> leader").select("leader", "doc_id", "n_shingles").distinct()
+    sizes = stars.groupBy("leader").agg(size, load)
     salted = stars.join(sizes, "leader").select(
-        F.col("leader").alias("g"), "doc_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / F.lit(p.block))).cast("int").alias("i"))
+        F.col("leader").alias("g"), "doc_id", F.pmod(F.xxhash64("doc_id"), _blocks(p)).cast("int").alias("i"))
     heads = salted.select("g", "i").distinct().select("g", F.col("g").alias("doc_id"), "i")
     groups = salted.unionByName(heads).select("g", "i", F.lit(0).alias("j"), "doc_id", F.col("doc_id").alias("label"))
     links = stored(_verified(groups, texts, p), "star-links")
@@ -274,7 +299,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
         "label", F.coalesce("component", "doc_id")).drop("component")
     torn = labelled.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
     open_ = labelled.join(torn, "g", "left_semi").join(marks, "doc_id").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
-    rest = _open_rows(_spread(open_, F.col("size"), p.block).select("g", "i", "j", "doc_id", "label", "n_shingles", "bits", "earlier"), p)
+    rest = _open_rows(_spread(open_, _blocks(p)).select("g", "i", "j", "doc_id", "label", "n_shingles", "bits", "earlier"), p)
     more = stored(_verified(rest, texts, p), "block-links")
     if not more.isEmpty():
         labels = stored(components(links.union(more)), "labels")
