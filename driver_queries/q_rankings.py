@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driver_queries import bind
 from driver_queries.bind import AS_OF, table
@@ -12,7 +13,8 @@ from driver_queries.registry import DATED, ITEMS, NAMED_PLAYS, NUMBERED, PLAYS,
 from gapkit.operators.lookups import point_lookup
 from gapkit.plans import calendar as cal, history, rankings, reports, state as gap_state
 from gapkit.session import ensure_checkpoint_dir
-from gapkit.sources.layouts import FILES, ITEMS as ITEM_TABLE, OCCASIONS as OCCASION_TABLE, PLAYS as PLAY_TABLE
+from gapkit.sources.datasource import read_table, register_formats
+from gapkit.sources.layouts import FILES, LAYOUTS, ITEMS as ITEM_TABLE, OCCASIONS as OCCASION_TABLE, PLAYS as PLAY_TABLE
 from gapkit.sources.tables import (
     load_tables, next_occasion_document, read_next_occasion, write_next_occasion, write_table, write_tables,
 )
@@ -481,6 +483,55 @@ def tables_from_files(spark, sf_dir):
     return rankings.overdue(load_tables(spark, folder, "keyed_with_repeats"), REPEATS, AS_OF)
 
 
+def _landed(spark, sf_dir, layout: str, name: str):
+    """Lines of the driver tables as files of a layout's plays, under the file's own column names."""
+    folder = f"{ensure_checkpoint_dir(spark)}/format-{uuid.uuid4().hex}"
+    shape = LAYOUTS[layout]
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("o"), F.col("l_partkey").cast("string").alias("p"), F.col("l_linenumber").cast("string").alias("n"),
+        F.to_date("l_shipdate").alias("d"))
+    chosen = {"occasion_id": F.date_format("d", "yyyy-MM-dd") if layout == "named_by_date" else F.col("o"), "position": F.col("n"),
+              "item_id": F.concat(F.lit('a "song", '), "p") if name == "text" else F.col("p")}
+    renames = shape.renames[PLAY_TABLE]
+    columns = [chosen.get(renames.get(c, c), F.lit(None).cast("string")).alias(c)
+               for c in StructType.fromDDL(shape.schemas[PLAY_TABLE]).names]
+    write_table(lines.select(*columns), f"{folder}/{FILES[PLAY_TABLE]}", "csv")
+    return folder
+
+
+FORMAT_SQL = "SELECT {} AS occasion_id, {} AS item_id, {} AS position FROM lineitem"
+
+
+@query("s4_format_keyed_with_repeats", FORMAT_SQL.format("CAST(l_orderkey AS INTEGER)", "CAST(l_partkey AS INTEGER)", "l_linenumber"))
+def format_with_repeats(spark, sf_dir):
+    folder = _landed(spark, sf_dir, "keyed_with_repeats", "number")
+    return read_table(spark, folder, "keyed_with_repeats", PLAY_TABLE).select("occasion_id", "item_id", "position")
+
+
+@query("s4_format_keyed_with_exclusions", FORMAT_SQL.format("CAST(l_orderkey AS INTEGER)", "CAST(l_partkey AS INTEGER)", "l_linenumber"))
+def format_with_exclusions(spark, sf_dir):
+    folder = _landed(spark, sf_dir, "keyed_with_exclusions", "number")
+    return read_table(spark, folder, "keyed_with_exclusions", PLAY_TABLE).select("occasion_id", "item_id", "position")
+
+
+@query("s4_format_named_by_date", """SELECT strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS occasion_id, 'a "song", ' || l_partkey AS item_id
+FROM lineitem""")
+def format_by_date(spark, sf_dir):
+    folder = _landed(spark, sf_dir, "named_by_date", "text")
+    return read_table(spark, folder, "named_by_date", PLAY_TABLE).select("occasion_id", "item_id")
+
+
+@query("s4_format_named_by_link", FORMAT_SQL.format("CAST(l_orderkey AS VARCHAR)", "'a \"song\", ' || l_partkey", "l_linenumber"))
+def format_by_link(spark, sf_dir):
+    """As a stream over the landed files, stored and read back."""
+    folder = _landed(spark, sf_dir, "named_by_link", "text")
+    register_formats(spark)
+    landed = spark.readStream.format("gapkit_named_by_link").option("table", PLAY_TABLE).load(folder)
+    landed.select("occasion_id", "item_id", "position").writeStream.option("checkpointLocation", f"{folder}/progress").trigger(
+        availableNow=True).format("parquet").option("path", f"{folder}/stored").start().awaitTermination()
+    return spark.read.schema("occasion_id string, item_id string, position int").parquet(f"{folder}/stored")
+
+
 @query("f17_point_lookup", f"""WITH {VENUES} SELECT o_orderkey AS occasion_id, o_custkey AS venue_id, venue, state
 FROM orders LEFT JOIN venues ON o_custkey = venue_id""")
 def venue_of_occasion(spark, sf_dir):

@@ -200,3 +200,63 @@ def test_random_tables_equal_an_occupancy_map(spark):
     for i, rows in enumerate(tables_):
         want = plain_grid(rows)
         assert got[(i, 0)] == want, pages[i]
+
+
+# One file of each table, with what may go wrong in values.
+LANDED = {
+    "keyed_with_repeats": {
+        "items": 'song_id,song,is_original,original_artist,debut_date,last_played,times_played,avg_show_gap\n1,"Song, ""One""",1,,2024-01-01,x,3,1.5\n2,Cover,y,X,2024-02-30,,99999999999,z\n',
+        "occasions": "show_number,show_id,show_date,venue_id,tour_id,show_order\n1,101,2024-01-05,1,,1\n2,102,,,7,\n",
+        "plays": "uniqueid,show_id,song_id,setnumber,position,tracktime,transition_id,isreprise,isjam,footnote,isjamchart,jamchart_notes,"
+                 "soundcheck,isverified,isrecommended\n1,101,1,1,1,,1,0,0,\"two\nlines, \"\"q\"\"\",0,,,1,0\n"},
+    "keyed_with_exclusions": {
+        "venues": "venueid,venue,city,state,country\n1,Hall,Athens,GA,\n",
+        "plays": "showid,uniqueid,songid,set,position,transition,isreprise,isjam,isjamchart,jamchart_description,tracktime,gap,"
+                 "is_original,soundcheck,footnote,exclude\n1,2,3,E,1,1,0,0,0,,,,1,,,0\n"},
+    "named_by_date": {
+        "plays": "Song Name,Date Played,Venue,Set,Song Before,Song After,Footnote\nA,2024-01-01,V,1,***,B,\nB,,V,1,A,***,again\n"},
+    "named_by_link": {
+        "occasions": "date,year,month,day,weekday,date_ec,venue,city,state,show_index_overall,show_index_withinyear,run_index,venue_full,link\n"
+                     "12/31/68,2068,12,31,,,V,C,S,1,1,1,V,u1\n01/01/69,1969,01,01,,,V,C,S,2,2,1,V,u2\n??/01/85,1985,,01,,??/01/85,V,C,S,3,3,1,V,u3\n",
+        "plays": "song_name,set,song_index_set,song_index_show,into,link,song_note_detail\nX,1,1,1,0,u1,\n"},
+}
+
+
+@pytest.mark.parametrize("layout", sorted(LANDED))
+def test_formats_give_the_rows_of_load_tables(spark, tmp_path, layout):
+    from gapkit.sources import datasource
+
+    shape = LAYOUTS[layout]
+    for name, text in LANDED[layout].items():
+        write(tmp_path, name, text)
+        got = datasource.read_table(spark, str(tmp_path), layout, name)
+        raw = tables.read_csv(spark, f"{tmp_path}/{FILES[name]}", shape.schemas[name], name in shape.multi_line)
+        want = raw.withColumnsRenamed(shape.renames.get(name, {}))
+        for column, pattern in shape.date_columns.get(name, {}).items():
+            want = want.withColumn(column, (tables.parse_iso if pattern == "yyyy-MM-dd" else tables.parse_mdy2)(F.col(column)))
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr), name
+
+
+def test_formats_have_a_partition_for_each_file_and_stream(spark, tmp_path):
+    from gapkit.sources import datasource
+
+    folder = tmp_path / FILES["plays"]
+    folder.mkdir()
+    header = LANDED["named_by_link"]["plays"].splitlines()[0]
+    land = lambda i: (folder / f"part-{i}.csv").write_text(f"{header}\nX{i},1,1,1,0,u{i},\n")
+    for i in range(3):
+        land(i)
+    df = datasource.read_table(spark, str(tmp_path), "named_by_link", "plays")
+    assert df.rdd.getNumPartitions() == 3 and df.count() == 3
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    for i in (None, 3, None):
+        if i is not None:
+            land(i)
+        stream = spark.readStream.format("gapkit_named_by_link").option("table", "plays").load(str(tmp_path))
+        stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    assert sorted(r.item_id for r in spark.read.parquet(out).collect()) == ["X0", "X1", "X2", "X3"]
+    with pytest.raises(Exception, match="missing"):
+        datasource.read_table(spark, str(tmp_path / "none"), "named_by_link", "plays").collect()
+    with pytest.raises(Exception, match="no table"):
+        datasource.read_table(spark, str(tmp_path), "named_by_link", "tours").collect()
