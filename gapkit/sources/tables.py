@@ -139,12 +139,15 @@ def _full_path(spark: SparkSession, path: str) -> str:
 _CURRENT = "current"
 
 
-def store_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
+def store_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), keep: int = 2) -> str:
     """Write ``df`` as a new version of the table at ``path`` and make it the current one; ``df`` may read the table itself.
 
     The version is a folder of its own. A small file names the current one and is swapped last, by one rename, so readers see
-    the old table or the new one, and a job that fails leaves the old one.
+    the old table or the new one, and a job that fails leaves the old one. The last ``keep`` versions stay, the current one among
+    them, for readers that have begun; older ones are removed, and so is what failed jobs left before them.
     """
+    if keep < 1:
+        raise ValueError("the current version stays")
     spark, version = df.sparkSession, f"version={uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(f"{path}/{version}")
     fs_package = spark._jvm.org.apache.hadoop.fs
@@ -157,6 +160,11 @@ def store_version(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     options[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").valueOf("OVERWRITE")
     files = fs_package.FileContext.getFileContext(current.getFileSystem(configuration).getUri(), configuration)
     files.rename(named, current, options)
+    system = current.getFileSystem(configuration)
+    versions = [f for f in system.listStatus(fs_package.Path(path)) if f.isDirectory() and f.getPath().getName().startswith("version=")]
+    older = sorted((f for f in versions if f.getPath().getName() != version), key=lambda f: f.getModificationTime(), reverse=True)
+    for f in older[keep - 1:]:
+        system.delete(f.getPath(), True)
     return f"{path}/{version}"
 
 

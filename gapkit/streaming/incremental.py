@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -119,7 +120,11 @@ def load_method(spark: SparkSession, path: str, columns: Sequence[str] = ()) ->
         return "all"
     try:
         stored = spark.read.parquet(found).columns
-    except Exception:  # noqa: BLE001 - an unreadable table is rebuilt
+    except AnalysisException:  # a folder without a table
+        return "all"
+    except Exception as error:  # files that are none; a fault of the store is no reason to rebuild, and is raised
+        if "is not a Parquet file" not in str(error):
+            raise
         return "all"
     return "update" if set(columns) <= set(stored) else "all"
 

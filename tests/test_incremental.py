@@ -118,6 +118,23 @@ def test_update_is_stored_twice(spark, sides, tmp_path):
     for _ in range(2):
         assert keys(inc.refresh_stored(spark, path, lambda: existing, update, ["occasion_id"])) == want
     assert inc.load_method(spark, path, ["occasion_id"]) == "update"
+    # the current version and the one before it stay
+    assert len(list((tmp_path / "plays").glob("version=*"))) == 2
+    assert keys(inc.refresh_stored(spark, path, lambda: existing, update, ["occasion_id"])) == want
+    assert len(list((tmp_path / "plays").glob("version=*"))) == 2
+
+
+def test_a_fault_of_the_store_does_not_rebuild(spark, sides, tmp_path, monkeypatch):
+    path = str(tmp_path / "plays")
+    write_table(sides[0], path)
+
+    def fault(*_):
+        raise OSError("connection reset")
+
+    monkeypatch.setattr(inc, "_stored_at", lambda spark, p: p)
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.parquet", fault)
+    with pytest.raises(OSError):
+        inc.load_method(spark, path)
 
 
 def test_a_table_is_not_overwritten_by_what_reads_it(spark, sides, tmp_path):
