@@ -10,6 +10,9 @@ of smaller id, or earlier in the same document. Windows are judged on the input.
 3. A document extends its repeated anchors to the full windows that hold them and hashes those; everywhere else
    nothing can match. The first place of each window's hash is kept, each later one removes its words.
 
+Anchors only say where to look, so 64 bits will do for them. Windows are equal if 96 bits of their hashes are, which are
+made of BLAKE2b digests of the words: among 10**13 windows some two clash with a chance below one in a thousand.
+
 Very frequent anchors never enter the shuffle: an anchor above one in 10,000 of all is that frequent in some slice of the
 input as well, so the sums over slices find it, and there are 10,000 of them at most. They are sent to all tasks. Of
 windows, a slice passes on the first of each hash only.
@@ -130,8 +133,9 @@ def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), dige
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = words_of(part.column(1))
-            hashes = words.hashes()
+            hashes, more = words.wide_hashes()
             full, at = windows(hashes, words.bounds, p.window)
+            rest = (windows(more, words.bounds, p.window)[0] >> np.uint64(32)).astype(np.uint32)
             frequent, text, place = _anchors(part, p)
             frequent = _is_in(frequent, heavy.value)
             start = words.bounds[text[frequent]] + place[frequent]
@@ -140,16 +144,16 @@ def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), dige
             marked = lists.flatten().to_numpy() + np.repeat(words.bounds[:-1], sizes)
             hit = _ranges(np.concatenate([start, marked]).astype(np.int64), p.period - 1, 0, len(hashes) + 1)
             hit = hit[at]
-            full, at = full[hit], at[hit]
+            full, rest, at = full[hit], rest[hit], at[hit]
             text = np.searchsorted(words.bounds, at, "right") - 1
             named = ~np.asarray(part.column(0).is_null())[text]
-            full, at, text = full[named], at[named], text[named]
+            full, rest, at, text = full[named], rest[named], at[named], text[named]
             ids = part.column(0).fill_null(0).to_numpy()
-            order = np.lexsort((at - words.bounds[text], ids[text], full))
-            full, at, text = full[order], at[order], text[order]
+            order = np.lexsort((at - words.bounds[text], ids[text], rest, full))
+            full, rest, at, text = full[order], rest[order], at[order], text[order]
             place = at - words.bounds[text]
             first = np.ones(len(full), bool)
-            first[1:] = full[1:] != full[:-1]
+            first[1:] = (full[1:] != full[:-1]) | (rest[1:] != rest[:-1])
             group = np.cumsum(first) - 1
             head = np.flatnonzero(first)[group] if len(full) else group
             known = (ids[text] != ids[text[head]]) | (place != place[head])  # equal rows share their first place
@@ -166,19 +170,20 @@ def without_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), dige
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(words.counts.astype(np.int64)), pa.array(kept, pa.string()),
                  pa.array([x if t else None for x, t in zip(texts, touched.tolist())], pa.string()),
-                 lists_of(known, place, np.int32), lists_of(~known, place, np.int32), lists_of(~known, signed(full), np.int64)],
-                names=["doc_id", "n_words", "kept", "text", "known", "starts", "hashes"])
+                 lists_of(known, place, np.int32), lists_of(~known, place, np.int32), lists_of(~known, signed(full), np.int64),
+                 lists_of(~known, rest.view(np.int32), np.int32)],
+                names=["doc_id", "n_words", "kept", "text", "known", "starts", "hashes", "more"])
 
     extended = stored(
         _keyed(docs).join(marks, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(
-            extend, "doc_id long, n_words long, kept string, text string, known array<int>, starts array<int>, hashes array<long>"),
-        "windows")
+            extend, "doc_id long, n_words long, kept string, text string, known array<int>, starts array<int>, hashes array<long>, more array<int>"),
+        "windows", "zstd")
     release(docs.sparkSession)
     touched = extended.where("text is not null")
-    places = touched.select("doc_id", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
-        F.col("w.hashes").alias("h"), "doc_id", F.col("w.starts").alias("start"))
+    places = touched.select("doc_id", F.explode(F.arrays_zip("hashes", "more", "starts")).alias("w")).select(
+        F.col("w.hashes").alias("h"), F.col("w.more").alias("h2"), "doc_id", F.col("w.starts").alias("start"))
     # rank, as equal rows tie
-    later = places.withColumn("n", F.rank().over(Window.partitionBy("h").orderBy("doc_id", "start"))).where("n > 1")
+    later = places.withColumn("n", F.rank().over(Window.partitionBy("h", "h2").orderBy("doc_id", "start"))).where("n > 1")
     gone = later.groupBy("doc_id").agg(F.collect_list("start").alias("later"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import pytest
 
 from gapkit.llm.substring_dedup import RepeatParams, without_repeats
 
-from .helpers import documents, empty, frame, with_clashes, words
+from .helpers import documents, empty, frame, thue_morse, with_clashes, words
 
 
 def brute(rows, window):
@@ -47,6 +47,13 @@ def test_digest_and_awkward_rows(spark):
     assert got == sorted([(1, 30, 0, full), (1, 30, 0, full), (None, 30, 0, full), (2, 30, 30, none), (3, 0, 0, none)], key=repr)
 
 
+def test_words_made_to_clash_are_different(spark):
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, f"{x} {tail}", None, None, None) for i, x in enumerate(thue_morse())]
+    got = without_repeats(frame(spark, rows), RepeatParams(window=20)).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute(rows, 20) and all(r["n_removed"] == 0 for r in got)
+
+
 def test_cover_is_checked():
     with pytest.raises(ValueError):
         RepeatParams(cover=(0, 1, 3))
