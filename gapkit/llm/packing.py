@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gapkit.llm.shared import stored
-from gapkit.llm.words import Words, digests, slices, words_of
+from gapkit.llm.words import Words, digests, slices, values_of, words_of
 
 _SCALE = 1 << 20
 
@@ -80,7 +80,7 @@ class WordTokens:
                 missing[:] = True
             new, sizes, ids = coded.dictionary.filter(pa.array(missing)), [], []
             for lo in range(0, len(new), 8192):  # what the tokenizer returns takes far more memory than the ids
-                strings = [x.decode() for x in new.slice(lo, 8192).to_pylist()]
+                strings = [x.decode() for x in values_of(new.slice(lo, 8192))]
                 found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
                 sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
                 ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
