@@ -39,6 +39,7 @@ from gapkit.spec import SEQ_BUCKET
 BUCKET = _B = "__bucket"
 _EDGE = "__edge"
 _FIRST = "__first"
+_KEY = "__key"
 
 
 def seq_bucket(seq: str, width: int = SEQ_BUCKET) -> Column:
@@ -197,10 +198,45 @@ def running_sum(
     return joined.withColumn(out, F.col(out) + F.coalesce(F.col(_EDGE), F.lit(0))).select(*df.columns, out)
 
 
+def running_sums(
+    df: DataFrame, keys: Sequence[str], part: str, order: Sequence[str], value: str, out: str, part_out: str, bucket: Column,
+) -> DataFrame:
+    """Sum of ``value`` from the first row of the key to this one, and the same over the rows with this row's ``part`` only.
+
+    Both windows and their edge table read one exchange by key and bucket. The edge table has one row per (key, part, bucket);
+    only later buckets of a key get something from it, as one row per bucket with a map over the parts met so far, so the rows
+    are joined where they lie. Null keys are a key like others: the keys go as a struct, which is never null, so that no filter
+    on them comes between the readers of the exchange. ``part`` is not null, and its values within a key fit in one row.
+    """
+    tagged = _tag(df.withColumn(_KEY, F.struct(*keys)), [_KEY], bucket, share=True)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    inner = tagged.withColumns({
+        out: F.sum(value).over(Window.partitionBy(_KEY, _B).orderBy(*order).rowsBetween(*upto)),
+        part_out: F.sum(value).over(Window.partitionBy(_KEY, part, _B).orderBy(*order).rowsBetween(*upto)),
+    })
+    edges = _edges(tagged, [_KEY, part], True, F.sum(value).alias(_EDGE))
+    by_part = Window.partitionBy(_KEY, part).orderBy(_B)
+    summed = edges.withColumns({
+        "__before": F.sum(_EDGE).over(Window.partitionBy(_KEY).orderBy(_B).rangeBetween(Window.unboundedPreceding, -1)),
+        "__part_before": F.sum(_EDGE).over(by_part.rowsBetween(Window.unboundedPreceding, -1)),
+    }).where("__before <> 0 OR __part_before <> 0")
+    offsets = summed.groupBy(_KEY, _B).agg(
+        F.max("__before").alias("__before"),
+        F.map_from_entries(F.collect_list(F.struct(F.col(part), F.coalesce("__part_before", F.lit(0))))).alias("__parts"))
+    joined = inner.join(offsets, [_KEY, _B], "left")
+    return joined.withColumns({
+        out: F.col(out) + F.coalesce("__before", F.lit(0)),
+        part_out: F.col(part_out) + F.coalesce(F.try_element_at("__parts", F.col(part)), F.lit(0)),
+    }).select(*df.columns, out, part_out)
+
+
 def row_ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column, share: bool = False
 ) -> DataFrame:
-    """1-based position of the row within the key."""
+    """1-based position of the row within the key. Shared rows go by a struct of the keys, as in :func:`running_sums`."""
+    columns = df.columns
+    if share and keys:
+        df, keys = df.withColumn(_KEY, F.struct(*keys)), [_KEY]
     tagged = _tag(df, keys, bucket, share)
     inner = tagged.withColumn(
         out, F.row_number().over(Window.partitionBy(*keys, _B).orderBy(*order)).cast("long")
@@ -208,7 +244,7 @@ def row_ordinal(
     edges = _edges(tagged, keys, share, F.count(F.lit(1)).alias(_EDGE))
     offsets = _scan(edges, keys, __sum=("sum", _EDGE)).where("__sum > 0").select(*keys, _B, F.col("__sum").alias(_EDGE))
     joined = inner.join(offsets, [*keys, _B], "left")
-    return joined.withColumn(out, F.col(out) + F.coalesce(F.col(_EDGE), F.lit(0))).select(*df.columns, out)
+    return joined.withColumn(out, F.col(out) + F.coalesce(F.col(_EDGE), F.lit(0))).select(*columns, out)
 
 
 def carry_forward(

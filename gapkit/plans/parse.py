@@ -18,7 +18,7 @@ from gapkit.functions import (
 )
 from gapkit.operators.lookups import map_or_self
 from gapkit.operators.notes import resolve_references
-from gapkit.operators.ordered import carry_forward, neighbour_values, row_ordinal, running_sum, seq_bucket
+from gapkit.operators.ordered import carry_forward, neighbour_values, row_ordinal, running_sums, seq_bucket
 
 # Markers and name repairs of set-list text. Fixed values.
 SET_PREFIXES = ("0:", "1:", "2:", "3:", "4:", "E:", "E1", "E2", "E3", "E4")
@@ -106,6 +106,8 @@ def parse_setlist(
     Titles that hold commas are listed by their first piece in ``titles``, which completes it; pieces after it that contain
     one of ``fragments`` belong to the title and are dropped. Elsewhere such a piece is an item. The lists of the one
     known source are ``COMMA_TITLES``, ``COMMA_FRAGMENTS`` and ``ITEM_REPAIRS``.
+
+    Lines with items are shuffled once, by occasion and 65,536 lines of it, however long a text is.
     """
     titles, repairs = titles or {}, repairs or {}
     text = F.col("text")
@@ -121,10 +123,9 @@ def parse_setlist(
         .select("occasion_id", "line_no", set_label(F.col("__text")).alias("set_label"), pieces.alias("__pieces"))
         .withColumn("__n", F.size("__pieces"))
     )
-    order, bucket = ["line_no"], seq_bucket("line_no")
-    # split each text once: both sums start from the same exchange
-    counted = running_sum(sets, ["occasion_id"], order, "__n", "__upto", bucket, share=True)
-    counted = running_sum(counted, ["occasion_id", "set_label"], order, "__n", "__set_upto", bucket)
+    # each text is split once, and its occasion's lines are dealt out once
+    counted = running_sums(
+        sets, ["occasion_id"], "set_label", ["line_no"], "__n", "__upto", "__set_upto", seq_bucket("line_no"))
 
     following = F.try_element_at(F.col("__pieces"), F.col("__pos") + 2)
     raw = _bare(F.col("__piece"))

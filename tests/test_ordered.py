@@ -52,6 +52,17 @@ def test_running_functions(skewed, width):
          skewed.withColumn("o", F.last("label", ignorenulls=True).over(upto)))
 
 
+@pytest.mark.parametrize("width", [1, 7, 64, 10**6])
+def test_sums_of_key_and_part_from_one_exchange(skewed, width):
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    keyed = skewed.withColumn("k", F.when(F.col("k") != "k7", F.col("k")))
+    got = ordered.running_sums(keyed, ["k"], "place", ["s"], "v", "o", "op", ordered.seq_bucket("s", width))
+    same(got, keyed.withColumns({
+        "o": F.sum("v").over(upto(by_key())), "op": F.sum("v").over(upto(Window.partitionBy("k", "place").orderBy("s")))}))
+    assert ordered.running_sums(
+        skewed.limit(0), ["k"], "place", ["s"], "v", "o", "op", ordered.seq_bucket("s", width)).collect() == []
+
+
 @pytest.mark.parametrize("width", [1, 64])
 def test_shared_exchange_changes_nothing(skewed, width):
     bucket = ordered.seq_bucket("s", width)
