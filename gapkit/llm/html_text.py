@@ -3,14 +3,17 @@
 A tokenizer feeds a tree builder that keeps the stack of open elements: it opens and closes what HTML leaves implied
 (``</p>`` before a block, ``</li>``, ``</td>``, ``</tr>`` and so on), ignores stray end tags and closes what is left open
 at the end. Text goes out while the tree grows, so depth is no limit. Elements that are not shown take their whole subtree with
-them: those of ``UNSEEN`` and, inside svg and math, ``UNSEEN_THERE``; ``hidden``, ``display:none`` and ``visibility:hidden``; closed
-``details`` but for the summary and closed ``dialog``. Of an svg the content of ``text`` and ``foreignObject`` is shown, of a select
+them: those of ``UNSEEN`` and, inside svg and math, ``UNSEEN_THERE``; ``hidden`` and ``display:none``; closed ``details`` but for the
+summary and closed ``dialog``. What is ``visibility:hidden`` keeps its place without its text, but for parts that are visible again.
+Both are read from attributes and from style sheets in the page before the element, there from rules for a tag, a class, an id, or a
+tag with one of these; rules within at-rules, such as those for print, and other selectors are left out. Of an svg the content of ``text`` and ``foreignObject`` is shown, of a select
 the chosen option, or all options where it is a list. What is typed into a page (``textarea``, ``input``) counts as no text of it.
 
 Layout: a block starts a new line, and blocks with a margin are set off by an empty line; runs of white space are one space
 except in ``pre``; list items carry a bullet or their number and are indented by level; the cells of a table's column are
 padded to one width, which a wide character counts double in, and parted by two spaces;
-empty lines of a cell go.
+empty lines of a cell go. Cells over several columns or rows take the places of all these, as long as their part of the table goes;
+their text stands in the first. All steps but the padding itself are linear, or nearly so, in the length of a page.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -28,7 +32,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"?|'[^']*+'?)*+)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"[ \t\n\r\f]+")
-USED = re.compile(r"hidden|style|open|start|value", re.I)  # the attributes that matter here
+USED = re.compile(r"hidden|style|open|start|value|span", re.I)  # the attributes that matter here
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
 # not rendered, or rendered as something that is no text: media and object show their content only where they fail
@@ -53,7 +57,35 @@ IMPLIED = {
     **{s: (("tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"), {"table"}) for s in ("thead", "tbody", "tfoot")},
 }
 TABLE_ONLY = frozenset("td th tr thead tbody tfoot caption colgroup".split())
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+SHEET = re.compile(r"/\*.*?(?:\*/|$)|([{}])|([^{}/]+|/)", re.S)
+SELECTOR = re.compile(r"([a-z][a-z0-9-]*)?([.#][\w-]+)?", re.I)
+END = 1 << 62
+
+
+def declared(text: str) -> dict[str, str]:
+    """The last ``display`` and ``visibility`` of a list of declarations."""
+    return {m[1].lower(): m[2].lower() for m in DECLARATION.finditer(text)}
+
+
+def sheet_rules(sheet: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """Selectors of the known forms, tags in small letters, with what they declare, in the order of the sheet."""
+    depth, at_rule, head, body = 0, False, [], []
+    for m in SHEET.finditer(sheet):
+        if m[1] == "{":
+            depth += 1
+            at_rule = at_rule or (depth == 1 and "".join(head).rpartition(";")[2].lstrip().startswith("@"))
+        elif m[1] == "}":
+            depth = max(depth - 1, 0)
+            if depth == 0:
+                found = {} if at_rule else declared("".join(body))
+                for selector in "".join(head).rpartition(";")[2].split(",") if found else ():
+                    parts = SELECTOR.fullmatch(selector.strip())
+                    if parts and parts[0]:
+                        yield (parts[1] or "").lower() + (parts[2] or ""), found
+                at_rule, head, body = False, [], []
+        elif m[2]:
+            (body if depth else head).append(m[2])
 
 
 @dataclass
@@ -116,6 +148,8 @@ class Flow:
 class Element:
     name: str
     unseen: bool
+    invisible: bool = False
+    span: tuple[int, int] = (1, 1)  # columns and rows of a cell; no rows stand for all that are left
     number: int | None = None  # of the next item of an ordered list
     outer: Flow | None = None  # the flow around a select or an option of one
     options: list[tuple[bool, bool, str]] | None = None  # of a select: chosen, can be chosen, text
@@ -124,9 +158,9 @@ class Element:
 
 @dataclass
 class Table:
-    rows: list[list[list[str]]] = field(default_factory=list)
+    rows: list[list[tuple[list[str], tuple[int, int]]]] = field(default_factory=list)
+    parts: list[int] = field(default_factory=list)  # the first row of each head, body and foot
     outer: Flow | None = None
-    cell: bool = False
 
 
 def _width(text: str) -> int:
@@ -135,14 +169,87 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    columns = max((len(r) for r in rows), default=0)
-    widths = [max((_width(line) for r in rows if i < len(r) for line in r[i]), default=0) for i in range(columns)]
+class Free:
+    """The columns that no cell from an earlier row reaches into, as intervals in order."""
+
+    def __init__(self):
+        self.lo, self.hi = [0], [END]
+
+    def first(self, column: int) -> int:
+        """The first free column from this one on."""
+        i = bisect_right(self.lo, column)
+        return column if i and self.hi[i - 1] > column else self.lo[i]
+
+    def take(self, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Take what is free of an interval, and return it."""
+        i, j = bisect_right(self.hi, lo), bisect_left(self.lo, hi)
+        taken = [(max(a, lo), min(b, hi)) for a, b in zip(self.lo[i:j], self.hi[i:j])]
+        if taken:
+            rest = [(a, b) for a, b in ((self.lo[i], lo), (hi, self.hi[j - 1])) if a < b]
+            self.lo[i:j], self.hi[i:j] = [a for a, _ in rest], [b for _, b in rest]
+        return taken
+
+    def give(self, lo: int, hi: int) -> None:
+        i, j = bisect_left(self.hi, lo), bisect_right(self.lo, hi)
+        if i < j:
+            lo, hi = min(lo, self.lo[i]), max(hi, self.hi[j - 1])
+        self.lo[i:j], self.hi[i:j] = [lo], [hi]
+
+
+def _placed(table: Table) -> list[list[tuple[int, int, list[str]]]]:
+    """First column, column after the last, and lines of each row's cells. Columns where no cell begins are left out.
+
+    A cell may run over a column that one from an earlier row reaches into; the column is the earlier one's as long as that lasts,
+    and free then.
+    """
+    free, ends, rows = Free(), {}, []
+    for r, row in enumerate(table.rows):
+        for lo, hi in ends.pop(r, ()):
+            free.give(lo, hi)
+        column, out, down = 0, [], []
+        part = bisect_right(table.parts, r)
+        last = table.parts[part] if part < len(table.parts) else len(table.rows)
+        for lines, (across, below) in row:
+            lo = free.first(column)
+            column = lo + across
+            out.append((lo, column, lines))
+            if below != 1:
+                down.append((lo, column, min(r + below, last) if below else last))
+        for lo, hi, end in down:
+            if end > r + 1:
+                ends.setdefault(end, []).extend(free.take(lo, hi))
+        rows.append(out)
+    begins = sorted({lo for row in rows for lo, *_ in row})
+    return [[(bisect_left(begins, lo), bisect_left(begins, hi), lines) for lo, hi, lines in row] for row in rows]
+
+
+def _aligned(table: Table) -> list[str]:
+    rows = _placed(table)
+    widths = [0] * max((hi for row in rows for _, hi, _ in row), default=0)
+    wide = []
+    for row in rows:
+        for lo, hi, lines in row:
+            width = max(map(_width, lines), default=0)
+            if hi == lo + 1:
+                widths[lo] = max(widths[lo], width)
+            elif width:
+                wide.append((hi - lo, lo, width))
+    for n, lo, width in sorted(wide):
+        widths[lo + n - 1] += max(0, width - sum(widths[lo:lo + n]) - 2 * (n - 1))
+    offsets = [0]
+    for width in widths:
+        offsets.append(offsets[-1] + width + 2)
     out = []
     for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            cells = [cell[k] if k < len(cell) else "" for cell in row]
-            out.append("  ".join(c + " " * (w - _width(c)) for c, w in zip(cells, widths)).rstrip())
+        for k in range(max((len(lines) for *_, lines in row), default=0)):
+            pieces, at = [], 0
+            for lo, _, lines in row:
+                if k < len(lines):
+                    # cells that lie over each other are set side by side
+                    gap = max(offsets[lo] - at, 2 if at else 0)
+                    pieces += [" " * gap, lines[k]]
+                    at += gap + _width(lines[k])
+            out.append("".join(pieces).rstrip())
     return [line for line in out if line]
 
 
@@ -153,18 +260,42 @@ class Page:
         self.stack: list[Element] = []
         self.flow, self.tables = Flow(), []
         self.items = self.pre = 0
-        self.opened: dict[str, int] = {}
+        self.opened: dict[str, list[int]] = {}  # the places in the stack of each name's open elements
+        self.rules: dict[str, dict[str, tuple[int, str]]] = {}  # by selector and property, the last rule's number and value
+        self.read = 0
 
     def attributes(self, name: str, text: str) -> dict[str, str]:
-        used = name in ("select", "option", "optgroup") or USED.search(text) or self.opened.get("svg")
+        used = name in ("select", "option", "optgroup") or USED.search(text) or self.opened.get("svg") or (text and self.rules)
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if used else {}
 
+    def last(self, names: Iterable[str]) -> int:
+        """Place in the stack of the innermost open element of these names, -1 without one."""
+        return max((self.opened[n][-1] for n in names if self.opened.get(n)), default=-1)
+
+    def sheet(self, text: str) -> None:
+        for selector, found in sheet_rules(text):
+            self.read += 1
+            for key, value in found.items():
+                self.rules.setdefault(selector, {})[key] = self.read, value
+
+    def styled(self, name: str, a: dict[str, str]) -> dict[str, str]:
+        """``display`` and ``visibility`` as rules and attributes of the element say; an id goes before a class, that before a tag."""
+        best: dict[str, tuple[int, int, str]] = {}
+        if self.rules:
+            classes = [f".{c}" for c in a.get("class", "").split()]
+            ranked = [(0, name), *((1, c) for c in classes), *((2, name + c) for c in classes)]
+            if "id" in a:
+                ranked += [(3, f"#{a['id']}"), (4, f"{name}#{a['id']}")]
+            for rank, selector in ranked:
+                for key, (number, value) in self.rules.get(selector, {}).items():
+                    if key not in best or best[key] < (rank, number, value):
+                        best[key] = rank, number, value
+        return {**{k: v for k, (*_, v) in best.items()}, **declared(a.get("style", ""))}
+
     def foreign(self) -> bool:
         """Whether the innermost of svg, math and the places for HTML inside them is an svg or a math."""
         if self.opened.get("svg") or self.opened.get("math"):
-            for e in reversed(self.stack):
-                if e.name in POINTS or e.name in ("svg", "math"):
-                    return e.name not in POINTS
+            return self.stack[self.last(POINTS | {"svg", "math"})].name not in POINTS
         return False
 
     def start(self, name: str, attributes: str) -> None:
@@ -198,21 +329,13 @@ class Page:
             self.finish("head")
 
     def _above(self, name: str, stop) -> bool:
-        for e in reversed(self.stack):
-            if e.name == name:
-                return True
-            if e.name in stop:
-                return False
-        return False
+        return bool(self.opened.get(name)) and self.opened[name][-1] >= self.last(stop)
 
     def _close_implied(self, names, stop) -> None:
-        depth = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].name in names:
-                depth = i
-            if self.stack[i].name in stop:
-                break
-        if depth is not None:
+        low = self.last(stop)
+        found = [places[i] for places in (self.opened.get(n, ()) for n in names) if (i := bisect_left(places, low)) < len(places)]
+        if found:
+            depth = min(found)
             while len(self.stack) > depth:
                 self._pop()
 
@@ -227,26 +350,30 @@ class Page:
                 self._pop()
             return
         stop = {"table"} if name in TABLE_ONLY else {"td", "th", "caption"} if name != "table" else ()
-        for e in reversed(self.stack):
-            if e.name == name:
-                break
-            if e.name in stop:
-                return
+        if self.opened[name][-1] < self.last(stop):
+            return
         while self._pop() != name:
             pass
 
     def _push(self, name: str, a: dict[str, str]) -> None:
         above = self.stack[-1] if self.stack else None
-        unseen = bool(above and above.unseen) or name in UNSEEN or "hidden" in a or bool(HIDING.search(a.get("style", "")))
+        styled = self.styled(name, a) if a or self.rules else {}
+        gone = styled["display"] == "none" if "display" in styled else "hidden" in a
+        unseen = bool(above and above.unseen) or name in UNSEEN or gone
         unseen = unseen or (name == "dialog" and "open" not in a)
         if above and above.name == "details" and above.number == 0 and name != "summary":
             unseen = True
         if self.opened.get("svg") or self.opened.get("math"):
-            unseen = unseen or name in UNSEEN_THERE or (
-                bool(self.opened.get("svg")) and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")))
-        element = Element(name, unseen)
+            unseen = unseen or name in UNSEEN_THERE
+            if self.opened.get("svg"):
+                unseen = unseen or ("display" not in styled and a.get("display") == "none")
+                styled = {"visibility": a["visibility"], **styled} if "visibility" in a else styled
+        invisible = bool(above and above.invisible)
+        if styled.get("visibility") in ("hidden", "collapse", "visible", "initial"):
+            invisible = styled["visibility"] in ("hidden", "collapse")
+        element = Element(name, unseen, invisible)
+        self.opened.setdefault(name, []).append(len(self.stack))
         self.stack.append(element)
-        self.opened[name] = self.opened.get(name, 0) + 1
         if name == "details":
             element.number = 1 if "open" in a else 0
         if unseen:
@@ -270,8 +397,12 @@ class Page:
             self.tables.append(Table(outer=self.flow))
         elif name == "tr":
             self.tables[-1].rows.append([])
+        elif name in ("thead", "tbody", "tfoot") and self.tables:
+            self.tables[-1].parts.append(len(self.tables[-1].rows))
         elif name in ("td", "th", "caption"):
             self.flow = Flow()
+            across, below = (int(a.get(k, "1")) if re.fullmatch(r"\d{1,9}", a.get(k, "1")) else 1 for k in ("colspan", "rowspan"))
+            element.span = min(max(across, 1), 1000), min(below, 65534)
         elif name in BLOCK:
             self.flow.block(name in SPACED and not (name in ("ul", "ol") and self.items))
             if name in ("ul", "ol", "menu", "dir"):
@@ -284,17 +415,20 @@ class Page:
                 self.pre += 1
 
     def _marker(self, a: dict[str, str]) -> None:
-        owner = next((e for e in reversed(self.stack[:-1]) if e.name in ("ul", "ol", "menu", "dir")), None)
+        at = self.last(("ul", "ol", "menu", "dir"))
+        owner = self.stack[at] if at >= 0 else None
         self.flow.lead = "- "
         if owner is not None and owner.number is not None:
             if re.fullmatch(r"-?\d{1,9}", a.get("value", "")):
                 owner.number = int(a["value"])
             self.flow.lead = f"{owner.number}. "
             owner.number += 1
+        if self.stack[-1].invisible:
+            self.flow.lead = ""
 
     def _pop(self) -> str:
         e = self.stack.pop()
-        self.opened[e.name] -= 1
+        self.opened[e.name].pop()
         if e.unseen:
             return e.name
         if e.outer is not None:
@@ -306,10 +440,12 @@ class Page:
         elif e.name == "table":
             table = self.tables.pop()
             self.flow = table.outer
-            for line in _aligned(table.rows):
+            for line in _aligned(table):
                 self.flow.text(line, "", True)
                 self.flow.end()
             self.flow.block(True)
+        elif e.name in ("thead", "tbody", "tfoot") and self.tables:
+            self.tables[-1].parts.append(len(self.tables[-1].rows))
         elif e.name in ("td", "th", "caption"):
             lines = self.flow.closed()
             table = self.tables[-1]
@@ -319,7 +455,7 @@ class Page:
                     self.flow.text(line, "", True)
                     self.flow.end()
             else:
-                table.rows[-1].append(lines)
+                table.rows[-1].append((lines, e.span))
         elif e.name in BLOCK:
             if e.name in ("ul", "ol", "menu", "dir"):
                 self.items -= 1
@@ -335,7 +471,8 @@ class Page:
         lines, self.flow = self.flow.closed(), e.outer
         if e.name == "option":
             chosen, free, label = e.choice
-            owner = next((s for s in reversed(self.stack) if s.options is not None), None)
+            label = "" if e.invisible else label
+            owner = next((self.stack[i] for i in reversed(self.opened["select"]) if self.stack[i].options is not None), None)
             if owner is not None:
                 owner.options.append((chosen, free, label or " ".join(" ".join(lines).split())))
         elif e.number:
@@ -356,11 +493,7 @@ class Page:
 
     def _in_graphic(self) -> bool:
         """Whether text here is inside an svg, but in no part of it that shows text."""
-        if self.opened.get("svg"):
-            for e in reversed(self.stack):
-                if e.name in ("svg", "text", "foreignobject"):
-                    return e.name == "svg"
-        return False
+        return bool(self.opened.get("svg")) and self.stack[self.last(("svg", "text", "foreignobject"))].name == "svg"
 
     def text(self, text: str) -> None:
         above = self.stack[-1] if self.stack else None
@@ -369,6 +502,9 @@ class Page:
             if not (above.name == "head" and not blank):
                 return
             self._leave_head()
+        if above and above.invisible:
+            self.flow.space = True
+            return
         if above and blank and above.name in ("table", "tr", "thead", "tbody", "tfoot", "html", "ul", "ol"):
             return
         if self._in_graphic():
@@ -404,6 +540,9 @@ def visible_text(source: str) -> str:
             break
         if name in RAW and page.stack and page.stack[-1].name == name:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+            media = {x[1].lower(): x[2] or x[3] or x[4] or "" for x in ATTRIBUTE.finditer(m[3] or "")}.get("media", "all")
+            if name == "style" and media.lower() in ("", "all", "screen") and not page.opened.get("template"):
+                page.sheet(source[at:close.start() if close else end])
             at = close.start() if close else end
             if not close:
                 page.finish(name)

@@ -74,3 +74,82 @@ SHOWN = {
 @pytest.mark.parametrize("page", SHOWN)
 def test_formulas_graphics_and_choices_are_shown(page):
     assert visible_text(page) == SHOWN[page]
+
+
+PLACED = {
+    "<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>": "ab    c\n1  2  3",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tr><td>1<td colspan=2 rowspan=2>wide cell<td>2<tr><td>3<td>4<tr><td>5<td>6<td>7<td>8</table>":
+        "1  wide cell  2\n3             4\n5  6  7       8",
+    "<table><thead><tr><th rowspan=9>h<th>i<tbody><tr><td>a<td>b</table>": "h  i\na  b",
+    "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>": "a  b\n   c\n   d",
+    "<table><tr><td colspan=1000>a<td colspan=x>b<tr><td>c</table>": "a  b\nc",
+    "<table><tr><td>a<td rowspan=2>b<tr><td colspan=2>over<td>c</table>": "a  b\nover  c",
+}
+
+
+@pytest.mark.parametrize("page", PLACED)
+def test_cells_over_several_columns_and_rows(page):
+    assert visible_text(page) == PLACED[page]
+
+
+def test_grid_against_slots():
+    """Places of cells against a plain table of slots."""
+    import random
+
+    from gapkit.llm.html_text import Table, _placed
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        table = Table(rows=[[([], (rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2, 3, 0]))) for _ in range(rng.randint(0, 4))] for _ in range(n)],
+                      parts=sorted(rng.sample(range(n), rng.randint(0, min(n, 2)))))
+        filled, want = set(), []
+        for r, row in enumerate(table.rows):
+            x, last = 0, min([q for q in table.parts if q > r], default=n)
+            held = {c for y, c in filled if y == r}
+            for _, (across, below) in row:
+                while (r, x) in filled:
+                    x += 1
+                want.append((r, x, x + across))
+                down = range(r, min(r + below, last) if below else last)
+                filled |= {(y, c) for y in down for c in range(x, x + across) if c not in held}
+                x += across
+        begins = sorted({lo for _, lo, _ in want})
+        dense = [(r, sum(b < lo for b in begins), sum(b < hi for b in begins)) for r, lo, hi in want]
+        assert [(r, lo, hi) for r, row in enumerate(_placed(table)) for lo, hi, _ in row] == dense
+
+
+HIDDEN = {
+    "<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>": "yes",
+    "<div style='display:none'><p style='visibility:visible;display:block'>no</div>z": "z",
+    "a<span style=visibility:hidden>b</span>c": "a c",
+    "<p style='display:none;display:block'>x": "x",
+    "<style>.h{display:none}</style><p class='k h'>no<p class=k>yes": "yes",
+    "<style>/* .k{display:none} */ p.h, #i { color:red; visibility:hidden } .v{visibility:visible}</style>"
+    "<p class=h>no <b class=v>yes</b></p><i class=h>too</i><u id=i>no</u>": "yes\n\ntoo",
+    "<style>p{display:none} .s{display:block} #t{display:none}</style><p>no<p class=s>yes<p class=s id=t>no": "yes",
+    "<style>.s{display:none}</style><p class=s style='display:block'>yes": "yes",
+    "<style>@media print{.s{display:none}} @import 'x'; div .s{display:none} .r{display:none}</style><p class=s>yes<p class=r>no": "yes",
+    "<style media=print>p{display:none}</style><template><style>p{display:none}</style></template><p>yes": "yes",
+    "<style>p{display:none}": "",
+    "<ul style=visibility:hidden><li>no<li style=visibility:visible>yes</ul>": "- yes",
+    "<table><tr><td>a<td style=visibility:hidden>no<td>b</table>": "a    b",
+    "<select style=visibility:hidden><option label=no>no</select>x": "x",
+}
+
+
+@pytest.mark.parametrize("page", HIDDEN)
+def test_hidden_by_rules_and_shown_again(page):
+    assert visible_text(page) == HIDDEN[page]
+
+
+def test_hostile_pages_take_no_square():
+    import time
+
+    start = time.time()
+    assert visible_text("<b><table><tr><td>" + "<i>" * 30_000 + "</b>" * 30_000 + "x") == "x"
+    assert visible_text("<table>" + "<tr><td rowspan=60000>a<td colspan=1000>b" * 4_000 + "</table>").count("b") == 4_000
+    assert visible_text("<svg><g>" * 20_000 + "<text>x" * 20_000).count("x") == 20_000
+    assert visible_text("<style>" + ".a{display:none} .b{" * 50_000 + "</style>" + "<p class='c d'>" * 10_000 + "y") == "y"
+    assert time.time() - start < 30
