@@ -144,7 +144,9 @@ def best_window(hashes: np.ndarray, hit: np.ndarray, size: int, threshold: float
     the bigrams of the template, which has ``size``. None if no window reaches the threshold.
 
     A best window begins and ends with a hit. In a window from s, a bigram counts if it has not occurred since s. Windows
-    grow until they hold too many bigrams for the threshold, or all hits that are left.
+    grow until they hold too many bigrams for the threshold, or all hits that are left, or the bigram at s again: from there on a
+    later start does as well. So all windows together are no longer than the text times the distinct bigrams of the template.
+    The first start is then found by going back from the best windows over bigrams that are in them.
     """
     n = len(hashes)
     order = np.argsort(hashes, kind="stable")
@@ -153,20 +155,39 @@ def best_window(hashes: np.ndarray, hit: np.ndarray, size: int, threshold: float
     prev[order[1:][same]], nxt[order[:-1][same]] = order[:-1][same], order[1:][same]
     left = np.cumsum(((nxt == n) & hit)[::-1])[::-1]  # distinct hits from a place to the end
     need, most = threshold * size / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
-    best = None
-    for s in np.flatnonzero(hit & (left >= need)).tolist():
+
+    def scores(s: int, end: int) -> np.ndarray:
         reach = 2 * size
         while True:
-            fresh = prev[s:s + reach] < s
-            own, common = np.cumsum(fresh), np.cumsum(fresh & hit[s:s + reach])
-            if own[-1] > most or common[-1] == left[s] or s + reach >= n:
-                break
+            hi = min(s + reach, end)
+            fresh = prev[s:hi] < s
+            own, common = np.cumsum(fresh), np.cumsum(fresh & hit[s:hi])
+            if own[-1] > most or common[-1] == left[s] or hi == end:
+                return 2 * common / (own + size)
             reach *= 2
-        scores = 2 * common / (own + size)
-        e = int(scores.argmax())
-        if scores[e] >= threshold and (best is None or scores[e] > best[0]):
-            best = float(scores[e]), s, s + e + 1
-    return best
+
+    best, ends = 0.0, []  # of the best score: starts and last ends, by start
+    for s in np.flatnonzero(hit & (left >= need)).tolist():
+        found = scores(s, int(nxt[s]))
+        top = float(found.max())
+        if top >= threshold and top >= best:
+            if top > best:
+                best, ends = top, []
+            ends.append((s, s + len(found) - int(found[::-1].argmax())))
+    if not ends:
+        return None
+    # from ``low`` on, all up to ``seen`` are in a best window; ``far`` is the farthest next occurrence of these and of the one before
+    low = seen = ends[0][0]
+    far = -1
+    for s, end in ends:
+        far = max(far, int(nxt[seen:s].max(initial=-1)))
+        seen = s
+        while low and max(far, int(nxt[low - 1])) < end:
+            low -= 1
+            far = max(far, int(nxt[low]))
+    start = low + int(hit[low:].argmax())
+    found = scores(start, n)
+    return best, start, start + int(found.argmax()) + 1
 
 
 def scanned(docs: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:

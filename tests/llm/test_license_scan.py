@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 
@@ -91,3 +92,25 @@ def test_best_window_equals_brute_force():
                 want = max(want, 2 * sum(x < 6 for x in own) / (len(own) + size))
         got = best_window(hashes, hit, size, 0.8)
         assert (got[0] if got else 0.0) == (want if want >= 0.8 else 0.0)
+
+
+def test_best_window_is_the_first_and_shortest_of_equals():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        hashes = rng.integers(0, 9, rng.integers(1, 25)).astype(np.uint64)
+        hit, size, best = hashes < 4, 4, (0.0, 0, 0)
+        for s in np.flatnonzero(hit).tolist():
+            for e in range(s + 1, len(hashes) + 1):
+                own = set(hashes[s:e].tolist())
+                score = 2 * sum(x < 4 for x in own) / (len(own) + size)
+                if score > best[0]:
+                    best = score, s, e
+        assert best_window(hashes, hit, size, 0.5) == (best if best[0] >= 0.5 else None)
+
+
+def test_long_texts_of_few_bigrams_take_no_square(spark):
+    text = "under the " * 60_000 + "mit license"
+    start = time.time()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.unit) for r in scanned(df).collect()] == [(1, "MIT", "window")]
+    assert time.time() - start < 60
