@@ -23,6 +23,8 @@ from gapkit.sources.layouts import FILES, LAYOUTS
 PREFIX = "gapkit_"
 _WHOLE = re.compile(r"\s*[+-]?\d+\s*")
 _BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
+BLOCK, MOST_BLOCK = 1 << 20, 1 << 30  # bytes of a file parsed at once, and the most that a row may need
+SLICE = 16384  # rows whose values are parsed at once
 
 
 # Types of the layouts. Spark's own parser of schemas needs a session, which the processes that plan a data source have not.
@@ -100,34 +102,66 @@ class _Reads:
 
     def read(self, partition: FilePartition) -> Iterator:
         import pyarrow as pa
-        from pyarrow import csv
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        days = LAYOUTS[self.layout].date_columns.get(self.table, {})
+        out = to_arrow_schema(self.schema)
+        for block in self._texts(partition):
+            for at in range(0, block.num_rows, SLICE):  # values are Python objects for a slice only
+                part = block.slice(at, SLICE).columns
+                yield pa.RecordBatch.from_arrays(
+                    [_parsed(c, f, kind, days) for c, f, kind in zip(part, self.schema, out.types)], schema=out)
+
+    def _texts(self, partition: FilePartition) -> Iterator:
+        """A file's columns as texts, a block at a time.
+
+        Arrow reads up to 32 blocks ahead of the one it parses, so blocks are small, and memory does not grow with the file. A row has
+        to fit in a block: where one does not, the file is read on in larger ones.
+        """
+        import pyarrow as pa
+        from pyarrow import csv
+
         shape = LAYOUTS[self.layout]
         own = [name for name, _ in _columns(shape.schemas[self.table])]
-        days = shape.date_columns.get(self.table, {})
         system, _ = _file_system(self.folder)
-        out = to_arrow_schema(self.schema)
-        with system.open_input_stream(partition.path) as stream:
-            # a block at a time: memory does not grow with the file
-            rows = csv.open_csv(
-                stream, read_options=csv.ReadOptions(block_size=8 << 20),
-                parse_options=csv.ParseOptions(newlines_in_values=self.table in shape.multi_line),
-                convert_options=csv.ConvertOptions(
-                    include_columns=own, column_types={c: pa.string() for c in own}, strings_can_be_null=True, null_values=[""],
-                    quoted_strings_can_be_null=True))
-            for batch in rows:
-                columns = []
-                for column, field, kind in zip(batch.columns, self.schema, out.types):
-                    values = column.to_pylist() if not pa.types.is_string(kind) else None
-                    if isinstance(field.dataType, DateType):
-                        column = pa.array([parse_day(v, days[field.name]) for v in values], kind)
-                    elif isinstance(field.dataType, IntegralType):
-                        column = pa.array([parse_whole(v, _BITS[field.dataType.typeName()]) for v in values], kind)
-                    elif values is not None:
-                        column = pa.array([parse_double(v) for v in values], kind)
-                    columns.append(column)
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+        size, done = BLOCK, 0
+        while True:
+            try:
+                with system.open_input_stream(partition.path) as stream:
+                    blocks = csv.open_csv(
+                        stream, read_options=csv.ReadOptions(block_size=size, use_threads=False),
+                        parse_options=csv.ParseOptions(newlines_in_values=self.table in shape.multi_line),
+                        convert_options=csv.ConvertOptions(
+                            include_columns=own, column_types={c: pa.string() for c in own}, strings_can_be_null=True,
+                            null_values=[""], quoted_strings_can_be_null=True))
+                    seen = 0
+                    for block in blocks:
+                        new = block.slice(max(done - seen, 0))
+                        seen += block.num_rows
+                        if new.num_rows:
+                            done = seen
+                            yield new
+                return
+            except pa.ArrowInvalid as error:
+                if "straddl" not in str(error) or size >= MOST_BLOCK:
+                    raise
+                size = min(size * 8, MOST_BLOCK)
+
+
+def _parsed(column, field: StructField, kind, days: dict[str, str]):
+    """A column of texts as its field's type."""
+    import pyarrow as pa
+
+    if pa.types.is_string(kind):
+        return column
+    if column.null_count == len(column):
+        return pa.nulls(len(column), kind)
+    values = column.to_pylist()
+    if isinstance(field.dataType, DateType):
+        return pa.array([parse_day(v, days[field.name]) for v in values], kind)
+    if isinstance(field.dataType, IntegralType):
+        return pa.array([parse_whole(v, _BITS[field.dataType.typeName()]) for v in values], kind)
+    return pa.array([parse_double(v) for v in values], kind)
 
 
 class LayoutReader(_Reads, DataSourceReader):

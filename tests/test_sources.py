@@ -260,3 +260,23 @@ def test_formats_have_a_partition_for_each_file_and_stream(spark, tmp_path):
         datasource.read_table(spark, str(tmp_path / "none"), "named_by_link", "plays").collect()
     with pytest.raises(Exception, match="no table"):
         datasource.read_table(spark, str(tmp_path), "named_by_link", "tours").collect()
+
+
+def test_formats_read_large_files_and_long_rows_in_bounded_memory(tmp_path):
+    import pyarrow as pa
+
+    from gapkit.sources import datasource
+
+    header = LANDED["named_by_link"]["plays"].splitlines()[0]
+    reader = datasource.LayoutReader("named_by_link", {"path": str(tmp_path), "table": "plays"}, datasource.table_schema("named_by_link", "plays"))
+    large = tmp_path / "large.csv"
+    large.write_text(header + "\n" + "".join(f"X{i},1,1,{i},0,u{i},{'n' * 8000}\n" for i in range(10000)))
+    before, most, keys = pa.total_allocated_bytes(), 0, []
+    for batch in reader.read(datasource.FilePartition(str(large))):
+        keys += batch.column(batch.schema.get_field_index("occasion_id")).to_pylist()
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert keys == [f"u{i}" for i in range(10000)] and most < 56 << 20  # of 80 MB
+    long = tmp_path / "long.csv"  # the note of a row in the middle has more bytes than a block
+    long.write_text(header + "\n" + "".join(f"X{i},1,1,{i},0,u{i},{'n,' * 5 if i != 40000 else 'n' * (20 << 20)}\n".replace("n,n,n,n,n,", '"n,\nn"') for i in range(80000)))
+    found = pa.Table.from_batches(list(reader.read(datasource.FilePartition(str(long)))))
+    assert found["occasion_id"].to_pylist() == [f"u{i}" for i in range(80000)] and found.num_rows == 80000
