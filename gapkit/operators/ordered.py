@@ -13,7 +13,8 @@ otherwise the join adds that filter to one branch only. Leave it off over plain
 twice is cheaper.
 
 With ``dealt=True`` the caller has done so already: the frame has the bucket in the column ``BUCKET`` and is distributed by
-``keys + BUCKET``, say by an aggregate over these and more columns.
+``keys + BUCKET``, say by an aggregate over these and more columns. Where that aggregate leaves out no value, ``rows`` are what it
+read: the edge table then takes its values from there, and the aggregate is made once.
 
 Without keys the edge table itself grows with the data, one row a bucket. It is then scanned as a *tree of partial results*: what
 is carried over an edge is associative (a sum, the last value, the last one that is not null), so blocks of ``FAN`` edges are
@@ -116,7 +117,7 @@ def _scan_level(edges: DataFrame, keys: Sequence[str | Column], wanted: Mapping[
 
 def _neighbour(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None, default, ahead: bool, share: bool, dealt: bool = False,
+    bucket: Column | None, default, ahead: bool, share: bool, dealt: bool = False, rows: DataFrame | None = None,
 ) -> DataFrame:
     shift = F.lead if ahead else F.lag
     fill = None if default is None else F.lit(default)
@@ -132,7 +133,7 @@ def _neighbour(
     w = Window.partitionBy(*keys, _B).orderBy(*order)
     at_edge = (F.lead(F.lit(1)) if ahead else F.lag(F.lit(1))).over(w).isNull()
     inner = tagged.withColumns({out: shift(value).over(w), _FIRST: at_edge})
-    edges = _edges(tagged, keys, share or dealt, edge_value.alias(_EDGE))
+    edges = _edges(tagged if rows is None else rows, keys, share or dealt, edge_value.alias(_EDGE))
     carried = _scan(edges, keys, __next=("after" if ahead else "before", _EDGE)).where("__next is not null").select(
         *keys, _B, F.col("__next.v").alias(_EDGE), F.lit(True).alias("__hit"))
     joined = inner.join(carried, [*keys, _B], "left")
@@ -145,10 +146,10 @@ def _neighbour(
 
 def lag_value(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-    bucket: Column | None = None, default=None, share: bool = False, dealt: bool = False,
+    bucket: Column | None = None, default=None, share: bool = False, dealt: bool = False, rows: DataFrame | None = None,
 ) -> DataFrame:
     """Value of the previous row of the key."""
-    return _neighbour(df, keys, order, value, out, bucket, default, ahead=False, share=share, dealt=dealt)
+    return _neighbour(df, keys, order, value, out, bucket, default, ahead=False, share=share, dealt=dealt, rows=rows)
 
 
 def lead_value(

@@ -99,16 +99,23 @@ def play_points(
     # Where few plays share a point there is nothing to combine, and one exchange of the plays by item and bucket serves the
     # aggregate, the window and its edges. Where old history folds, or a day's plays do, the aggregate combines first.
     dealt = bucket is not None and not fold_old
+    point = "__point"
     if dealt:
-        narrow = narrow.withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
-    points = narrow.groupBy(*keys, *([BUCKET] if dealt else []), "__point", *flags).agg(
-        F.max("occ_seq").alias("occ_seq"),
-        F.max("occ_date").alias("occ_date"),
+        # a point is a sequence number itself here: under that name the window finds the rows sorted
+        point = "occ_seq"
+        narrow = narrow.drop("occ_seq").withColumnRenamed("__point", point).withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
+    # dealt rows are sorted and aggregated in a stream (see ``session.prepare``): a task holds one sort, which spills, and no hash tables
+    found = narrow.sortWithinPartitions(*keys, BUCKET, point, *flags, F.desc_nulls_last("occ_date")) if dealt else narrow
+    points = found.groupBy(*keys, *([BUCKET] if dealt else []), point, *flags).agg(
+        *([] if dealt else [F.max("occ_seq").alias("occ_seq")]),
+        # the latest day; Spark drops a sort below aggregates that do not depend on it
+        (F.first("occ_date", ignorenulls=True) if dealt else F.max("occ_date")).alias("occ_date"),
         plays_at_point.alias("n_plays"),
         F.min("__rank").alias("__rank"),
     ).withColumn("leads", (F.col("__rank") % 2 == 0).cast("int")).drop("__point")
     order = ["occ_seq", "__rank"] if spec.repeat_policy == "flag_after" else ["occ_seq"]
-    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", bucket, share=not dealt, dealt=dealt)
+    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", bucket, share=not dealt, dealt=dealt,
+                       rows=narrow if dealt else None)
     counted = lagged.where("n_plays > 0").drop("__rank", BUCKET)
     if tails is None:
         return counted

@@ -209,3 +209,22 @@ def test_plans_have_no_cross_join(spark):
         for df in (rankings.overdue(bundle, preset, AS_OF), rankings.rotation(bundle, preset, AS_OF)):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_dealt_points_hold_no_hash_table_and_edges_read_the_plays(spark):
+    import re
+
+    from gapkit.plans.history import play_points
+    from gapkit.session import prepare
+    from gapkit.spec import PRESETS, Bundle
+
+    prepare(spark)
+    plays = spark.createDataFrame([(o, f"i{o % 3}", 1, 0) for o in range(60)] * 2, "occasion_id long, item_id string, position int, is_repeat int")
+    calendar = spark.range(60).selectExpr("id AS occasion_id", "id * 40000 AS occ_seq", "DATE'2000-01-01' + CAST(id AS int) AS occ_date")
+    points = play_points(Bundle(plays, calendar), PRESETS["named_by_link"].with_options(title_case=False, history_blacklist=()))
+    found = {(r.item_id, r.occ_seq, r.prev_seq, str(r.occ_date), r.n_plays) for r in points.collect()}
+    day = calendar.selectExpr("occ_seq", "CAST(occ_date AS string) d").collect()
+    days = {r.occ_seq: r.d for r in day}
+    assert found == {(f"i{o % 3}", o * 40000, (o - 3) * 40000 if o > 2 else None, days[o * 40000], 1) for o in range(60)}
+    plan = points._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not re.search(r"HashAggregate\(keys?=\[item_id[^\]]*occ_seq", plan) and len(re.findall(r"SortAggregate\(keys?=\[item_id[^\]]*occ_seq", plan)) == 1
