@@ -70,6 +70,20 @@ def new_rows(
     return fresh.join(_renamed(known, keys), _same(keys), "left_anti")
 
 
+def new_rows_merged(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]
+) -> DataFrame:
+    """As ``new_rows``, for an increment as large as the stored table: both are shuffled once, to one place for each key.
+
+    The keys go as a struct, which is never null and equal where its fields are equal or both null, so a plain join finds the rows
+    dealt out and sorted as the first of each key was picked.
+    """
+    keys, whole = list(keys), F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    fresh = keep_first(incoming.withColumn("__key", whole), ["__key"], order)
+    known = existing.select(whole.alias("__key"))
+    return fresh.join(known, "__key", "left_anti").select(*incoming.columns)
+
+
 def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
 

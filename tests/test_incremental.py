@@ -289,3 +289,23 @@ def test_a_bucketed_table_is_not_shuffled(spark, sides, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS bucketed_plays")
         spark.sql("DROP TABLE IF EXISTS again")
+
+
+def test_merged_new_rows_equal_new_rows_with_one_shuffle_of_each_side(spark):
+    import re
+
+    from gapkit.streaming.incremental import new_rows, new_rows_merged
+
+    schema = "a long, b string, v int"
+    stored = spark.createDataFrame([(i % 50, None if i % 7 == 0 else f"b{i % 5}", i) for i in range(120)], schema)
+    landed = spark.createDataFrame([(None if i % 11 == 0 else i % 80, None if i % 6 == 0 else f"b{i % 6}", i % 9) for i in range(600)], schema)
+    want = sorted(map(tuple, new_rows(stored, landed, ["a", "b"], ["v"]).collect()), key=repr)
+    merged = new_rows_merged(stored, landed, ["a", "b"], ["v"])
+    assert merged.columns == landed.columns and sorted(map(tuple, merged.collect()), key=repr) == want and want
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = new_rows_merged(stored, landed, ["a", "b"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(re.findall("Exchange hashpartitioning", plan)) == 2, plan
