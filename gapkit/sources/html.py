@@ -6,7 +6,7 @@ browser does: end tags may be missing, and cells may span columns and rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,20 +68,34 @@ _TABLE = r"(?is)<table\b[^>]*>(.*?)(?=<table\b|</table\s*>|\z)"
 MOST_COLUMNS, MOST_ROWS = 1000, 65534  # what a span may say at most
 
 
+_SPANNED = r"(?i)(?:col|row)span"  # tables without these words have no spans
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: functions over arrays are not compiled, so a repeated expression is evaluated
+    each time it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _span(tag: Column, name: str, most: int) -> Column:
     """The number of an attribute, 1 if it says nothing sensible."""
-    said = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?\s*(\d{{1,9}})", 1)
-    number = F.when(said != "", F.least(said.cast("int"), F.lit(most)))  # ``least`` passes over nulls
-    return F.when(number > 0, number).otherwise(1)
+
+    def number(said: Column) -> Column:
+        return F.when(said.rlike("[1-9]"), F.least(said.cast("int"), F.lit(most))).otherwise(1)
+
+    return _bound(F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?\s*(\d{{1,9}})", 1), number)
+
+
+def _text(cell: Column) -> Column:
+    return cell_text(F.regexp_extract(cell, r"(?s)^[^>]*>(.*)$", 1))
 
 
 def _cells(row: Column) -> Column:
     """Text, columns and rows of each cell of a row's markup."""
 
     def cell(x: Column) -> Column:
-        tag = F.regexp_extract(x, r"(?s)^([^>]*)>", 1)
-        return F.struct(cell_text(F.regexp_extract(x, r"(?s)^[^>]*>(.*)$", 1)).alias("text"),
-                        _span(tag, "colspan", MOST_COLUMNS).alias("columns"), _span(tag, "rowspan", MOST_ROWS).alias("rows"))
+        return _bound(F.regexp_extract(x, r"(?s)^([^>]*)>", 1), lambda tag: F.struct(
+            _text(x).alias("text"), _span(tag, "colspan", MOST_COLUMNS).alias("columns"), _span(tag, "rowspan", MOST_ROWS).alias("rows")))
 
     return F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), cell)
 
@@ -118,11 +132,15 @@ def table_grid(pages: DataFrame, table_no: int | None = None) -> DataFrame:
     tables = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_TABLE), F.lit(1))).alias("table_no", "__table"))
     if table_no is not None:
         tables = tables.where(F.col("table_no") == table_no)
-    rows = F.filter(F.transform(F.regexp_extract_all("__table", F.lit(_ROW), F.lit(1)), _cells), lambda c: F.size(c) > 0)
-    found = tables.withColumn("__rows", rows).drop("__table")
-    plain = F.forall(F.flatten("__rows"), lambda c: (c["columns"] == 1) & (c["rows"] == 1))
-    texts = F.transform("__rows", lambda r: F.transform(r, lambda c: c["text"]))
-    easy = found.where(plain).select("page_id", "table_no", texts.alias("grid"))
+
+    def rows(cells: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(F.regexp_extract_all("__table", F.lit(_ROW), F.lit(1)), cells), lambda c: F.size(c) > 0)
+
+    # the markup tells which tables may have spans, so each is parsed once, and that is not moved below a filter on what it gives
+    spans = F.col("__table").rlike(_SPANNED)
+    texts = rows(lambda row: F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), _text))
+    easy = tables.where(~spans).select("page_id", "table_no", F.posexplode(texts).alias("row_no", "cells"))
+    found = tables.where(spans).select("page_id", "table_no", rows(_cells).alias("rows"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +148,8 @@ def table_grid(pages: DataFrame, table_no: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), grids], names=["page_id", "table_no", "grid"])
 
     # only tables with spans leave the JVM
-    spanned = found.where(~plain).mapInArrow(place, easy.schema)
-    return easy.unionByName(spanned).select("page_id", "table_no", F.posexplode("grid").alias("row_no", "cells"))
+    spanned = found.mapInArrow(place, tables.select("page_id", "table_no", F.lit(None).cast("array<array<string>>").alias("grid")).schema)
+    return easy.unionByName(spanned.select("page_id", "table_no", F.posexplode("grid").alias("row_no", "cells")))
 
 
 def links(pages: DataFrame, pattern: str = r'href="([^"]+)"') -> DataFrame:

@@ -280,3 +280,11 @@ def test_formats_read_large_files_and_long_rows_in_bounded_memory(tmp_path):
     long.write_text(header + "\n" + "".join(f"X{i},1,1,{i},0,u{i},{'n,' * 5 if i != 40000 else 'n' * (20 << 20)}\n".replace("n,n,n,n,n,", '"n,\nn"') for i in range(80000)))
     found = pa.Table.from_batches(list(reader.read(datasource.FilePartition(str(long)))))
     assert found["occasion_id"].to_pylist() == [f"u{i}" for i in range(80000)] and found.num_rows == 80000
+
+
+def test_each_table_is_parsed_once(spark):
+    pages = spark.createDataFrame([(0, "<table><tr><td>a</table><table><tr><td COLSPAN = '2'>b<td rowspan=007>c<tr><td>d</table>")], "page_id int, html string")
+    found = html.table_grid(pages)
+    assert [r.cells for r in found.orderBy("table_no", "row_no").collect()] == [["a"], ["b", "b", "c"], ["d", None, "c"]]
+    # once for tables with spans, once for others; not again in filters below
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?is)<tr") == 2
