@@ -29,7 +29,7 @@ def capitalize_first(text: Column) -> Column:
 
 
 def count_of(text: Column, char: str) -> Column:
-    """Number of occurrences of one character."""
+    """Number of occurrences of one character, or the characters in all occurrences of a text."""
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
@@ -61,16 +61,11 @@ def split_place(text: Column) -> tuple[Column, Column, Column]:
 
     With fewer separators the pieces fill from the left and the rest is null.
     """
-    two = r"(?s)^(.*?), (.*)$"
-    tail = r"(?s)^(.*), ((?:(?!, ).)*), ((?:(?!, ).)*)$"
-    has_three, has_two = text.rlike(tail), text.rlike(two)
-    venue = F.when(has_three, F.regexp_extract(text, tail, 1)).when(
-        has_two, F.regexp_extract(text, two, 1)
-    ).otherwise(text)
-    city = F.when(has_three, F.regexp_extract(text, tail, 2)).when(
-        has_two, F.regexp_extract(text, two, 2)
-    )
-    state = F.when(has_three, F.regexp_extract(text, tail, 3))
+    parts = count_of(text, ", ")  # two characters each
+    last_two = F.substring_index(text, ", ", -2)
+    venue = F.when(parts >= 4, F.left(text, F.length(text) - F.length(last_two) - 2)).otherwise(F.substring_index(text, ", ", 1))
+    city = F.when(parts >= 4, F.substring_index(last_two, ", ", 1)).when(parts == 2, F.substring_index(text, ", ", -1))
+    state = F.when(parts >= 4, F.substring_index(text, ", ", -1))
     return venue, city, state
 
 

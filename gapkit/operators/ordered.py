@@ -64,6 +64,11 @@ def _edges(tagged: DataFrame, keys: Sequence[str], share: bool, *aggs: Column) -
     return tagged.groupBy(*keys, _B).agg(*aggs, touched.alias("__touch")).where("__touch IS NOT NULL").drop("__touch")
 
 
+def bucket_ends(dealt: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
+    """Aggregates of each key and bucket of a frame that is dealt out by these, from the exchange that its other readers have."""
+    return _edges(dealt, keys, True, *aggs)
+
+
 FAN = 4096
 _BLOCK = "__block"
 
@@ -268,46 +273,73 @@ def carry_forward(
 
 def running_breaks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], here: Column, breaks: Callable[[Column, Column], Column],
-    out: str, bucket: Column,
+    out: str, bucket: Column, blocks: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Running sum, from 1, of ``breaks(before, now)``: 1 where a row does not go on with the one before it, else 0.
 
     One window in each bucket gives the breaks inside it. The edge table has each bucket's first and last value of ``here``
     and its breaks, from the same exchange; the break between two buckets is told from the last and first of these.
+
+    ``blocks`` names columns for 1-based positions among the rows that follow each other with equal values, null or not, of some
+    columns; the first order column then counts the rows of a key without gaps. They come from the same window and edges.
     """
     # rows without a place in the order are left out here, for both readers of the exchange
     tagged = _tag(df.where(bucket.isNotNull()).withColumn("__here", here), keys, bucket, share=True)
     w = Window.partitionBy(*keys, _B).orderBy(*order)
+    upto, seq, starts = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), F.col(order[0]), F.lag(F.lit(1)).over(w).isNull()
+    blocks = {name: F.struct(*columns) for name, columns in (blocks or {}).items()}
     before = F.lag("__here").over(w)
-    stepped = tagged.withColumn("__step", F.when(F.lag(F.lit(1)).over(w).isNull(), 0).otherwise(breaks(before, F.col("__here"))))
-    inner = stepped.withColumn(out, F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # where a block begins inside a bucket; whether one does at its first row shows at the edges
+    begins = {f"__at_{name}": F.when(~starts & ~F.lag(block).over(w).eqNullSafe(block), seq) for name, block in blocks.items()}
+    stepped = tagged.withColumns({"__step": F.when(starts, 0).otherwise(breaks(before, F.col("__here"))), **begins})
+    inner = stepped.withColumns({out: F.sum("__step").over(upto), **{
+        name: F.last(f"__at_{name}", ignorenulls=True).over(upto) for name in blocks}})
     rank = _order_value(order)
+    ends = [how.alias(f"__{part}_{name}") for name, block in blocks.items() for part, how in (
+        ("head", F.min_by(block, rank)), ("tail", F.max_by(block, rank)), ("last", F.max(f"__at_{name}")))]
     edges = _edges(stepped, keys, True, F.min_by("__here", rank).alias("__head"), F.max_by("__here", rank).alias("__tail"),
-                   F.sum("__step").alias("__inside"))
-    offsets = _break_offsets(edges, keys, breaks)
+                   F.sum("__step").alias("__inside"), *([F.min(seq).alias("__from")] if blocks else []), *ends)
+    offsets = _break_offsets(edges, keys, breaks, list(blocks))
     joined = inner.join(offsets, [*keys, _B])
-    return joined.withColumn(out, F.col(out) + F.col(_EDGE)).select(*df.columns, out)
+    places = {name: (seq - F.coalesce(name, f"__start_{name}") + 1).cast("long") for name in blocks}
+    return joined.withColumns({out: F.col(out) + F.col(_EDGE), **places}).select(*df.columns, *blocks, out)
 
 
-def _break_offsets(edges: DataFrame, keys: Sequence[str], breaks: Callable[[Column, Column], Column]) -> DataFrame:
+def _break_offsets(
+    edges: DataFrame, keys: Sequence[str], breaks: Callable[[Column, Column], Column], blocks: Sequence[str] = ()
+) -> DataFrame:
     """The breaks up to the first row of each bucket, from ``__head, __tail, __inside`` of the buckets. The first row of a key
-    starts run 1."""
+    starts run 1. Of each name in ``blocks`` also where the block of that first row begins, as ``__start_<name>``, from ``__from`` and
+    the block's ``__head, __tail, __last``."""
 
-    def scanned(rows: DataFrame, groups: Sequence[str | Column], first: Column) -> DataFrame:
+    def scanned(rows: DataFrame, groups: Sequence[str | Column], top: bool) -> DataFrame:
         w = Window.partitionBy(*groups).orderBy(_B)
-        entered = F.when(F.lag(F.lit(1)).over(w).isNull(), first).otherwise(breaks(F.lag("__tail").over(w), F.col("__head"))).cast("long")
-        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("__entered", entered).withColumn(
-            _EDGE, F.coalesce(F.sum(F.col("__entered") + F.col("__inside")).over(earlier), F.lit(0)) + F.col("__entered"))
-
+        earlier, leads = w.rowsBetween(Window.unboundedPreceding, -1), F.lag(F.lit(1)).over(w).isNull()
+        entered = F.when(leads, F.lit(1 if top else 0)).otherwise(breaks(F.lag("__tail").over(w), F.col("__head"))).cast("long")
+        own = {}
+        for name in blocks:
+            begins = F.when(leads, F.lit(top)).otherwise(~F.lag(f"__tail_{name}").over(w).eqNullSafe(F.col(f"__head_{name}")))
+            own[f"__own_{name}"] = F.when(begins, F.col("__from"))
+        found = rows.withColumns({"__entered": entered, **own}).withColumns(
+            {f"__last_{name}": F.coalesce(f"__last_{name}", f"__own_{name}") for name in blocks})
+        return found.withColumns({
+            _EDGE: F.coalesce(F.sum(F.col("__entered") + F.col("__inside")).over(earlier), F.lit(0)) + F.col("__entered"),
+            **{f"__start_{name}": F.coalesce(f"__own_{name}", F.last(f"__last_{name}", ignorenulls=True).over(earlier)) for name in blocks}})
+
+    starts = [f"__start_{name}" for name in blocks]
     if not _is_tree(edges, keys):
-        return scanned(edges, list(keys) or [F.lit(0)], F.lit(1)).select(*keys, _B, _EDGE)
+        return scanned(edges, list(keys) or [F.lit(0)], True).select(*keys, _B, _EDGE, *starts)
     # whether a block's first bucket is entered by a break shows one level up
-    blocks = scanned(edges.withColumn(_BLOCK, F.floor(F.col(_B) / F.lit(FAN))), [_BLOCK], F.lit(0))
-    roots = blocks.groupBy(_BLOCK).agg(F.min_by("__head", _B).alias("__head"), F.max_by("__tail", _B).alias("__tail"),
-                                       F.sum(F.col("__entered") + F.col("__inside")).alias("__inside"))
-    above = scanned(roots.withColumnRenamed(_BLOCK, _B), [F.lit(0)], F.lit(1)).select(F.col(_B).alias(_BLOCK), F.col(_EDGE).alias("__above"))
-    return blocks.join(above, _BLOCK, "left").select(_B, (F.col(_EDGE) + F.col("__above")).alias(_EDGE))
+    inner = scanned(edges.withColumn(_BLOCK, F.floor(F.col(_B) / F.lit(FAN))), [_BLOCK], False)
+    ends = [how.alias(f"__{part}_{name}") for name in blocks for part, how in (
+        ("head", F.min_by(f"__head_{name}", _B)), ("tail", F.max_by(f"__tail_{name}", _B)), ("last", F.max(f"__last_{name}")))]
+    roots = inner.groupBy(_BLOCK).agg(F.min_by("__head", _B).alias("__head"), F.max_by("__tail", _B).alias("__tail"),
+                                      F.sum(F.col("__entered") + F.col("__inside")).alias("__inside"),
+                                      *([F.min("__from").alias("__from")] if blocks else []), *ends)
+    above = scanned(roots.withColumnRenamed(_BLOCK, _B), [F.lit(0)], True).select(
+        F.col(_B).alias(_BLOCK), F.col(_EDGE).alias("__above"), *[F.col(c).alias(f"{c}_above") for c in starts])
+    return inner.join(above, _BLOCK, "left").select(
+        _B, (F.col(_EDGE) + F.col("__above")).alias(_EDGE), *[F.coalesce(c, f"{c}_above").alias(c) for c in starts])
 
 
 def whole_group(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:

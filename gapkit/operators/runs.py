@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,11 +13,12 @@ from gapkit.spec import SEQ_BUCKET
 def run_index(
     df: DataFrame, place: str, order: Sequence[str], out: str = "run_index",
     keys: Sequence[str] = (), bucket: Column | None = None, date_col: str | None = None,
+    blocks: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Number the runs: a new one starts when the place changes or is unknown.
 
     With ``date_col`` a step other than one day also starts a run. The default bucket takes the first order
-    column as an integer sequence. The rows are dealt out once.
+    column as an integer sequence. The rows are dealt out once. ``blocks``: see :func:`running_breaks`.
     """
     keys, order = list(keys), list(order)
     bucket = seq_bucket(order[0], SEQ_BUCKET) if bucket is None else bucket
@@ -29,7 +30,7 @@ def run_index(
             same = same & (F.datediff(now["d"], before["d"]) == 1)
         return F.when(same, 0).otherwise(1).cast("long")
 
-    return running_breaks(df, keys, order, here, breaks, out, bucket)
+    return running_breaks(df, keys, order, here, breaks, out, bucket, blocks)
 
 
 def position_in_run(

@@ -7,10 +7,11 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gapkit.functions import parse_mdy2
 from gapkit.operators.lookups import correct_venue_and_city
 from gapkit.operators.ordered import carry_forward, seq_bucket
 from gapkit.operators.runs import run_index
-from gapkit.operators.sequence import global_sequence, sequence_within
+from gapkit.operators.sequence import global_sequence
 from gapkit.operators.sets import dimension, top_n
 from gapkit.plans.parse import parse_schedule, schedule_occasions
 
@@ -108,15 +109,18 @@ def linked_calendar(
 
     Numbered over all years and within each, with runs at one venue and corrected places. Runs follow the venue as
     printed. Occasions after the next one are left out.
+
+    Entries are numbered as they are parsed, before anything is derived from them. All else goes by that number: the letters of a
+    day in one pass by day, the runs and the places in a year, whose entries follow each other, in one by number.
     """
     entries = parse_schedule(schedules)
-    occasions = schedule_occasions(
-        entries, ["list_year", "entry_no"], F.struct("list_year", seq_bucket("entry_no")), link_prefix, link_suffix
-    )
-    numbered = global_sequence(occasions, ["list_year", "entry_no"], "occ_seq")
-    numbered = sequence_within(numbered, ["list_year"], "occ_seq", "seq_in_year")
-    runs = run_index(numbered, "venue", ["occ_seq"])
-    return up_to_first_future(correct_venue_and_city(runs), as_of, calendar=numbered)
+    numbered = global_sequence(entries, ["list_year", "entry_no"], "occ_seq")
+    occasions = schedule_occasions(numbered, ["occ_seq"], seq_bucket("occ_seq"), link_prefix, link_suffix)
+    runs = run_index(occasions, "venue", ["occ_seq"], blocks={"seq_in_year": ["list_year"]})
+    kept = [c for c in occasions.columns if c != "occ_seq"]
+    runs = runs.select(*kept, "occ_seq", "seq_in_year", "run_index")
+    dates = numbered.select(parse_mdy2(F.col("day_text")).alias("occ_date"))
+    return up_to_first_future(correct_venue_and_city(runs), as_of, calendar=dates)
 
 
 def next_occasion(

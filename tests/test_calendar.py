@@ -141,6 +141,24 @@ def test_linked_calendar(spark):
         ("20240105a", 4, 1, 2, "X"), ("20240701a", 5, 2, 3, "Y"), ("20240701b", 6, 3, 3, "Y")]
 
 
+def test_linked_calendar_over_many_buckets_deals_its_rows_out_twice(spark, monkeypatch):
+    rng = random.Random(8)
+    schedules = [(year, " ".join(f"01/{rng.randint(1, 9):02}/{year % 100:02} {rng.choice('AB')}, X, GA" for _ in range(7)))
+                 for year in range(1990, 2000)] + [(None, "01/01/92 A, X, GA ??/??/92 A, X, GA")]
+    df = spark.createDataFrame(schedules, "list_year int, text string")
+    whole = cal.linked_calendar(df, AS_OF)
+    want = sorted(map(tuple, whole.collect()), key=repr)
+    assert len(want) == 72
+    with monkeypatch.context() as m:
+        m.setattr(cal, "seq_bucket", lambda c: F.floor(F.col(c) / 5))
+        m.setattr("gapkit.operators.runs.SEQ_BUCKET", 4)
+        assert sorted(map(tuple, cal.linked_calendar(df, AS_OF).collect()), key=repr) == want
+    # the rows go once by day and once by number; the third such step, by year, is gone
+    plan = cal.linked_calendar(df, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = {line.split("RepartitionByExpression ")[1].split("]")[0].count("#") for line in plan.splitlines() if "RepartitionByExpression" in line}
+    assert dealt == {1, 2} and plan.count("list_year") and "Window [row_number() windowspecdefinition(list_year" not in plan
+
+
 @pytest.mark.parametrize("today", [True, False])
 def test_next_occasions_of_all_groups_and_days(spark, today, monkeypatch):
     monkeypatch.setattr(cal, "seq_bucket", lambda c: F.floor(F.col(c) / 5))

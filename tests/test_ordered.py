@@ -194,3 +194,16 @@ def test_without_keys_one_task_sees_blocks_only(spark, line, tmp_path):
     single = [i for i, x in enumerate(plan) if "Exchange SinglePartition" in x]
     assert single and all(any("keys=[__block" in y or "key=[__block" in y for y in plan[i:i + 8]) for i in single)
     assert sum("REPARTITION_BY_COL" in x and "Reused" not in x for x in plan) == 1
+
+
+@pytest.mark.parametrize("fan", [2, 4096])
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_positions_in_blocks_and_runs_from_one_exchange(spark, monkeypatch, fan, width):
+    monkeypatch.setattr(ordered, "FAN", fan)
+    rng = random.Random(11)
+    years = sorted((rng.choice([None, 1, 2, 3, 4, 5, 6]) for _ in range(150)), key=lambda y: y or 0)
+    line = spark.createDataFrame([(i + 1, y, rng.choice(["a", "b", None])) for i, y in enumerate(years)], "s long, y int, place string")
+    got = runs.run_index(line, "place", ["s"], bucket=ordered.seq_bucket("s", width), blocks={"n": ["y"]})
+    plain = runs.run_index(line, "place", ["s"], bucket=ordered.seq_bucket("s", 1000))
+    same(got.select("s", "n", "run_index"), plain.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("s")))
+         .select("s", "n", "run_index"))
