@@ -7,13 +7,21 @@ all. Folding combines copies map-side, and bounds what a window over an item can
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapkit.functions import py_title
-from gapkit.operators.ordered import BUCKET, lag_value, seq_bucket
+from gapkit.operators import ordered
+from gapkit.operators.ordered import BUCKET, bucket_ends, lag_value
 from gapkit.spec import SEQ_BUCKET, Bundle, GapSpec
 
 NO_POSITION = 2**31 - 1
+# Sequence numbers in one window of an item. The edge table has a row for each item and bucket that its plays touch: with narrow
+# buckets, nearly as many rows as there are plays. A window of this many points is one sort, which spills.
+POINT_BUCKET = 1 << 20
+seq_bucket = partial(ordered.seq_bucket, width=POINT_BUCKET)
 
 
 def counted_occasions(bundle: Bundle, spec: GapSpec) -> DataFrame:
@@ -53,24 +61,17 @@ def _point_bucket(spec: GapSpec) -> Column | None:
     return None if _fits_one_window(spec) else seq_bucket("occ_seq")
 
 
-def last_points(bundle: Bundle, spec: GapSpec) -> DataFrame:
-    """``tail_seq``: the sequence number of each item's last point."""
-    plays = dated_plays(bundle, spec, how="inner").where(F.col("occ_seq").isNotNull())
-    return plays.groupBy(*spec.group, "item_id").agg(F.max("occ_seq").alias("tail_seq"))
-
-
-def play_points(
-    bundle: Bundle, spec: GapSpec, since: Column | None = None, tails: DataFrame | None = None
-) -> DataFrame:
-    """One row per (item, sequence number), with ``prev_seq`` of the item's previous point.
+def between(bundle: Bundle, after: int, upto: int | None = None) -> Bundle:
+    """The bundle with the occasions after a sequence number, and up to another one; points know no plays of others."""
+    seq = F.col("occ_seq")
+    return replace(bundle, occasions=bundle.occasions.where((seq > after) & (seq <= upto) if upto is not None else seq > after))
 
-    An item's first point has no previous one, unless ``tails`` names one before all of these (``tail_seq``).
 
-    ``n_plays``        plays that count, repeats left out
-    ``leads``          1 when the first play at this point is no repeat, so that the gap belongs to it
+def _point_rows(bundle: Bundle, spec: GapSpec, since: Column | None = None) -> tuple[DataFrame, bool]:
+    """What points are made of, and whether it is dealt out by item and bucket.
 
-    With ``since`` all earlier plays of an item fold into one point without plays. Its only use is the gap of
-    the first later point, so just one row per item and map task of the old history is shuffled.
+    Where few plays share a point there is nothing to combine, and one exchange of the plays by item and bucket serves the aggregate,
+    the window and its edges, and the last points. Where old history folds, or a day's plays do, the aggregate combines first.
     """
     plays = dated_plays(bundle, spec, how="inner").where(F.col("occ_seq").isNotNull())
     keys = [*spec.group, "item_id"]
@@ -91,19 +92,44 @@ def play_points(
         *[F.when(recent, F.col(f)).alias(f) if fold_old else F.col(f) for f in flags],
         (F.when(recent, F.col("occ_seq")) if fold_old else F.col("occ_seq")).alias("__point"),
     )
+    bucket = _point_bucket(spec)
+    if bucket is None or fold_old:
+        return narrow, False
+    # a point is a sequence number itself here: under that name the window finds the rows sorted
+    narrow = narrow.drop("occ_seq").withColumnRenamed("__point", "occ_seq").withColumn(BUCKET, bucket)
+    return narrow.repartition(*keys, BUCKET), True
+
+
+def last_points(bundle: Bundle, spec: GapSpec) -> DataFrame:
+    """``tail_seq``: the sequence number of each item's last point. Where points are dealt out, from the same exchange."""
+    keys = [*spec.group, "item_id"]
+    rows, dealt = _point_rows(bundle, spec)
+    if dealt:
+        rows = bucket_ends(rows, keys, F.max("occ_seq").alias("occ_seq"))
+    return rows.groupBy(*keys).agg(F.max("occ_seq").alias("tail_seq"))
+
+
+def play_points(
+    bundle: Bundle, spec: GapSpec, since: Column | None = None, tails: DataFrame | None = None
+) -> DataFrame:
+    """One row per (item, sequence number), with ``prev_seq`` of the item's previous point.
+
+    An item's first point has no previous one, unless ``tails`` names one before all of these (``tail_seq``).
+
+    ``n_plays``        plays that count, repeats left out
+    ``leads``          1 when the first play at this point is no repeat, so that the gap belongs to it
+
+    With ``since`` all earlier plays of an item fold into one point without plays. Its only use is the gap of
+    the first later point, so just one row per item and map task of the old history is shuffled.
+    """
+    keys = [*spec.group, "item_id"]
+    flags = ["is_original"] if spec.flag_source == "play" else []
+    narrow, dealt = _point_rows(bundle, spec, since)
     if spec.repeat_policy == "flag_after":
         plays_at_point = F.count_if("__counts")
     else:
         plays_at_point = F.max(F.col("__counts").cast("long"))
-    bucket = _point_bucket(spec)
-    # Where few plays share a point there is nothing to combine, and one exchange of the plays by item and bucket serves the
-    # aggregate, the window and its edges. Where old history folds, or a day's plays do, the aggregate combines first.
-    dealt = bucket is not None and not fold_old
-    point = "__point"
-    if dealt:
-        # a point is a sequence number itself here: under that name the window finds the rows sorted
-        point = "occ_seq"
-        narrow = narrow.drop("occ_seq").withColumnRenamed("__point", point).withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
+    point = "occ_seq" if dealt else "__point"
     # dealt rows are sorted and aggregated in a stream (see ``session.prepare``): a task holds one sort, which spills, and no hash tables
     found = narrow.sortWithinPartitions(*keys, BUCKET, point, *flags, F.desc_nulls_last("occ_date")) if dealt else narrow
     points = found.groupBy(*keys, *([BUCKET] if dealt else []), point, *flags).agg(
@@ -114,7 +140,7 @@ def play_points(
         F.min("__rank").alias("__rank"),
     ).withColumn("leads", (F.col("__rank") % 2 == 0).cast("int")).drop("__point")
     order = ["occ_seq", "__rank"] if spec.repeat_policy == "flag_after" else ["occ_seq"]
-    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", bucket, share=not dealt, dealt=dealt,
+    lagged = lag_value(points, keys, [*order, *flags], "occ_seq", "prev_seq", _point_bucket(spec), share=not dealt, dealt=dealt,
                        rows=narrow if dealt else None)
     counted = lagged.where("n_plays > 0").drop("__rank", BUCKET)
     if tails is None:
@@ -164,9 +190,13 @@ def _history_in_one_pass(plays: DataFrame, keys: list[str], spec: GapSpec) -> Da
     """
     seq = F.col("occ_seq")
     orphan = F.when(seq.isNull(), F.col("occasion_id"))
+    fixed, rest = _tie_parts(plays, spec)
+    named = {f"__{i}": c for i, c in enumerate(fixed)}
     bucket = F.when(seq.isNull(), -1 - F.pmod(F.hash("occasion_id"), F.lit(_UNSEATED))).otherwise(seq_bucket("occ_seq"))
-    placed = plays.withColumns({"__at": F.struct(seq.alias("seq"), orphan.alias("orphan")), "__tie": _tie_break(plays, spec)})
-    lagged = lag_value(placed, keys, ["__at", "__tie"], "__at", "__before", bucket, share=True)
+    # plays are dealt out as they are; what orders them is made of their columns where they lie
+    dealt = plays.withColumn(BUCKET, bucket).repartition(*keys, BUCKET)
+    placed = dealt.withColumns({"__at": F.struct(seq.alias("seq"), orphan.alias("orphan")), **named})
+    lagged = lag_value(placed, keys, ["__at", *named, *rest], "__at", "__before", dealt=True)
     later = F.col("__before").isNotNull() & F.col("__before").eqNullSafe(F.col("__at"))
     if spec.repeat_policy == "dedupe_before":
         lagged = lagged.where(~later)
@@ -175,12 +205,16 @@ def _history_in_one_pass(plays: DataFrame, keys: list[str], spec: GapSpec) -> Da
 
 def _tie_break(plays: DataFrame, spec: GapSpec) -> Column:
     """Order of the plays of one item at one occasion: position, main plays first, then all columns."""
+    fixed, rest = _tie_parts(plays, spec)
+    return F.struct(*fixed, *rest)
+
+
+def _tie_parts(plays: DataFrame, spec: GapSpec) -> tuple[list[Column], list[str]]:
     fixed = [F.coalesce(F.col("position"), F.lit(NO_POSITION)).alias("p")] if "position" in plays.columns else []
     if "is_repeat" in plays.columns:
         fixed.append(F.when(F.col("is_repeat").eqNullSafe(0), 0).otherwise(1).alias("r"))
     used = {*spec.group, "item_id", "occ_seq", "occ_date", "position", "is_repeat"}
-    rest = [c for c in plays.columns if c not in used]
-    return F.struct(*fixed, *rest)
+    return fixed, [c for c in plays.columns if c not in used]
 
 
 def first_play(plays: DataFrame, spec: GapSpec) -> DataFrame:
