@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gapkit.functions import days_before, format_day, gap_zscore, round2, sample_std
-from gapkit.plans.history import counted_occasions, play_points
+from gapkit.plans.history import between, counted_occasions, play_points
 from gapkit.spec import Bundle, GapSpec, as_day
 
 if TYPE_CHECKING:
@@ -67,13 +67,11 @@ def item_stats(
 
     Gaps come from the whole history, also with ``since``. Mean, median and spread are rounded to 2 digits.
     The exact median is a histogram of gaps: an item over S occasions has at most about sqrt(2 S) distinct
-    gaps, since they sum to no more than S. ``closed`` holds the plays before those of ``bundle``.
+    gaps, since they sum to no more than S. ``closed`` holds the plays up to its cut; only later ones are read from ``bundle``.
     """
-    points = play_points(bundle, spec, since, None if closed is None else closed.tails)
-    spans = gap_rows(points, spec)
-    if closed is not None and since is None:
-        spans = spans.select(*closed.histogram.columns).unionByName(closed.histogram)
-    named, stat_keys = _with_stat_keys(spans, bundle, spec)
+    part = bundle if closed is None else between(bundle, closed.cut)
+    points = play_points(part, spec, since, None if closed is None else closed.tails)
+    named, stat_keys = _with_stat_keys(gap_rows(points, spec), bundle, spec, closed.histogram if closed is not None and since is None else None)
     g = F.col("gap").cast("double")
     n_gaps = F.sum(F.when(F.col("gap").isNotNull(), F.col("w")))
     raw = named.groupBy(*stat_keys).agg(
@@ -97,9 +95,12 @@ def item_stats(
     )
 
 
-def _with_stat_keys(rows: DataFrame, bundle: Bundle, spec: GapSpec) -> tuple[DataFrame, list[str]]:
+def _with_stat_keys(rows: DataFrame, bundle: Bundle, spec: GapSpec, folded: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows with what statistics go by; ``folded`` are more rows, folded already, which are not shuffled to be folded again."""
     keys = [*spec.group, "item"]
     if not spec.by_item_name:
+        if folded is not None:
+            rows = rows.select(*folded.columns).unionByName(folded)
         return rows.withColumnRenamed("item_id", "item"), keys
     catalog = ["item_id", "item"]
     if spec.flag_source == "item":
@@ -116,6 +117,8 @@ def _with_stat_keys(rows: DataFrame, bundle: Bundle, spec: GapSpec) -> tuple[Dat
         F.min_by("first_date", "first_seq").alias("first_date"),
         F.max_by("last_date", "last_seq").alias("last_date"),
     )
+    if folded is not None:
+        rows = rows.unionByName(folded)
     group = [c for c in spec.group if c in bundle.items.columns]
     named = rows.join(bundle.items.select(*group, *catalog), [*group, "item_id"])
     # plays without a name or a flag belong to no item

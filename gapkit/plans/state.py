@@ -15,7 +15,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gapkit.plans.history import counted_occasions, last_points, play_points
+from gapkit.plans.history import between, counted_occasions, last_points, play_points
 from gapkit.plans.rankings import SPANS, gap_rows, overdue, rotation
 from gapkit.sources.tables import current_version, store_version
 from gapkit.spec import Bundle, GapSpec, as_day
@@ -39,14 +39,6 @@ def cut_before(bundle: Bundle, spec: GapSpec, day: date | str) -> int:
     return past.agg(F.coalesce(F.max("occ_seq"), F.lit(0)).cast("long")).first()[0]
 
 
-def between(bundle: Bundle, spec: GapSpec, after: int, upto: int | None = None) -> Bundle:
-    """The plays of occasions after a sequence number, and up to another one. Occasions stay whole: their last number counts."""
-    keys = [*spec.group, "occasion_id"]
-    seq = F.col("occ_seq")
-    chosen = bundle.occasions.where((seq > after) & (seq <= upto) if upto is not None else seq > after)
-    return replace(bundle, plays=bundle.plays.join(chosen.select(*keys).distinct(), keys, "left_semi"))
-
-
 def _keys(spec: GapSpec) -> list[str]:
     return [*spec.group, "item_id", *(["is_original"] if spec.flag_source == "play" else [])]
 
@@ -64,7 +56,7 @@ def close(bundle: Bundle, spec: GapSpec, cut: int, state: GapState | None = None
         raise ValueError("sequence numbers of groups differ: keep one state for each group")
     if state is not None and state.cut > cut:
         raise ValueError(f"the state is closed up to {state.cut}, after {cut}")
-    part = between(bundle, spec, state.cut if state is not None else -(1 << 31), cut)
+    part = between(bundle, state.cut if state is not None else -(1 << 31), cut)
     points = play_points(part, spec, tails=state.tails if state is not None else None)
     rows, ends = gap_rows(points, spec).select(*_keys(spec), "gap", "w", *SPANS), last_points(part, spec)
     if state is not None:
@@ -98,7 +90,7 @@ def load(spark: SparkSession, path: str) -> GapState | None:
 
 def overdue_from(state: GapState, bundle: Bundle, spec: GapSpec, as_of: date | str) -> DataFrame:
     """The overdue ranking of all plays, from the state and the plays of ``bundle`` after its cut."""
-    return overdue(between(bundle, spec, state.cut), spec, as_of, closed=state)
+    return overdue(bundle, spec, as_of, closed=state)
 
 
 def rotation_from(state: GapState, bundle: Bundle, spec: GapSpec, as_of: date | str) -> DataFrame:
@@ -107,4 +99,4 @@ def rotation_from(state: GapState, bundle: Bundle, spec: GapSpec, as_of: date |
     inside = counted_occasions(bundle, spec).where((F.col("occ_seq") <= state.cut) & (F.col("occ_date") > F.lit(since)))
     if not inside.isEmpty():
         raise ValueError(f"the state is closed up to {state.cut}, inside the window from {since} on")
-    return rotation(between(bundle, spec, state.cut), spec, as_of, closed=state)
+    return rotation(bundle, spec, as_of, closed=state)

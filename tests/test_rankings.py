@@ -228,3 +228,21 @@ def test_dealt_points_hold_no_hash_table_and_edges_read_the_plays(spark):
     assert found == {(f"i{o % 3}", o * 40000, (o - 3) * 40000 if o > 2 else None, days[o * 40000], 1) for o in range(60)}
     plan = points._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert not re.search(r"HashAggregate\(keys?=\[item_id[^\]]*occ_seq", plan) and len(re.findall(r"SortAggregate\(keys?=\[item_id[^\]]*occ_seq", plan)) == 1
+
+
+def test_rows_are_dealt_out_once_for_all_their_readers(spark):
+    spec = PRESETS["keyed_with_repeats"]
+    bundle = bundle_of(spark, *make(9, n_occasions=30))
+    found = history.play_history(bundle, spec)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+    # what orders the plays is made after they were dealt out
+    dealt = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "named_struct" not in dealt.split("Join")[0]
+
+
+def test_statistics_by_the_ranked_columns_are_not_sampled_for_the_sort(spark):
+    bundle = bundle_of(spark, *make(9, n_occasions=30))
+    ranking = rankings.overdue(bundle, PRESETS["named_by_date"], AS_OF)
+    assert "REPARTITION_BY_COL" in ranking._jdf.queryExecution().executedPlan().toString()

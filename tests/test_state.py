@@ -59,3 +59,20 @@ def test_what_a_state_cannot_answer_is_refused(spark):
     with pytest.raises(ValueError, match="each group"):
         gap_state.close(bundle, spec.with_options(group=("g",)), 20)
     assert gap_state.cut_before(bundle, spec, "1990-01-01") == 0
+
+
+def test_a_state_reads_the_plays_in_one_pass(spark, tmp_path):
+    spec = _spec("keyed_with_repeats")
+    bundle = bundle_of(spark, *make(6, n_occasions=30))
+    first = gap_state.store(gap_state.close(bundle, spec, 12), str(tmp_path / "s"))
+    both = gap_state.close(bundle, spec, 20, first)
+    # the calendar tells which plays are read, and last points come from the exchange of the points
+    assert "LeftSemi" not in both.histogram._jdf.queryExecution().optimizedPlan().toString()
+    table = both.histogram.withColumn("tail_seq", F.lit(None).cast("long")).unionByName(both.tails, allowMissingColumns=True)
+    table.collect()
+    final = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") >= 2, final
+    # closed rows, which are folded, are not folded again
+    ranked = gap_state.overdue_from(both, bundle, spec, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    above = ranked[:ranked.index("Union")]
+    assert above.count("Aggregate") == 1, above
