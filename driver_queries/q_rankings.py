@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from driver_queries import bind
 from driver_queries.bind import AS_OF, table
 from driver_queries.registry import DATED, ITEMS, NAMED_PLAYS, NUMBERED, PLAYS, VENUES, query, r2
+from gapkit.llm.shared import stored
 from gapkit.operators.lookups import point_lookup
 from gapkit.plans import calendar as cal, history, rankings, reports, state as gap_state
 from gapkit.session import ensure_checkpoint_dir
@@ -420,6 +421,8 @@ def _group_inputs(spark, sf_dir):
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("source", "occasion_id", "item_id")
     )
+    # the calendar and the ranking both read them, each its own columns, so the join is made once
+    plays = stored(plays, "group-plays")
     from gapkit.operators.sequence import date_sequence
     days = date_sequence(plays, "occasion_id", "occ_seq", ["source"])
     policies = table(spark, sf_dir, "nation").select(
