@@ -1,9 +1,11 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gapkit.llm.packing import Deal, PackParams, packed
+from gapkit.llm.packing import Deal, PackParams, WordTokens, packed
+from gapkit.llm.words import words_of
 
 from .helpers import documents, empty, frame, thue_morse, with_clashes
 
@@ -71,3 +73,29 @@ def test_ranks_are_the_order_of_due_times():
     due = sorted(((2 * j + 1) / deal.weights[q], q, j) for q in range(4) for j in range(int(deal.quanta[q])))
     queue, j = np.array([d[1] for d in due]), np.array([d[2] for d in due])
     assert deal.rank(queue, j).tolist() == list(range(len(due)))
+
+
+def test_words_go_to_the_tokenizer_in_blocks():
+    """New words are not encoded one by one, and each still has its own ids, the ones of marks that join and of none as well."""
+    marks = ["\u0301e", "e\u0301", "\u1100\u1161", "\u00a0", "a\u2003b", "\u200b", "\u212a", "x" * 300, "<|endof", "text|>"]
+    texts = [" ".join([f"word{i}", marks[i % len(marks)], f"{i}th's"]) for i in range(400)] + HARD + [""]
+    sent = []
+
+    class Counted:
+        def encode_batch(self, some, **kw):
+            sent.extend(some)
+            return TOKENIZER.encode_batch(some, **kw)
+
+        encode_batch_fast = encode_batch
+
+    tokens = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    tokens.tokenizer = Counted()
+    words = words_of(pa.array(texts))
+    for _ in range(2):  # the second time all words are known
+        ids, counts = tokens(words)
+        at = np.concatenate([[0], np.cumsum(counts)])[words.bounds]
+        for text, lo, hi in zip(texts, at, at[1:]):
+            assert ids[lo:hi].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert len(sent) <= len(words.starts) // 50
+    each = [len(TOKENIZER.encode(bytes(words.data[a:b]).decode(), add_special_tokens=False).ids) for a, b in zip(words.starts, words.ends)]
+    assert counts.tolist() == each
