@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 from driver_queries import bind
 from driver_queries.bind import AS_OF, table
 from driver_queries.registry import DATED, ITEMS, NAMED_PLAYS, NUMBERED, PLAYS, VENUES, query, r2
-from gapkit.llm.shared import stored
 from gapkit.operators.lookups import point_lookup
 from gapkit.plans import calendar as cal, history, rankings, reports, state as gap_state
 from gapkit.session import ensure_checkpoint_dir
@@ -20,6 +19,7 @@ from gapkit.sources.tables import (
     load_tables, next_occasion_document, read_next_occasion, write_next_occasion, write_table, write_tables,
 )
 from gapkit.spec import PRESETS, Bundle
+from gapkit.stored import stored
 
 TIE = "l_shipdate, l_extendedprice, l_quantity, l_suppkey"
 

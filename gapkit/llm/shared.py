@@ -1,23 +1,13 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables and the shuffles of finished steps."""
 
 from __future__ import annotations
 
 import gc
 import time
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from gapkit.session import ensure_checkpoint_dir
-
-
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it again: later plans start from the files, so a
-    lost executor costs no more than its own tasks. The table keeps the name of its step for those who look into the folder."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+from gapkit.stored import stored  # noqa: F401 - the operators take it from here
 
 
 def release(spark: SparkSession) -> None:
