@@ -309,3 +309,75 @@ def test_merged_new_rows_equal_new_rows_with_one_shuffle_of_each_side(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert len(re.findall("Exchange hashpartitioning", plan)) == 2, plan
+
+
+def test_the_state_of_an_upsert_is_on_disk_and_keys_only(spark, tmp_path):
+    folder, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    rows = spark.range(600).select((F.col("id") % 200).alias("k"), ((F.col("id") * 7919) % 601).alias("v"))
+    land(spark, rows.repartition(5), folder)
+    said = spark.conf.getAll
+    stream = streams.read_landed(spark, folder, rows.schema)
+    query = streams.stream_upsert_state(stream, target, progress, ["k"], ["v"])
+    query.awaitTermination()
+    assert spark.conf.getAll == said
+    (state,) = query.lastProgress["stateOperators"]
+    assert state["operatorName"] == "dedupe" and state["numRowsUpdated"] == 200
+    assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+    first = rows.groupBy("k").agg(F.min("v").alias("v"))
+    assert sorted(map(tuple, streams.stored(spark, target, rows.schema).collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_a_store_that_the_session_names_is_kept(spark, sides, tmp_path):
+    folder, name = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    land(spark, sides[1], folder)
+    stream = streams.read_landed(spark, folder, sides[1].schema)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        query = streams.stream_upsert_state(stream, str(tmp_path / "out"), str(tmp_path / "p"), ["occasion_id", "item_id"], ["payload"])
+        query.awaitTermination()
+        assert "HDFSBacked" in spark.conf.get(name)
+    finally:
+        spark.conf.unset(name)
+    assert not any(x.startswith("rocksdb") for x in query.lastProgress["stateOperators"][0]["customMetrics"])
+    assert len(keys(streams.stored(spark, str(tmp_path / "out"), sides[1].schema))) == 5
+
+
+@pytest.mark.parametrize("partitions", ["7", "2"])
+def test_the_first_row_of_a_key_is_stored_with_other_partitions_as_well(spark, tmp_path, partitions):
+    """Stored rows before landed ones, nulls first, and with one shuffle after a start with other settings too."""
+    folder, target, progress, base = (str(tmp_path / n) for n in ("in", "out", "progress", "base"))
+    schema, kept = "k long, part string, v int", spark.conf.get("spark.sql.shuffle.partitions")
+    data = [(None if i % 40 == 0 else i % 40, None if i % 3 == 0 else f"p{i % 3}", None if i % 71 == 0 else (i * 37) % 101) for i in range(900)]
+    spark.createDataFrame([(n, "p1", 0) for n in range(0, 40, 2)], schema).write.parquet(base)
+    try:
+        for count, some in ((kept, data[:450]), (partitions, data + [(k + 100 if k else k, p, v) for k, p, v in data[450:]])):
+            spark.conf.set("spark.sql.shuffle.partitions", count)
+            land(spark, spark.createDataFrame(some, schema).repartition(4), folder)
+            stream = streams.read_landed(spark, folder, schema)
+            query = streams.stream_upsert_state(stream, target, progress, ["k", "part"], ["v"], streams.read_landed(spark, base, schema))
+            query.awaitTermination()
+            assert spark.conf.get("spark.sql.shuffle.partitions") == count
+            plan = query._jsq.explainInternal(False)
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Sort [") < plan.index("Exchange hashpartitioning"), plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    want, known = {}, {(n, "p1") for n in range(0, 40, 2)}
+    for some in (data[:450], data + [(k + 100 if k else k, p, v) for k, p, v in data[450:]]):
+        batch = {}
+        for k, p, v in some:
+            if (k, p) not in known:
+                batch[k, p] = min(batch.get((k, p), (2, 0)), (v is not None, v or 0))
+        want |= {key: v if there else None for key, (there, v) in batch.items()}
+        known |= set(batch)
+    got = [tuple(r) for r in streams.stored(spark, target, stream.schema).collect()]
+    assert sorted(got, key=repr) == sorted(((*key, v) for key, v in want.items()), key=repr)
+
+
+def test_fractions_as_keys_have_one_zero_and_one_nan(spark, tmp_path):
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, spark.createDataFrame([(0.0, 5), (-0.0, 3), (float("nan"), 2), (float("nan"), 1), (None, 4), (1.5, 6)], "k double, v int"), folder)
+    land(spark, spark.createDataFrame([(-0.0, 1)], "k double, v int"), folder)
+    stream = streams.read_landed(spark, folder, "k double, v int")
+    streams.stream_upsert_state(stream, target, str(tmp_path / "p"), ["k"], ["v"]).awaitTermination()
+    got = sorted(map(str, (tuple(r) for r in streams.stored(spark, target, stream.schema).collect())))
+    assert got == ["(0.0, 1)", "(1.5, 6)", "(None, 4)", "(nan, 1)"]
